@@ -14,7 +14,7 @@ Both substring operators remove every unit (byte or word) that is covered by a w
    each repeated content in their groups, send their units on.
 4. Those are range-partitioned by gram; in each range the windows of whole groups are
    sorted and compared. A group that touches an end of its range (a group too large for
-   one range always does) sends single windows to step 2's range sort instead.
+   one range always does) also sends its distinct windows to step 2's range sort.
 5. The texts with open runs meet the windows found.
 
 Nothing is capped: large groups are spread by step 2 and 4's range partitioning over
@@ -267,13 +267,14 @@ def _resolve(unit: str, length: int):
             parts.append((row, off, hashing.Prefix(codes).ranges(at, at + length).view(np.int64)))
             row_base = stop
         row, off, wh = (np.concatenate(x) for x in zip(*parts, strict=True))
-        edge = (ah == ah[0]) | (ah == ah[-1])
         order = np.lexsort((wh, ah[row]))
         k, w = ah[row][order], wh[order]
         same = np.append(False, (k[1:] == k[:-1]) & (w[1:] == w[:-1]))
-        twice = np.zeros(len(row), bool)
+        twice, leads = np.zeros(len(row), bool), np.zeros(len(row), bool)
         twice[order] = same | np.append(same[1:], False)
-        hit = np.flatnonzero(twice & is_open[row] & ~edge[row])
+        leads[order] = ~same
+        edge = ((ah == ah[0]) | (ah == ah[-1]))[row]
+        hit = np.flatnonzero(twice & is_open[row])
         if len(hit):  # windows that follow one another make one stretch
             r, o = row[hit], off[hit]
             first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)))
@@ -281,12 +282,12 @@ def _resolve(unit: str, length: int):
             n, r0 = len(first), r[first]
             lo, hi = s0[r0] + o[first], s0[r0] + o[last] + length
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(did[r0]), pa.array(rid[r0]), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=schema)
-        rest = np.flatnonzero(edge[row])
+        rest = np.flatnonzero(edge & leads)  # one of each window here stands for the others
         for i in range(0, len(rest), 50_000):
             at = rest[i : i + 50_000]
             r = row[at]
             lo = s0[r] + off[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(did[r]), pa.array(rid[r]), pa.array(lo), pa.array(lo + length), pa.array(wh[at]), pa.array(ah[r]), pa.array(is_open[r])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(did[r]), pa.array(rid[r]), pa.array(lo), pa.array(lo + length), pa.array(wh[at]), pa.array(ah[r]), pa.array(is_open[r] & ~twice[at])], schema=schema)
 
     return resolve
 
