@@ -14,12 +14,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.ngram_join import ngram_classes
+
+    return ngram_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.substring_dedup import substring_dedup
 
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import fit, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.line_dedup import line_dedup
 
@@ -32,7 +45,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_substring_dedup, op8_line_dedup, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_join, op4_substring_dedup, op6_toxicity, op8_line_dedup, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
