@@ -26,6 +26,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontamination import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.toxicity import fit, score_toxicity
 
@@ -33,6 +39,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.line_dedup import line_dedup
 
@@ -45,7 +57,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_join, op4_substring_dedup, op6_toxicity, op8_line_dedup, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_join, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_mixing, op8_line_dedup, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""

@@ -16,9 +16,9 @@ from quillon.cluster import ship
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the smallest hashes.
 MAX_ROWS_A_CLASS = 5000
-#: Documents that must hold a feature, and features kept: the bounds of a model.
-MIN_DOCS, MAX_FEATURES = 5, 8192
-RIDGE, SWAP_PENALTY, STEPS = 2e-4, 1.0, 300
+#: Documents that must hold a feature, the z-score of its share of toxic ones, features kept.
+MIN_DOCS, MIN_Z, MAX_FEATURES = 3, 3.5, 8192
+RIDGE, SWAP_PENALTY, STEPS = 2e-5, 1.0, 400
 PREFIXES = (4, 5, 6)
 
 # Identity terms by group; a term is swapped for the next one of its group.
@@ -113,7 +113,7 @@ def fit_rows(rows: list[tuple[set[str], int]], swap_penalty: float = SWAP_PENALT
         n, k = n_all[f], n_toxic[f]
         return abs(k - n * base) / math.sqrt(n * base * (1 - base))
 
-    kept = sorted((f for f, n in n_all.items() if n >= MIN_DOCS), key=lambda f: (-weight(f), f))[:MAX_FEATURES]
+    kept = sorted((f for f, n in n_all.items() if n >= MIN_DOCS and weight(f) >= MIN_Z), key=lambda f: (-weight(f), f))[:MAX_FEATURES]
     at = {f: i for i, f in enumerate(kept)}
     at |= {t: len(kept) + i for i, t in enumerate(sorted(t for t in SWAP if t not in at))}
 
