@@ -14,7 +14,8 @@ Both substring operators remove every unit (byte or word) that is covered by a w
    each repeated content in their groups, send their units on.
 4. Those are range-partitioned by gram; in each range the windows of whole groups are
    sorted and compared. A group that touches an end of its range (a group too large for
-   one range always does) also sends its distinct windows to step 2's range sort.
+   one range always does) is cut into runs of longer grams, which go through step 2
+   again; of the runs that are still open, single windows do.
 5. The texts with open runs meet the windows found.
 
 Nothing is capped: large groups are spread by step 2 and 4's range partitioning over
@@ -44,7 +45,8 @@ SPAN = 1 << 12
 
 RUNS = "ah long, rh long, did long, rid int, sp long"
 STEP = "kind int, doc_id long, did long, rid int, n_units long, n_removed long, n_spans long, kept_sha256 string, text binary, cover binary, ah long, s0 long, open boolean, payload binary"
-FOUND = "kind int, did long, rid int, lo long, hi long, wh long, ah long, open boolean"
+FOUND = "kind int, did long, rid int, lo long, hi long, ah long, rh long, open boolean, payload binary"
+WINDOWS = "ah long, wh long, did long, lo long, rid int, hi long, open boolean"
 DONE = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -243,55 +245,103 @@ def _meet(unit: str, length: int):
     return meet
 
 
+def _finer(length: int) -> int:
+    """The gram of the second winnowing: runs have at most an eighth of the length in windows."""
+    return length - length // 8 + 1
+
+
+def _batches_of(ends: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of about ``size`` bytes together."""
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + size, "right")))
+        yield at, stop
+        at = stop
+
+
+def _stretches(row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last offset of windows that follow one another."""
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)))
+    last = np.append(first[1:] - 1, len(row) - 1)
+    return row[first], off[first], off[last]
+
+
+def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row has an equal one, and whether it is the first of its kind."""
+    order = np.lexsort(keys)
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys]) if len(order) else False
+    twice, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    twice[order] = same | np.append(same[1:], False)
+    leads[order] = ~same
+    return twice, leads
+
+
+def _windows_of(unit: str, length: int, payload: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, offset and hash of every window in the units sent."""
+    width = UNITS[unit].width
+    data, starts, ends = buffers(payload.cast(pa.large_binary()))
+    for i, j in _batches_of(ends, starts, CHUNK * width):
+        a, b = starts[i:j], ends[i:j]
+        codes = UNITS[unit].unpack(np.ascontiguousarray(data[a[0] : b[-1]]))
+        size = (b - a) // width - length + 1
+        off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat((a - a[0]) // width, size) + off
+        yield np.repeat(np.arange(i, j), size), off, hashing.Prefix(codes).ranges(at, at + length).view(np.int64)
+
+
 def _resolve(unit: str, length: int):
     schema = _arrow(FOUND)
-    width = UNITS[unit].width
+    width, gram = UNITS[unit].width, _finer(length)
+
+    def found(did, rid, lo, hi) -> pa.RecordBatch:
+        n = len(lo)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(did), pa.array(rid), pa.array(lo), pa.array(hi), *(pa.nulls(n, schema.field(k).type) for k in ("ah", "rh", "open", "payload"))], schema=schema)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ordering.whole(batches)
         if table is None:
             return
         ah, did, rid, s0 = (ordering.numbers(table, x) for x in ("ah", "did", "rid", "s0"))
-        is_open = ordering.numbers(table, "open")
-        parts = []
-        data, starts, ends = buffers(table.column("payload").chunk(0).cast(pa.large_binary()))
-        row_base = 0
-        while row_base < len(ah):  # windows of rows that follow one another
-            stop = max(row_base + 1, int(np.searchsorted(ends, starts[row_base] + CHUNK * width, "right")))
-            a, b = starts[row_base:stop], ends[row_base:stop]
-            codes = UNITS[unit].unpack(np.ascontiguousarray(data[a[0] : b[-1]]))
-            size = (b - a) // width - length + 1
-            row = np.repeat(np.arange(row_base, stop), size)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = np.repeat((a - a[0]) // width, size) + off
-            parts.append((row, off, hashing.Prefix(codes).ranges(at, at + length).view(np.int64)))
-            row_base = stop
-        row, off, wh = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((wh, ah[row]))
-        k, w = ah[row][order], wh[order]
-        same = np.append(False, (k[1:] == k[:-1]) & (w[1:] == w[:-1]))
-        twice, leads = np.zeros(len(row), bool), np.zeros(len(row), bool)
-        twice[order] = same | np.append(same[1:], False)
-        leads[order] = ~same
-        edge = ((ah == ah[0]) | (ah == ah[-1]))[row]
+        is_open, payload = ordering.numbers(table, "open"), table.column("payload").chunk(0)
+        row, off, wh = (np.concatenate(x) for x in zip(*_windows_of(unit, length, payload), strict=True))
+        twice, _ = _equal(wh, ah[row])
         hit = np.flatnonzero(twice & is_open[row])
-        if len(hit):  # windows that follow one another make one stretch
-            r, o = row[hit], off[hit]
-            first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)))
-            last = np.append(first[1:] - 1, len(hit) - 1)
-            n, r0 = len(first), r[first]
-            lo, hi = s0[r0] + o[first], s0[r0] + o[last] + length
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(did[r0]), pa.array(rid[r0]), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=schema)
-        rest = np.flatnonzero(edge & leads)  # one of each window here stands for the others
-        for i in range(0, len(rest), 50_000):
-            at = rest[i : i + 50_000]
-            r = row[at]
-            lo = s0[r] + off[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(did[r]), pa.array(rid[r]), pa.array(lo), pa.array(lo + length), pa.array(wh[at]), pa.array(ah[r]), pa.array(is_open[r] & ~twice[at])], schema=schema)
+        if len(hit):
+            r, a, z = _stretches(row[hit], off[hit])
+            yield found(did[r], rid[r], s0[r] + a, s0[r] + z + length)
+        edge = np.flatnonzero((ah == ah[0]) | (ah == ah[-1]))
+        data, starts, ends = buffers(payload.take(pa.array(edge)).cast(pa.large_binary()))
+        parts = []
+        for i, j in _batches_of(ends, starts, CHUNK * width):
+            lo, hi = (starts[i:j] - starts[i]) // width, (ends[i:j] - starts[i]) // width
+            piece, at, size, a2, r2 = window_runs(UNITS[unit].unpack(np.ascontiguousarray(data[starts[i] : ends[j - 1]])), lo, hi, length, gram)
+            parts.append((piece + i, at - lo[piece], size, a2, r2))
+        row, off, size, a2, r2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        twice, leads = _equal(r2, a2)  # one of each run of finer grams stands for the others
+        own, opens = edge[row], is_open[edge[row]] & ~twice
+        for k in np.array_split(np.flatnonzero(leads), max(1, leads.sum() // 20_000)):
+            r, lo = own[k], s0[own[k]] + off[k]
+            a = starts[row[k]] + off[k] * width
+            sent = [data[x : x + n].tobytes() for x, n in zip(a.tolist(), ((size[k] - 1 + length) * width).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(did[r]), pa.array(rid[r]), pa.array(lo), pa.array(lo + size[k] - 1 + length), pa.array(a2[k]), pa.array(r2[k]), pa.array(opens[k]), pa.array(sent, pa.binary())], schema=schema)
 
     return resolve
 
 
+def _emit_windows(unit: str, length: int):
+    schema = _arrow(WINDOWS)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ah, did, rid, lo, is_open = (ordering.numbers(batch, x) for x in ("ah", "did", "rid", "lo", "open"))
+            for r, off, wh in _windows_of(unit, length, batch.column("payload")):
+                at = lo[r] + off
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[r], wh, did[r], at, rid[r], at + length, is_open[r])], schema=schema)
+
+    return emit
+
+
 def _finish(unit: str):
     schema = _arrow(DONE)
 
@@ -332,9 +382,13 @@ def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, doc_id: s
     sent = step.read().filter("kind = 2").select("ah", "did", "rid", "s0", "open", "payload")
     sent = sent.repartitionByRange("ah", "did", "s0").sortWithinPartitions("ah", "did", "s0")
     found = Table(sent.mapInArrow(_resolve(unit, length), FOUND), "found")
-    single = found.read().filter("kind = 1").select("ah", "wh", "did", "lo", "rid", "hi", "open")
-    twice, windows = ordering.equal_groups(single, ["ah", "wh"], ["did", "lo"], [2], "windows")
-    stretches = found.read().filter("kind = 0").select("did", "rid", "lo", "hi").unionByName(twice.filter("open").select("did", "rid", "lo", "hi"))
+    finer = found.read().filter("kind = 1").select("ah", "rh", "did", "lo", "rid", "hi", "open", "payload")
+    finer, _ = ordering.equal_groups(finer, ["ah", "rh"], ["did", "lo"], [1, 2], "finer")
+    place = ["did", "rid", "lo", "hi"]
+    apart = finer.filter((F.col("n1") != F.col("n2")) & ((F.col("n2") == 1) | (F.col("did") == F.col("head2"))))
+    apart = apart.select("ah", "did", "rid", "lo", (F.col("open") & (F.col("n2") == 1)).alias("open"), "payload")
+    twice, _ = ordering.equal_groups(apart.mapInArrow(_emit_windows(unit, length), WINDOWS), ["ah", "wh"], ["did", "lo"], [2], "windows")
+    stretches = found.read().filter("kind = 0").select(*place).unionByName(finer.filter("open AND n2 > 1").select(*place)).unionByName(twice.filter("open").select(*place))
     stretches = stretches.groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     waiting = step.read().filter("kind = 1").select("doc_id", "text", "cover", "did", "rid").alias("b")
     ended = waiting.join(stretches.alias("r"), (F.col("b.did") == F.col("r.did")) & (F.col("b.rid") == F.col("r.rid")), "left").select("doc_id", "text", "cover", "found")
