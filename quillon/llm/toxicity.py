@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.cluster import ship
+from quillon.llm.storage import Table
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the smallest hashes.
 MAX_ROWS_A_CLASS = 5000
@@ -65,7 +66,7 @@ def held_out_column(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
+def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """Distinct words and label of at most ``limit`` labelled documents of each class.
 
     Labels in conflict count as toxic; rows without a label or id, or held out, are left out.
@@ -78,7 +79,34 @@ def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
         picked = some if picked is None else picked.unionByName(some)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = text.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 2 * limit rows at most
-    return met.mapInArrow(_word_lists, "words string, toxic int").collect()
+    return met.mapInArrow(_word_lists, "words string, toxic int")
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, k = Counter(), Counter()
+        for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            found = features_of(set(words.split("\n")) - {""})
+            n.update(found)
+            if toxic:
+                k.update(found)
+        names = list(n)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[f] for f in names], pa.int64()), pa.array([k[f] for f in names], pa.int64())], names=["feature", "n", "k"])
+
+
+def _known_features(at: dict[str, int]):
+    """Numbers of the features that each row holds, as it is and with identity terms swapped."""
+
+    def pack(words: set[str]) -> bytes:
+        return np.array(sorted(at[f] for f in features_of(words) if f in at), np.int32).tobytes()
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [set(x.split("\n")) - {""} for x in batch.column("words").to_pylist()]
+            swapped = [None if SWAP.keys().isdisjoint(w) else pack({SWAP.get(x, x) for x in w}) for w in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([pack(w) for w in sets], pa.binary()), pa.array(swapped, pa.binary())], names=["toxic", "own", "swapped"])
+
+    return known
 
 
 class Model:
@@ -94,56 +122,52 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit_rows(rows: list[tuple[set[str], int]], swap_penalty: float = SWAP_PENALTY) -> Model:
+def _solve(y: np.ndarray, own: list[bytes], swapped: list[bytes | None], d: int, swap_penalty: float) -> tuple[np.ndarray, float]:
     """Logistic regression whose loss also has the squared score change under identity swaps."""
-    toxic = sum(y for _, y in rows)
-    if not toxic or toxic == len(rows):
-        share = toxic / len(rows) if rows else 0.0
-        return Model({}, 500.0 if share else -500.0)
-    found = [features_of(words) for words, _ in rows]
-    swapped = [features_of({SWAP.get(w, w) for w in words}) if not SWAP.keys().isdisjoint(words) else None for words, _ in rows]
-    n_all, n_toxic = Counter(), Counter()
-    for (_, y), feats in zip(rows, found, strict=True):
-        n_all.update(feats)
-        if y:
-            n_toxic.update(feats)
-    base = toxic / len(rows)
-
-    def weight(f: str) -> float:  # of two proportions
-        n, k = n_all[f], n_toxic[f]
-        return abs(k - n * base) / math.sqrt(n * base * (1 - base))
-
-    kept = sorted((f for f, n in n_all.items() if n >= MIN_DOCS and weight(f) >= MIN_Z), key=lambda f: (-weight(f), f))[:MAX_FEATURES]
-    at = {f: i for i, f in enumerate(kept)}
-    at |= {t: len(kept) + i for i, t in enumerate(sorted(t for t in SWAP if t not in at))}
-
-    def matrix(sets: list[set[str] | None]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, at[f]) for i, feats in enumerate(sets) for f in feats or () if f in at]
-        return tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-
-    n, d = len(rows), len(at)
-    y = np.array([v for _, v in rows], float)
-    ri, ci = matrix(found)
-    has = [s is not None for s in swapped]
-    (a_r, a_c), (b_r, b_c) = matrix([f if h else None for f, h in zip(found, has, strict=True)]), matrix(swapped)
+
+    def matrix(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        size = [len(x or b"") // 4 for x in rows]
+        return np.repeat(np.arange(len(rows)), size), np.frombuffer(b"".join(x or b"" for x in rows), np.int32)
+
+    n, base, has = len(y), y.mean(), sum(s is not None for s in swapped)
+    ri, ci = matrix(own)
+    (a_r, a_c), (b_r, b_c) = matrix([o if s is not None else None for o, s in zip(own, swapped, strict=True)]), matrix(swapped)
     w, b, m, v = np.zeros(d), math.log(base / (1 - base)), np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, STEPS + 1):  # Adam, over all rows at once
         z = b + np.bincount(ri, w[ci], n)
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.bincount(ci, err[ri], d) + RIDGE * w
-        if any(has):
-            change = (np.bincount(a_r, w[a_c], n) - np.bincount(b_r, w[b_c], n)) * (2 * swap_penalty / sum(has))
+        if has:
+            change = (np.bincount(a_r, w[a_c], n) - np.bincount(b_r, w[b_c], n)) * (2 * swap_penalty / has)
             grad += np.bincount(a_c, change[a_r], d) - np.bincount(b_c, change[b_r], d)
         g = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b))
+    return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS_A_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS_A_CLASS, swap_penalty: float = SWAP_PENALTY) -> Model:
+    """Features are chosen by counts over all training rows; the driver gets the chosen ones alone."""
     ship(docs.sparkSession)
-    return fit_rows([(set(r.words.split("\n")) - {""}, r.toxic) for r in _training_rows(docs, labels, limit)])
+    table = Table(_training_rows(docs, labels, limit), "toxicity")
+    rows = table.read()
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not toxic or toxic == n:
+        table.drop()
+        return Model({}, 500.0 if toxic else -500.0)
+    base = toxic / n
+    counts = rows.mapInArrow(_count_features, "feature string, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    z = F.abs(F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
+    chosen = counts.withColumn("z", z).filter((F.col("n") >= MIN_DOCS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    names = [r.feature for r in chosen.collect()]
+    names += sorted(SWAP.keys() - set(names))
+    at = {f: i for i, f in enumerate(names)}
+    got = rows.mapInArrow(_known_features(at), "toxic int, own binary, swapped binary").orderBy("toxic", "own").collect()
+    table.drop()
+    swapped = [None if r.swapped is None else bytes(r.swapped) for r in got]
+    w, b = _solve(np.array([r.toxic for r in got], float), [bytes(r.own) for r in got], swapped, len(at), swap_penalty)
+    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, b)
 
 
 def _score(model: Model):
