@@ -39,13 +39,6 @@ def shingle_set(codes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(hashing.Prefix(codes).windows(min(n, len(codes))))
 
 
-def _hash(*parts: int) -> int:
-    x = 0
-    for p in parts:
-        x = int(hashing.mix(np.array([(x ^ (p & 0xFFFFFFFFFFFFFFFF)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
-    return x
-
-
 def _mix1(x: int) -> int:
     x &= 0xFFFFFFFFFFFFFFFF
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
@@ -53,24 +46,38 @@ def _mix1(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def _children(shingles: np.ndarray, node: int) -> list[int]:
-    """The nodes below a path's node that the set goes to: 1.25 on average (1 / 0.8).
+#: Random orders of all tokens that nodes below the roots draw from.
+ORDERS = 32
 
-    The node draws one random order of all tokens, or two for a quarter of the nodes, and
-    the set goes on with its first token in each, so sets share a child with the
-    probability of their Jaccard similarity.
-    """
-    draws = 2 if _mix1(node ^ 0xA5A5) & 3 == 0 else 1
-    return [_mix1(node + (d + 1) * 0x9E3779B97F4A7C15 ^ int(hashing.mix(shingles ^ np.uint64(_mix1(node + d))).min())) for d in range(draws)]
+
+def _order_seeds(runs: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = np.array([[_mix1(SEED * 3 + i), _mix1(SEED * 5 + i) | 1] for i in range(2 * runs + ORDERS)], np.uint64)
+    return seeds[:, :1], seeds[:, 1:]
+
+
+def first_tokens(shingles: np.ndarray, runs: int) -> list[int]:
+    """The set's first token in each random order."""
+    flip, factor = _order_seeds(runs)
+    return ((shingles[None, :] ^ flip) * factor).min(axis=1).tolist()
+
+
+def _children(node: int, orders: list[int], first: list[int]) -> list[int]:
+    """The set goes on with its first token in one random order, or in two for a quarter of the nodes."""
+    return [_mix1(node ^ _mix1(first[o] + o)) for o in (orders if _mix1(node ^ 0xA5A5) & 3 == 0 else orders[:1])]
 
 
 def paths(shingles: np.ndarray, runs: int) -> list[tuple[int, int, int]]:
-    """All paths of three steps that the set goes along, in all runs."""
-    out = []
+    """All paths of three steps that the set goes along, in all runs.
+
+    A node's children are chosen with tokens sampled by the node: one or two random orders of
+    all tokens, 1.25 (1 / 0.8) on average. Two sets share a child of an order with the
+    probability of their Jaccard similarity. The roots have orders of their own.
+    """
+    first, base, out = first_tokens(shingles, runs), 2 * runs, []
     for r in range(runs):
-        for a in _children(shingles, _mix1(SEED + r)):
-            for b in _children(shingles, a):
-                out += [(a, b, c) for c in _children(shingles, b)]
+        for a in _children(_mix1(SEED + r), [r, runs + r], first):
+            for b in _children(a, [base + a % ORDERS, base + a // ORDERS % ORDERS], first):
+                out += [(a, b, c) for c in _children(b, [base + b % ORDERS, base + b // ORDERS % ORDERS], first)]
     return out
 
 
@@ -236,6 +243,23 @@ def _compare(threshold: float):
     return compare
 
 
+def _without_subsets(held: DataFrame, tops: int = 3) -> DataFrame:
+    """Rows (did, rid, bucket, size) of the buckets that no other bucket is known to hold in full.
+
+    Runs find the same copies again and again. A bucket is dropped if all its rows have
+    one other bucket among their ``tops`` largest; of equal buckets the first stays.
+    """
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("rows"))
+    key = F.col("bucket").bitwiseXOR(F.lit(APART)).alias("k")
+    sized = held.withColumn("k", key).join(sizes.select(key, "rows"), "k").drop("k").filter("rows > 1")
+    own = sized.groupBy("did", "rid").agg(F.sort_array(F.collect_list(F.struct("rows", "bucket")), asc=False).alias("all"))
+    pairs = own.select(F.explode("all").alias("a"), F.slice("all", 1, tops).alias("top")).select("a", F.explode("top").alias("b"))
+    larger = pairs.filter((F.col("a.rows") < F.col("b.rows")) | ((F.col("a.rows") == F.col("b.rows")) & (F.col("a.bucket") < F.col("b.bucket"))))
+    inside = larger.groupBy(F.col("a.bucket").alias("bucket"), F.col("a.rows").alias("rows"), F.col("b.bucket").alias("by")).agg(F.count("*").alias("n")).filter("n = rows")
+    gone = inside.select(F.col("bucket").bitwiseXOR(F.lit(APART)).alias("k")).distinct()
+    return sized.withColumn("k", key).join(gone, "k", "left_anti").drop("k", "rows")
+
+
 def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links and first (one row of each class) of each row, with did and rid.
 
@@ -255,12 +279,14 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     """
     base = keyed(docs, doc_id, text)
     runs = runs_for(recall, similarity)
-    sets = base.mapInArrow(_emit_paths(shingle, runs), "c1 long, c2 long, did long, rid int, paths binary")
+    drawn = Table(base.mapInArrow(_emit_paths(shingle, runs), "c1 long, c2 long, did long, rid int, paths binary"), "paths")
+    sets = drawn.read()
     grouped, below = ordering.equal_groups(sets, ["c1", "c2"], ["did", "rid"], [2], "sets", keep_single=True)
     rank = F.struct("did", "rid")
     member = grouped.select("did", "rid", "c1", "c2", F.col("n2").alias("copies"), F.col("head2").alias("head"), (F.length("paths") > 0).alias("some"), "paths")
     members = Table(member, "members")
     below.drop()
+    drawn.drop()
     # rows that repeat wholly share did and rid: one of them stands for all
     standing = members.read().filter("did = head AND some").groupBy("c1", "c2").agg(F.min_by(F.struct("did", "rid", "copies", "paths"), rank).alias("s")).select("s.*")
     steps = standing.select("did", "rid", "paths").mapInArrow(_explode_paths, "p1 long, p2 long, p3 long, did long, rid int")
@@ -270,13 +296,15 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     splits = (F.col("n2") <= small * 1.25) | (F.col("n3") * 2 > F.col("n2"))
     bucket = F.when(stays, F.struct(F.col("p1").alias("bucket"), F.ceil(F.col("n1") / 1.5).alias("size")))
     bucket = bucket.when(splits, F.struct(F.col("p2").alias("bucket"), F.col("n2").alias("size"))).otherwise(F.struct(F.col("p3").alias("bucket"), F.col("n3").alias("size")))
-    into = placed.select("did", "rid", bucket.alias("x")).filter("x.size > 1").groupBy("did", "rid").agg(F.collect_set("x").alias("into"))
+    held = Table(placed.select("did", "rid", bucket.alias("x")).filter("x.size > 1").select("did", "rid", "x.*").distinct(), "buckets")
+    tree.drop()
+    into = _without_subsets(held.read()).groupBy("did", "rid").agg(F.collect_list(F.struct("bucket", "size")).alias("into"))
     copies = standing.select("did", "rid", "copies")
     met = base.dropDuplicates(["did", "rid"]).join(into, ["did", "rid"]).join(copies, ["did", "rid"]).select("text", "did", "copies", "into")
     sent = met.mapInArrow(_send_sets(shingle, small), "bucket long, i int, j int, did long, copies long, own int, buckets binary, shingles binary")
     cells = sent.repartitionByRange("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "did")
     found = Table(cells.mapInArrow(_compare(similarity), "did long, links long, b long"), "links")
-    tree.drop()
+    held.drop()
     edges = found.read().filter("b IS NOT NULL").select(F.col("did").alias("a"), "b")
     label = components(edges, "ngram").withColumnRenamed("node", "did")
     links = found.read().filter("b IS NULL").groupBy("did").agg(F.sum("links").alias("links"))
