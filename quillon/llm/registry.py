@@ -14,12 +14,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html_extraction import extract_main_text, fit
+
+    return extract_main_text(_table(spark, sf_dir, "pages"), fit())
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.ngram_join import ngram_classes
 
     return ngram_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.url_filter import filter_urls, fit
+
+    return filter_urls(_table(spark, sf_dir, "pages"), fit()).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.substring_dedup import substring_dedup
 
@@ -51,13 +63,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), with_hash=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_join, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_mixing, op8_line_dedup, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_ngram_join, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_mixing, op8_line_dedup, op9_embedding_dedup, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
