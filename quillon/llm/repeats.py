@@ -12,10 +12,9 @@ Both substring operators remove every unit (byte or word) that is covered by a w
    their gram but not their content, is *open*.
 3. Texts meet their runs, by row. Texts without open runs are done. Open runs, and one of
    each repeated content in their groups, send their units on.
-4. Those are range-partitioned by gram; in each range the windows of whole groups are
-   sorted and compared. A group that touches an end of its range (a group too large for
-   one range always does) is cut into runs of longer grams, which go through step 2
-   again; of the runs that are still open, single windows do.
+4. Those are range-partitioned by gram and the windows of each group are sorted and compared.
+   Groups of over ``WHOLE`` rows are first cut into runs of longer grams, which go through
+   step 2 again, and in the end into single windows, so no task holds a large group.
 5. The texts with open runs meet the windows found.
 
 Nothing is capped: large groups are spread by step 2 and 4's range partitioning over
@@ -43,9 +42,13 @@ CHUNK = 1 << 19
 #: A run is known by its first window's position and its number of windows, below this.
 SPAN = 1 << 12
 
+#: Rows of a gram's group whose windows one task compares.
+WHOLE = 384
+
 RUNS = "ah long, rh long, did long, rid int, sp long"
-STEP = "kind int, doc_id long, did long, rid int, n_units long, n_removed long, n_spans long, kept_sha256 string, text binary, cover binary, ah long, s0 long, open boolean, payload binary"
-FOUND = "kind int, did long, rid int, lo long, hi long, ah long, rh long, open boolean, payload binary"
+STEP = "kind int, doc_id long, did long, rid int, n_units long, n_removed long, n_spans long, kept_sha256 string, text binary, cover binary, ah long, s0 long, open boolean, n long, payload binary"
+FOUND = "did long, rid int, lo long, hi long"
+CUT = "ah long, rh long, did long, lo long, rid int, hi long, open boolean, payload binary"
 WINDOWS = "ah long, wh long, did long, lo long, rid int, hi long, open boolean"
 DONE = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -223,7 +226,7 @@ def _meet(unit: str, length: int):
                     out.append({"kind": 0} | _result(unit, own[i], data[starts[i] : ends[i]].tobytes(), np.zeros((0, 2), np.int64)))
                 elif len(some):
                     mine = pa.RecordBatch.from_struct_array(runs[i].values)
-                    sp, kind, ah = (ordering.numbers(mine, x) for x in ("sp", "kind", "ah"))
+                    sp, kind, ah, group = (ordering.numbers(mine, x) for x in ("sp", "kind", "ah", "n1"))
                     s0, size, text = sp // SPAN, sp % SPAN, data[starts[i] : ends[i]]
                     removed = merged(s0[kind < 3], (s0 + size - 1 + length)[kind < 3])
                     if (kind == 3).any():
@@ -234,7 +237,7 @@ def _meet(unit: str, length: int):
                         units = UNITS[unit](text, np.zeros(1, np.int64), np.array([len(text)]))
                         for j in np.flatnonzero(kind > 1).tolist():
                             a = int(s0[j])
-                            out.append({"kind": 2, "did": int(did[i]), "rid": int(rid[i]), "ah": int(ah[j]), "s0": a, "open": bool(kind[j] == 3), "payload": units.payload(a, a + int(size[j]) - 1 + length)})
+                            out.append({"kind": 2, "did": int(did[i]), "rid": int(rid[i]), "ah": int(ah[j]), "s0": a, "open": bool(kind[j] == 3), "n": int(group[j]), "payload": units.payload(a, a + int(size[j]) - 1 + length)})
                 load += int(ends[i] - starts[i])
                 if len(out) > 5000 or load > 1 << 23:
                     yield _rows(out, schema)
@@ -245,9 +248,9 @@ def _meet(unit: str, length: int):
     return meet
 
 
-def _finer(length: int) -> int:
-    """The gram of the second winnowing: runs have at most an eighth of the length in windows."""
-    return length - length // 8 + 1
+def _longer_grams(length: int) -> list[int]:
+    """The grams that large groups are cut by: runs then have an eighth, then a 32nd, of the length in windows."""
+    return sorted({length - length // n + 1 for n in (8, 32) if length // n > 1})
 
 
 def _batches_of(ends: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -266,15 +269,15 @@ def _stretches(row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[first], off[first], off[last]
 
 
-def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each row has an equal one, and whether it is the first of its kind."""
+def _twice(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row has an equal one."""
     order = np.lexsort(keys)
     same = np.zeros(len(order), bool)
-    same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys]) if len(order) else False
-    twice, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    if len(order):
+        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    twice = np.zeros(len(order), bool)
     twice[order] = same | np.append(same[1:], False)
-    leads[order] = ~same
-    return twice, leads
+    return twice
 
 
 def _windows_of(unit: str, length: int, payload: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -292,43 +295,42 @@ def _windows_of(unit: str, length: int, payload: pa.Array) -> Iterator[tuple[np.
 
 def _resolve(unit: str, length: int):
     schema = _arrow(FOUND)
-    width, gram = UNITS[unit].width, _finer(length)
-
-    def found(did, rid, lo, hi) -> pa.RecordBatch:
-        n = len(lo)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(did), pa.array(rid), pa.array(lo), pa.array(hi), *(pa.nulls(n, schema.field(k).type) for k in ("ah", "rh", "open", "payload"))], schema=schema)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ordering.whole(batches)
         if table is None:
             return
-        ah, did, rid, s0 = (ordering.numbers(table, x) for x in ("ah", "did", "rid", "s0"))
-        is_open, payload = ordering.numbers(table, "open"), table.column("payload").chunk(0)
-        row, off, wh = (np.concatenate(x) for x in zip(*_windows_of(unit, length, payload), strict=True))
-        twice, _ = _equal(wh, ah[row])
-        hit = np.flatnonzero(twice & is_open[row])
+        ah, did, rid, s0 = (ordering.numbers(table, x) for x in ("ah", "did", "rid", "lo"))
+        is_open = ordering.numbers(table, "open")
+        row, off, wh = (np.concatenate(x) for x in zip(*_windows_of(unit, length, table.column("payload").chunk(0)), strict=True))
+        hit = np.flatnonzero(_twice(wh, ah[row]) & is_open[row])
         if len(hit):
             r, a, z = _stretches(row[hit], off[hit])
-            yield found(did[r], rid[r], s0[r] + a, s0[r] + z + length)
-        edge = np.flatnonzero((ah == ah[0]) | (ah == ah[-1]))
-        data, starts, ends = buffers(payload.take(pa.array(edge)).cast(pa.large_binary()))
-        parts = []
-        for i, j in _batches_of(ends, starts, CHUNK * width):
-            lo, hi = (starts[i:j] - starts[i]) // width, (ends[i:j] - starts[i]) // width
-            piece, at, size, a2, r2 = window_runs(UNITS[unit].unpack(np.ascontiguousarray(data[starts[i] : ends[j - 1]])), lo, hi, length, gram)
-            parts.append((piece + i, at - lo[piece], size, a2, r2))
-        row, off, size, a2, r2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        twice, leads = _equal(r2, a2)  # one of each run of finer grams stands for the others
-        own, opens = edge[row], is_open[edge[row]] & ~twice
-        for k in np.array_split(np.flatnonzero(leads), max(1, leads.sum() // 20_000)):
-            r, lo = own[k], s0[own[k]] + off[k]
-            a = starts[row[k]] + off[k] * width
-            sent = [data[x : x + n].tobytes() for x, n in zip(a.tolist(), ((size[k] - 1 + length) * width).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(did[r]), pa.array(rid[r]), pa.array(lo), pa.array(lo + size[k] - 1 + length), pa.array(a2[k]), pa.array(r2[k]), pa.array(opens[k]), pa.array(sent, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[r], rid[r], s0[r] + a, s0[r] + z + length)], schema=schema)
 
     return resolve
 
 
+def _cut(unit: str, length: int, gram: int):
+    schema = _arrow(CUT)
+    width = UNITS[unit].width
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, rid, s0, is_open = (ordering.numbers(batch, x) for x in ("did", "rid", "lo", "open"))
+            data, starts, ends = buffers(batch.column("payload").cast(pa.large_binary()))
+            for i, j in _batches_of(ends, starts, CHUNK * width):
+                lo, hi = (starts[i:j] - starts[i]) // width, (ends[i:j] - starts[i]) // width
+                piece, at, size, ah, rh = window_runs(UNITS[unit].unpack(np.ascontiguousarray(data[starts[i] : ends[j - 1]])), lo, hi, length, gram)
+                r, first = piece + i, at - lo[piece]
+                a, n = starts[r] + first * width, (size - 1 + length) * width
+                sent = [data[x : x + k].tobytes() for x, k in zip(a.tolist(), n.tolist(), strict=True)]
+                at = s0[r] + first
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ah, rh, did[r], at, rid[r], at + size - 1 + length, is_open[r])), pa.array(sent, pa.binary())], schema=schema)
+
+    return cut
+
+
 def _emit_windows(unit: str, length: int):
     schema = _arrow(WINDOWS)
 
@@ -361,6 +363,27 @@ def _finish(unit: str):
     return finish
 
 
+def _open_stretches(sent: DataFrame, unit: str, length: int) -> DataFrame:
+    """did, rid, lo and hi of the windows in open runs that repeat, by groups of ah."""
+    place = [x.split()[0] for x in FOUND.split(", ")]
+    grams, found = _longer_grams(length), None
+    while True:
+        small = sent.filter(F.col("n") <= WHOLE).repartitionByRange("ah").sortWithinPartitions("ah", "did", "lo")
+        part = small.mapInArrow(_resolve(unit, length), FOUND)
+        found = part if found is None else found.unionByName(part)
+        large = sent.filter(F.col("n") > WHOLE)
+        if large.isEmpty():
+            return found
+        if not grams:
+            twice, _ = ordering.equal_groups(large.mapInArrow(_emit_windows(unit, length), WINDOWS), ["ah", "wh"], ["did", "lo"], [2], "windows")
+            return found.unionByName(twice.filter("open").select(*place))
+        runs = large.mapInArrow(_cut(unit, length, grams.pop(0)), CUT)
+        groups, _ = ordering.equal_groups(runs, ["ah", "rh"], ["did", "lo"], [1, 2], "cut")
+        found = found.unionByName(groups.filter("open AND n2 > 1").select(*place))
+        apart = groups.filter((F.col("n1") != F.col("n2")) & ((F.col("n2") == 1) | (F.col("did") == F.col("head2"))))
+        sent = apart.select("ah", "did", "rid", "lo", (F.col("open") & (F.col("n2") == 1)).alias("open"), F.col("n1").alias("n"), "payload")
+
+
 def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_sha256.
 
@@ -373,22 +396,14 @@ def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, doc_id: s
     shared, table = ordering.equal_groups(runs, ["ah", "rh"], ["did", "sp"], [1, 2], "runs")
     # 1: repeats as a whole; 2: that too, and stands for its content in a group with others; 3: open
     kind = F.when(F.col("n1") == F.col("n2"), 1).when(F.col("n2") == 1, 3).when(F.col("did") == F.col("head2"), 2).otherwise(1)
-    by_row = shared.groupBy("did", "rid").agg(F.collect_list(F.struct("sp", kind.alias("kind"), "ah")).alias("runs"))
+    by_row = shared.groupBy("did", "rid").agg(F.collect_list(F.struct("sp", kind.alias("kind"), "ah", "n1")).alias("runs"))
     met = base.alias("b").join(by_row.alias("r"), (F.col("b.did") == F.col("r.did")) & (F.col("b.rid") == F.col("r.rid")), "left")
     met = met.select("doc_id", "text", "b.did", "b.rid", "runs")
     step = Table(met.mapInArrow(_meet(unit, length), STEP), "texts")
     table.drop()
 
-    sent = step.read().filter("kind = 2").select("ah", "did", "rid", "s0", "open", "payload")
-    sent = sent.repartitionByRange("ah", "did", "s0").sortWithinPartitions("ah", "did", "s0")
-    found = Table(sent.mapInArrow(_resolve(unit, length), FOUND), "found")
-    finer = found.read().filter("kind = 1").select("ah", "rh", "did", "lo", "rid", "hi", "open", "payload")
-    finer, _ = ordering.equal_groups(finer, ["ah", "rh"], ["did", "lo"], [1, 2], "finer")
-    place = ["did", "rid", "lo", "hi"]
-    apart = finer.filter((F.col("n1") != F.col("n2")) & ((F.col("n2") == 1) | (F.col("did") == F.col("head2"))))
-    apart = apart.select("ah", "did", "rid", "lo", (F.col("open") & (F.col("n2") == 1)).alias("open"), "payload")
-    twice, _ = ordering.equal_groups(apart.mapInArrow(_emit_windows(unit, length), WINDOWS), ["ah", "wh"], ["did", "lo"], [2], "windows")
-    stretches = found.read().filter("kind = 0").select(*place).unionByName(finer.filter("open AND n2 > 1").select(*place)).unionByName(twice.filter("open").select(*place))
+    sent = step.read().filter("kind = 2").select("ah", "did", "rid", F.col("s0").alias("lo"), "open", "n", "payload")
+    stretches = _open_stretches(sent, unit, length)
     stretches = stretches.groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     waiting = step.read().filter("kind = 1").select("doc_id", "text", "cover", "did", "rid").alias("b")
     ended = waiting.join(stretches.alias("r"), (F.col("b.did") == F.col("r.did")) & (F.col("b.rid") == F.col("r.rid")), "left").select("doc_id", "text", "cover", "found")
