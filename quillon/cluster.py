@@ -11,11 +11,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows that a Python worker gets at once, where the session has left Spark's default: texts are long.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the executors, once for each Spark application."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "") == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root, data = Path(__file__).resolve().parent, io.BytesIO()
