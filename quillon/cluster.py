@@ -19,7 +19,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the executors, once for each Spark application."""
     context = spark.sparkContext
-    if spark.conf.get(_BATCH, "") in ("", "10000"):
+    if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
