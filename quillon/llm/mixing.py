@@ -24,29 +24,28 @@ TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 STEPS, TOLERANCE = 40, 1e-9
 
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
-_MARKS = ".,;:!?\"()[]{}<>|/\\%&$#*@+=~^_-"
-STATISTICS = ("log_chars", "marks", "digits", "distinct_words", "word_length", "line_length")
+_MARK = r"[\p{Punct}]+"
+STATISTICS = ("log_chars", "marks", "digits", "word_length", "line_length")
 
 
 def _with_features(docs: DataFrame) -> DataFrame:
-    """Adds _n (words), _words (distinct, lower case, without marks) and the statistics of the text."""
+    """Adds _n (words), _words (lower case, without marks) and the statistics of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bare = F.translate(text, _MARKS, "")
-    out = docs.withColumn("_text", text).withColumn("_bare", bare)
-    out = out.withColumn("_split", F.filter(F.split(F.lower("_bare"), r"\s+"), lambda w: w != ""))
-    chars, words = F.length("_text"), F.size("_split")
-    out = out.withColumn("_words", F.array_distinct("_split")).withColumn("_n", words.cast("long"))
+    out = docs.withColumn("_text", text)
+    out = out.withColumn("_bare", F.trim(F.regexp_replace(F.lower("_text"), r"[\p{Punct}\s]+", " ")))
+    out = out.withColumn("_words", F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", " ")))
+    chars, words = F.length("_text"), F.size("_words")
     some = F.greatest(chars, F.lit(1))
+    out = out.withColumns({"_n": words.cast("long"), "_chars": chars, "_lines": chars - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1})
     return out.withColumns(
         {
-            "_log_chars": F.log1p(chars),
-            "_marks": (chars - F.length("_bare")) / some,
-            "_digits": (chars - F.length(F.translate("_text", "0123456789", ""))) / some,
-            "_distinct_words": F.size("_words") / F.greatest(words, F.lit(1)),
-            "_word_length": chars / F.greatest(words, F.lit(1)),
-            "_line_length": F.log(chars / (chars - F.length(F.translate("_text", "\n", "")) + 1) + 1),
+            "_log_chars": F.log1p("_chars"),
+            "_marks": (F.col("_chars") - F.length(F.regexp_replace("_text", _MARK, ""))) / some,
+            "_digits": (F.col("_chars") - F.length(F.regexp_replace("_text", "[0-9]+", ""))) / some,
+            "_word_length": F.col("_chars") / F.greatest(F.col("_n"), F.lit(1)),
+            "_line_length": F.log(F.col("_chars") / F.col("_lines") + 1),
         }
-    ).drop("_text", "_bare", "_split")
+    ).drop("_text", "_bare", "_chars", "_lines")
 
 
 class Classifier:
@@ -92,7 +91,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     n = {d: r["n"] for d, r in stats.items()}
     total = sum(n.values())
     domains = sorted(n)
-    per_word = rows.read().select("_domain", F.explode("_words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("_domain") == d).alias(f"n_{d}") for d in domains])
+    per_word = rows.read().select("_domain", F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("_domain") == d).alias(f"n_{d}") for d in domains])
     odd = sum((F.pow(F.col(f"n_{d}") - F.col("n") * (n[d] / total), 2) / (F.col("n") * (n[d] / total)) for d in domains), F.lit(0.0))
     words = per_word.filter(F.col("n") >= MIN_DOCS).withColumn("odd", odd).orderBy(F.desc("odd"), "w").limit(MAX_WORDS).collect()
     rows.drop()
@@ -147,8 +146,8 @@ def rate_column(names: list[str], steps: list[list[float]]) -> Column:
     return rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN) -> DataFrame:
-    """``docs``, all its columns, with n_tokens, p_<domain> for each domain, and rate.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, all its columns or those to ``keep``, with n_tokens, p_<domain> for each domain, and rate.
 
     ``rate`` is the expected number of copies of a document in the mix; the sum of rate *
     n_tokens * p_<domain> is the domain's target share of all tokens, as nearly as rates
@@ -160,14 +159,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     known = fit_classifier(docs, labels, domain)
     plain = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)})
     plain = plain.withColumn("text", F.col(f"_c{docs.columns.index('text')}"))
-    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    names = [(f"_c{i}", c) for i, c in enumerate(docs.columns) if keep is None or c in keep]
     features = _with_features(plain)
+    back = [F.col(a).alias(b) for a, b in names]
     if known is None:
         return features.select(*back, F.col("_n").alias("n_tokens"), F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"))
     domains = sorted(known.prior)
-    own = known.posteriors(features)
-    names = [f"p_{d}" for d in domains]
-    members = Table(own.select("_n", *names), "members")
-    steps = fit_rates(members.read(), domains, targets)
-    members.drop()
-    return own.select(*back, F.col("_n").alias("n_tokens"), *names, rate_column(names, steps).alias("rate"))
+    shares = [f"p_{d}" for d in domains]
+    # written once: every step of the fit, and the result, read memberships instead of texts
+    members = Table(known.posteriors(features).select(*[a for a, _ in names], "_n", *shares), "members").read()
+    steps = fit_rates(members.select("_n", *shares), domains, targets)
+    return members.select(*back, F.col("_n").alias("n_tokens"), *shares, rate_column(shares, steps).alias("rate"))
