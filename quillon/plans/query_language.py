@@ -25,7 +25,7 @@ from quillon.functions.scalars import glob_to_regex
 
 #: Limits of a request.
 MAX_SIZE, MAX_FROM, MAX_SORT, MAX_FACETS, DEFAULT_SIZE, DEFAULT_FACET_SIZE = 1000, 10_000, 10, 1000, 10, 10
-_TOKEN = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)(?=[\s()])|(&&|\|\|)|([+\-!])(?=\S)|((?:[^\s():"\[{\\]|\\.)+:)?(?:"((?:[^"\\]|\\.)*)"|([\[{])\s*(\S+)\s+TO\s+([^\s\]}]+)\s*([\]}])|((?:[^\s()"\\]|\\.)+))|(\S))', re.S)
+_TOKEN = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)(?=[\s()]|\Z)|(&&|\|\|)|([+\-!])(?=\S)|((?:[^\s():"\[{\\]|\\.)+:)?(?:"((?:[^"\\]|\\.)*)"|([\[{])\s*(\S+)\s+TO\s+([^\s\]}]+)\s*([\]}])|((?:[^\s()"\\]|\\.)+))|(\S))', re.S)
 
 
 class QueryError(ValueError):
@@ -184,6 +184,8 @@ def parse(query: str, fields: Fields, default: str = "AND") -> Column:
         while peek() not in (None, ")", "OR"):
             if peek() == "AND":
                 at += 1
+                if not must and not may or peek() in (None, ")", "OR", "AND"):
+                    raise QueryError("AND without operands")
                 joined = True
                 if may and default == "OR":
                     must.append(may.pop())

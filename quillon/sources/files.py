@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import lzma
 import zipfile
 from collections.abc import Iterator
@@ -90,13 +91,26 @@ def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def _yaml_scalar(value) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    if value == {} or value == []:
+        return "{}" if isinstance(value, dict) else "[]"
+    text = str(value)
+    if not isinstance(value, str):
+        return text
+    plain = text and text == text.strip() and text[0] not in "!&*-?|>@`\"'%{}[],#:" and ": " not in text and " #" not in text and "\n" not in text
+    if plain and text.lower() not in ("true", "false", "null", "yes", "no", "~") and not text.replace(".", "", 1).isdigit():
+        return text
+    return json.dumps(text, ensure_ascii=False) if "\n" in text else "'" + text.replace("'", "''") + "'"
+
+
 def to_yaml(value, indent: int = 0) -> str:
     """A value as YAML, keys in their order."""
     pad = "  " * indent
+    nested = lambda v: isinstance(v, (dict, list)) and v
     if isinstance(value, dict) and value:
-        return "".join(f"{pad}{k}:" + (f"\n{to_yaml(v, indent + 1)}" if isinstance(v, (dict, list)) and v else f" {to_yaml(v).strip()}\n") for k, v in value.items())
+        return "".join(f"{pad}{k}:" + (f"\n{to_yaml(v, indent + 1)}" if nested(v) else f" {_yaml_scalar(v)}\n") for k, v in value.items())
     if isinstance(value, list) and value:
-        return "".join(f"{pad}- {to_yaml(v, indent + 1).strip()}\n" for v in value)
-    if isinstance(value, str):
-        return pad + ("'" + value.replace("'", "''") + "'" if not value or value != value.strip() or value[0] in "!&*-?|>@`\"'%{}[],#:" or ": " in value or value.lower() in ("true", "false", "null", "yes", "no", "~") or value.replace(".", "", 1).isdigit() else value) + "\n"
-    return pad + {None: "null", True: "true", False: "false"}.get(value, "{}" if value == {} else "[]" if value == [] else str(value)) + "\n" if not isinstance(value, (dict, list)) else pad + ("{}" if isinstance(value, dict) else "[]") + "\n"
+        return "".join(f"{pad}- " + (to_yaml(v, indent + 1).lstrip() if nested(v) else f"{_yaml_scalar(v)}\n") for v in value)
+    return f"{pad}{_yaml_scalar(value)}\n"
