@@ -214,5 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all its columns, without the rows that hold a benchmark item."""
-    marked = with_items(docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_c{docs.columns.index('text')}")), benchmark, [F.col(f"_c{i}") for i in range(len(docs.columns))])
-    return marked.filter(F.size("item_ids") == 0).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    named = plain.withColumn("text", F.col(f"_c{docs.columns.index('text')}"))
+    marked = with_items(named, benchmark, plain.columns)
+    return marked.filter(F.size("item_ids") == 0).select(*[F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns, strict=True)])

@@ -154,18 +154,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     >= 0 can meet it. A null text has no tokens. Labels that are null, or whose document is
     absent, are left out, labels in conflict count as the first domain by name; without
     any label there is one domain, "all", and every rate is 1. Repeated rows are rated alike.
+    Columns of ``docs`` that are named like the new ones give way to them.
     """
     targets = TARGETS if targets is None else targets
     known = fit_classifier(docs, labels, domain)
-    plain = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)})
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     plain = plain.withColumn("text", F.col(f"_c{docs.columns.index('text')}"))
-    names = [(f"_c{i}", c) for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    domains = sorted(known.prior) if known else ["all"]
+    shares = [f"p_{d}" for d in domains]
+    made = {"n_tokens", "rate", *shares}
+    names = [(f"_c{i}", c) for i, c in enumerate(docs.columns) if (keep is None or c in keep) and c not in made]
     features = _with_features(plain)
     back = [F.col(a).alias(b) for a, b in names]
     if known is None:
         return features.select(*back, F.col("_n").alias("n_tokens"), F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"))
-    domains = sorted(known.prior)
-    shares = [f"p_{d}" for d in domains]
     # written once: every step of the fit, and the result, read memberships instead of texts
     members = Table(known.posteriors(features).select(*[a for a, _ in names], "_n", *shares), "members").read()
     steps = fit_rates(members.select("_n", *shares), domains, targets)
