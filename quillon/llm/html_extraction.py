@@ -29,7 +29,7 @@ GROUPS = {
 }
 TAGS = ("#text", "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu", "li", "table tbody tr td th thead", "blockquote pre figure figcaption dl dt dd", "nav", "header", "footer", "aside", "form fieldset", "body html #root", "details dialog")
 _TAG_AT = {t: i for i, names in enumerate(TAGS) for t in names.split()}
-SEED_PAGES = 260
+SEED_PAGES = 360
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -155,7 +155,7 @@ def seed_page(rng: random.Random) -> str:
         return "".join(out)
 
     comment = lambda: f"<{(t := pick(('li', 'div', 'article')))} class='comment'><p>{s(1, 30)}</p></{t}>"
-    shell = pick((("<article>", "</article>"), ("<article>", "</article>"), ("<main><article class='post'>", "</article></main>"), ("<main>", "</main>"), ("<div id='content'>", "</div>"), ("<div class='post-content entry'>", "</div>"), ("<div class='wrap'><section class='story-body'>", "</section></div>"), ("<div id='main'><div class='text'>", "</div></div>")))
+    shell = pick((("<article>", "</article>"), ("<article>", "</article>"), ("<main><article class='post'>", "</article></main>"), ("<main>", "</main>"), ("<div id='content'>", "</div>"), ("<div class='post-content entry'>", "</div>"), ("<div class='wrap'><section class='story-body'>", "</section></div>"), ("<div id='main'><div class='text'>", "</div></div>"), ("", ""), ("<div>", "</div>"), ("<div class='c7'><div>", "</div></div>")))
     before = [
         f"<nav><ul>{links(rng.randint(2, 9))}</ul></nav>" if rng.random() < 0.7 else f"<div class='{pick(('menu', 'navbar', 'main-nav'))}'>{s(1, 1)} <a href='/'>{s(1, 2)}</a> <a href='/b'>{s(1, 2)}</a></div>",
         pick(("", f"<header><h1>{s(1, 3)}</h1><p>{s(3, 8)}</p></header>", f"<div id='header'><h2>{s(1, 3)}</h2><p class='tagline'>{s(3, 9)}</p></div>")),
@@ -169,6 +169,8 @@ def seed_page(rng: random.Random) -> str:
         pick(("", "", f"<div class='{pick(('ad', 'advertisement', 'sponsored'))}'>{s(3, 25)}</div>")),
         pick((f"<footer>&copy; {s(2, 12)}</footer>", f"<div id='footer'><p>{s(3, 20)}</p><ul>{links(3)}</ul></div>", f"<footer><p>{s(3, 30)}</p></footer>", "")),
     ]
+    if rng.random() < 0.08:  # nothing but the text
+        before, after = [], [""]
     rng.shuffle(before)
     if rng.random() < 0.3:
         before.append(after.pop(0))
