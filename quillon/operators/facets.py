@@ -14,11 +14,9 @@ def terms_facet(docs: DataFrame, field: str, size: int = 10, is_array: bool = Fa
     """
     terms = docs.select((F.explode(F.array_distinct(field)) if is_array else F.col(field)).alias("term")).filter("term IS NOT NULL")
     counts = terms.groupBy("term").agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("all"))
     shown = counts.orderBy(F.desc("count"), "term").limit(size)
-    whole = shown.agg(F.sum("count").alias("total"))
-    out = shown.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(whole))  # two single rows
-    return out.select("term", "count", (F.col("all") - F.col("total")).alias("other"), "total", F.lit(0).cast("bigint").alias("missing"))
+    total, whole = shown.agg(F.sum("count")).scalar(), counts.agg(F.sum("count")).scalar()
+    return shown.select("term", "count", (whole - total).alias("other"), total.alias("total"), F.lit(0).cast("bigint").alias("missing"))
 
 
 def nested_facet(docs: DataFrame, outer: str, inner: str, size: int = 10) -> DataFrame:

@@ -389,8 +389,8 @@ def bm25(docs: DataFrame, text: str, query: str, key: str = "_id", k1: float = 1
     words = sorted(set(re.findall(r"\w+", query.lower())))
     own = docs.select(F.col(key).alias("_id"), tokens(F.col(text)).alias("t"))
     counted = own.select("_id", F.size("t").alias("len"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"f{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    aggs = [F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))]]
+    joined = counted.withColumn("s", counted.agg(F.struct(*aggs)).scalar()).select("*", "s.*")
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))

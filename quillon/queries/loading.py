@@ -137,7 +137,7 @@ def scan_sqlite(spark, d):
 def scan_sqlite_v2(spark, d):
     docs = Tables(spark, d).events.filter((F.col("event_type") == "view") & (F.get_json_object("props", "$.k").try_cast("bigint") > 50))
     page = docs.orderBy("event_id").limit(40).select("event_id")
-    return page.crossJoin(F.broadcast(docs.agg(F.count("*").alias("total"))))
+    return page.withColumn("total", docs.agg(F.count("*")).scalar())
 
 
 @query("scan_pg", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '29' AND event_type = 'view'")
@@ -267,7 +267,7 @@ def sink_clean_field(spark, d):
 @query("sink_index_task", "SELECT doc_id, count(*) OVER () AS kept FROM documents WHERE n_chars <= 512")
 def sink_index_task(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", "n_chars").filter("n_chars <= 512")
-    return docs.select("doc_id").crossJoin(F.broadcast(docs.agg(F.count("*").alias("kept"))))
+    return docs.select("doc_id", docs.agg(F.count("*")).scalar().alias("kept"))
 
 
 @query("sink_switch")
@@ -443,8 +443,7 @@ def s_partition(spark, d):
 @query("s_schedule", "SELECT chunk AS batch, least((chunk + 1) * 400, total) AS done, round(least((chunk + 1) * 400, total) * 100.0 / total, 4)::DOUBLE AS percent FROM (SELECT DISTINCT (row_number() OVER (ORDER BY c_custkey) - 1) // 400 AS chunk, count(*) OVER () AS total FROM customer)")
 def s_schedule(spark, d):
     batches = facets.group_count(tables.chunked(_customers(spark, d).select("_id"), ["_id"], 400), "chunk")
-    whole = batches.agg(F.sum("n").alias("total"))
-    out = batches.crossJoin(F.broadcast(whole))
+    out = batches.withColumn("total", batches.agg(F.sum("n")).scalar())
     done = F.least((F.col("chunk") + 1) * 400, F.col("total"))
     return out.select(F.col("chunk").alias("batch"), done.alias("done"), F.round(done * 100.0 / F.col("total"), 4).cast("double").alias("percent"))
 
