@@ -10,7 +10,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL_FOLDERS: list[str] = []
@@ -49,3 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _LOCAL_FOLDERS[0], ignore_errors=True)
         folder = "file://" + _LOCAL_FOLDERS[0]
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_quillon").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as they lie now, written to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

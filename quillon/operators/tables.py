@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.cluster import checkpointed
+
 
 def project(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
@@ -47,11 +49,12 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
 def chunked(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Adds ``chunk``, numbering runs of n rows in the order given.
 
-    Ranges are sorted where they lie; the driver gets the sizes of the ranges alone.
+    Ranges are sorted where they lie and kept by a checkpoint, so a row's number is its place
+    in its range plus the sizes of the ranges before; only those sizes meet in one task.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_at").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    numbered = local.join(F.broadcast(before), "_part")
-    return numbered.withColumn("chunk", F.floor((F.col("_before") + F.col("_at") - 1) / n)).drop("_part", "_at", "_before")
+    at = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    numbered = at.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumn("chunk", F.floor((F.col("_before") + place) / n)).drop("_part", "_at", "_before")
