@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS_A_CLASS, swap_
     names = [r.feature for r in chosen.collect()]
     names += sorted(SWAP.keys() - set(names))
     at = {f: i for i, f in enumerate(names)}
-    got = rows.mapInArrow(_known_features(at), "toxic int, own binary, swapped binary").orderBy("toxic", "own").collect()
+    got = rows.mapInArrow(_known_features(at), "toxic int, own binary, swapped binary").collect()
+    got.sort(key=lambda r: (r.toxic, bytes(r.own), bytes(r.swapped or b"")))  # so that sums do not depend on tasks
     table.drop()
     swapped = [None if r.swapped is None else bytes(r.swapped) for r in got]
     w, b = _solve(np.array([r.toxic for r in got], float), [bytes(r.own) for r in got], swapped, len(at), swap_penalty)
