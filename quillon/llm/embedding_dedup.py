@@ -103,7 +103,7 @@ def _deal(block: int):
 
 
 def robust_pruned_graph(cosine: np.ndarray, seed: int) -> np.ndarray:
-    """Neighbours of each vector, padded with itself: pruned near ones, those they are near to, far ones."""
+    """Which vectors are neighbours: pruned near ones, those they are near to, far ones."""
     m = len(cosine)
     rng = np.random.default_rng(seed)
     k = min(CANDIDATES, m - 1)
@@ -126,48 +126,44 @@ def robust_pruned_graph(cosine: np.ndarray, seed: int) -> np.ndarray:
         between[near == p[:, None]] = 0
         alive &= ALPHA * between > distance
         alive[own, first] = False
-    far = rng.integers(0, m, (m, FAR))
-    both = np.concatenate([picked, far], axis=1)
-    # links back, so that what is near a vector can be reached from it
-    a, b = np.repeat(own, both.shape[1]), both.ravel()
-    src, dst = np.append(a, b), np.append(b, a)
-    pair = np.unique((src * m + dst)[src != dst])
-    src, dst = pair // m, pair % m
-    width = np.bincount(src, minlength=m)
-    out = np.repeat(own[:, None], max(1, width.max(initial=1)), axis=1)
-    out[src, np.arange(len(src)) - np.repeat(np.cumsum(width) - width, width)] = dst
-    return out
+    # the union with the links back, so that what is near a vector can be reached from it
+    both = np.concatenate([picked, rng.integers(0, m, (m, FAR))], axis=1)
+    graph = np.zeros((m, m), bool)
+    graph[own[:, None], both] = True
+    graph |= graph.T
+    return graph
 
 
 def range_search(cosine: np.ndarray, graph: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-    """Which vectors each one finds within the threshold: greedy steps from the medoid, then expansion of the range."""
+    """Which vectors each one finds within the threshold: greedy steps from the medoid and its own list, then expansion of the range."""
     m = len(cosine)
     medoid = int(cosine.sum(1).argmax())
     seen, done = np.zeros((m, m), bool), np.zeros((m, m), bool)
     seen[:, medoid] = True
     rows = np.arange(m)
-    open_ = np.full((m, m), -2.0)
-    open_[:, medoid] = cosine[:, medoid]
+    waiting = np.full((m, m), -2.0)
+    waiting[:, medoid] = cosine[:, medoid]
+    seen[rows, rows] = True  # a vector's own list is known as well
+    waiting[rows, rows] = cosine[rows, rows]
     for _ in range(beam):
-        best = open_.argmax(1)
-        go = rows[open_[rows, best] > -2]
+        best = waiting.argmax(1)
+        go = rows[waiting[rows, best] > -2]
         if not len(go):
             break
         done[go, best[go]] = True
-        open_[go, best[go]] = -2.0
-        q, x = np.repeat(go, graph.shape[1]), graph[best[go]].ravel()
-        seen[q, x] = True
-        fresh = ~done[q, x]
-        open_[q[fresh], x[fresh]] = cosine[q[fresh], x[fresh]]
-    inside = cosine >= threshold
+        near = graph[best[go]]
+        fresh = near & ~seen[go]
+        seen[go] |= near
+        waiting[go] = np.where(fresh, cosine[go], waiting[go])
+        waiting[go, best[go]] = -2.0
+    inside, links = cosine >= threshold, graph.astype(np.float32)
     while True:
-        q, x = np.nonzero(seen & inside & ~done)
-        if not len(q):
+        front = seen & inside & ~done
+        go = np.flatnonzero(front.any(1))
+        if not len(go):
             break
-        done[q, x] = True
-        for i in range(0, len(q), 1 << 16):
-            near = graph[x[i : i + (1 << 16)]]
-            seen[np.repeat(q[i : i + (1 << 16)], near.shape[1]), near.ravel()] = True
+        done[go] |= front[go]
+        seen[go] |= (front[go].astype(np.float32) @ links) > 0
     found = seen & inside
     return found | found.T
 
