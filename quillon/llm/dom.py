@@ -8,8 +8,8 @@ import re
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-DROPPED = frozenset("script style textarea title noscript iframe noembed noframes template head svg math object select option button canvas audio video datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("script style textarea title noscript iframe noembed noframes template head svg math object select option optgroup button label legend canvas audio video datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd map mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = frozenset("ul ol dl table select menu".split())

@@ -29,7 +29,7 @@ GROUPS = {
 }
 TAGS = ("#text", "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu", "li", "table tbody tr td th thead", "blockquote pre figure figcaption dl dt dd", "nav", "header", "footer", "aside", "form fieldset", "body html #root", "details dialog")
 _TAG_AT = {t: i for i, names in enumerate(TAGS) for t in names.split()}
-SEED_PAGES = 360
+SEED_PAGES = 420
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -60,6 +60,8 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             for x in (chars, links, tags, runs, count, paras):
                 x[parent[i]] += x[i]
     total = max(1.0, chars[0])
+    said = np.array([len(x.text) for x in nodes], float)
+    before = said.cumsum() - said
     own = np.zeros((n, len(TAGS) + len(GROUPS)))
     above = np.zeros((n, len(TAGS) + len(GROUPS)))
     rest = np.zeros((n, 16))
@@ -96,7 +98,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             sum(text.count(c) for c in ",.;:!?") / max(1, len(text)),
             text.count(" "),
             (i + 1) / n,
-            chars[:i].sum() / total if i < 200 else 1.0,
+            before[i] / total,
         )
     return nodes, np.concatenate([own, above, rest], axis=1)
 
@@ -134,6 +136,9 @@ def seed_page(rng: random.Random) -> str:
 
     def article() -> str:
         title, out = m(2, 10), []
+        if rng.random() < 0.25:  # a few words
+            text = m(1, pick((2, 4, 9)))
+            return f"<h1>{text}</h1><p>{text}</p>" if rng.random() < 0.5 else f"<p>{text}</p>"
         if rng.random() < 0.8:
             out.append(pick((f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h2 class='entry-title'>{title}</h2>")))
         for _ in range(pick((1, 1, 2, 3, 4, 6, 10, 18))):
@@ -150,8 +155,8 @@ def seed_page(rng: random.Random) -> str:
                 out.append("<table>" + "".join(f"<tr><td>{m(1, 3)}</td><td>{m(1, 3)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
             else:
                 out.append(f"<div>{m(4, 40)}</div>")
-            if rng.random() < 0.05:
-                out.append(pick((f"<div class='{pick(('ad', 'advert', 'sponsored', 'promo-box'))}'>{s(2, 14)}</div>", f"<aside class='related'><ul>{links(3)}</ul></aside>", f"<div class='share'><a href='#'>{s(1, 1)}</a> <a href='#'>{s(1, 1)}</a></div>", f"<form class='newsletter'><label>{s(2, 6)}</label><input name=x><button>go</button></form>", f"<div class='notice'><p>{s(4, 12)}</p></div>")))
+            if rng.random() < 0.08:
+                out.append(pick((f"<div class='{pick(('ad', 'advert', 'sponsored', 'promo-box'))}'>{s(2, 14)}</div>", f"<aside class='related'><ul>{links(3)}</ul></aside>", f"<div class='share'><a href='#'>{s(1, 1)}</a> <a href='#'>{s(1, 1)}</a></div>", f"<form class='newsletter'><label>{s(2, 6)}</label><input name=x><button>go</button></form>", f"<form action='/x'><p>{s(2, 8)}</p><input name=x></form>", f"<form><h3>{s(1, 4)}</h3><p>{s(3, 20)}</p><input></form>", f"<div class='notice'><p>{s(4, 12)}</p></div>")))
         return "".join(out)
 
     comment = lambda: f"<{(t := pick(('li', 'div', 'article')))} class='comment'><p>{s(1, 30)}</p></{t}>"
@@ -167,7 +172,7 @@ def seed_page(rng: random.Random) -> str:
         pick(("", f"<aside><h3>{s(1, 3)}</h3><ul>{links(4)}</ul></aside>", f"<div class='sidebar'><h3>{s(1, 2)}</h3><p>{s(5, 40)}</p><ul>{links(3)}</ul></div>", f"<aside class='widget'><p>{s(5, 60)}</p></aside>")),
         pick(("", "", f"<section id='comments'><h3>{s(1, 2)}</h3>{''.join(comment() for _ in range(rng.randint(1, 7)))}</section>", f"<div class='comments'>{''.join(comment() for _ in range(rng.randint(1, 7)))}</div>", f"<ol class='commentlist'>{''.join(comment() for _ in range(rng.randint(1, 5)))}</ol>")),
         pick(("", "", f"<div class='{pick(('ad', 'advertisement', 'sponsored'))}'>{s(3, 25)}</div>")),
-        pick((f"<footer>&copy; {s(2, 12)}</footer>", f"<div id='footer'><p>{s(3, 20)}</p><ul>{links(3)}</ul></div>", f"<footer><p>{s(3, 30)}</p></footer>", "")),
+        pick((f"<footer>&copy; {s(2, 12)}</footer>", f"<footer>&copy; {s(1, 1)} &middot; {s(6, 30)}</footer>", f"<div id='footer'><p>{s(3, 20)}</p><ul>{links(3)}</ul></div>", f"<footer><p>{s(3, 30)}</p></footer>", "")),
     ]
     if rng.random() < 0.08:  # nothing but the text
         before, after = [], [""]
