@@ -17,8 +17,8 @@ from quillon.llm.storage import Table
 
 #: Labelled rows that the classifier is fitted on, at most, and words it may know.
 MAX_ROWS, MAX_WORDS = 12_000, 256
-#: Labelled documents that must hold a word.
-MIN_DOCS = 8
+#: Labelled documents that must hold a word; how much likelier some domain must make it; its chi-square.
+MIN_DOCS, MIN_LIFT, MIN_CHI = 8, 2.5, 20.0
 #: Share of all tokens that each domain is to have.
 TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 STEPS, TOLERANCE = 40, 1e-9
@@ -48,23 +48,31 @@ def _with_features(docs: DataFrame) -> DataFrame:
     ).drop("_text", "_bare", "_chars", "_lines")
 
 
+#: Quantiles of a statistic that part it into bins.
+QUANTILES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98)
+
+
+def _bin(statistic: str, edges: list[float]) -> Column:
+    """Which of the bins a statistic lies in, from 0."""
+    return sum(((F.col(f"_{statistic}") > e).cast("int") for e in edges), F.lit(0))
+
+
 class Classifier:
-    """Naive Bayes: Gaussians over statistics of the text, and which of a list of words it holds."""
+    """Naive Bayes: in which bins the statistics of a text lie, and which of a list of words it holds."""
 
-    def __init__(self, prior: dict, mean: dict, deviation: dict, word_gain: dict[str, dict[str, float]]):
-        self.prior, self.mean, self.deviation, self.word_gain = prior, mean, deviation, word_gain
+    def __init__(self, prior: dict, edges: dict[str, list[float]], bin_gain: dict[str, dict[str, list[float]]], word_gain: dict[str, dict[str, float]]):
+        self.prior, self.edges, self.bin_gain, self.word_gain = prior, edges, bin_gain, word_gain
 
     def posteriors(self, features: DataFrame) -> DataFrame:
         """Adds p_<domain> for each domain; drops the features but ``_n``."""
         domains = sorted(self.prior)
         out = features.withColumn("_known", F.array_intersect("_words", F.array(*[F.lit(w) for w in sorted(self.word_gain)]).cast("array<string>")))
+        out = out.withColumns({f"_b_{s}": _bin(s, self.edges[s]) for s in STATISTICS})
 
         def logit(domain: str) -> Column:
             total = F.lit(math.log(self.prior[domain]))
             for s in STATISTICS:
-                m, d = self.mean[domain][s], self.deviation[domain][s]
-                z = F.least(F.abs((F.col(f"_{s}") - m) / d), F.lit(6.0))
-                total = total - z * z / 2 - math.log(d)
+                total = total + F.get(F.array(*[F.lit(g) for g in self.bin_gain[domain][s]]), F.col(f"_b_{s}"))
             if self.word_gain:
                 gains = F.create_map(*[x for w, g in sorted(self.word_gain.items()) for x in (F.lit(w), F.lit(float(g[domain])))])
                 total = total + F.aggregate("_known", F.lit(0.0), lambda acc, w: acc + F.element_at(gains, w))
@@ -75,7 +83,7 @@ class Classifier:
         out = out.withColumns({f"_e_{d}": F.exp(F.col(f"_l_{d}") - top) for d in domains})
         whole = sum((F.col(f"_e_{d}") for d in domains), F.lit(0.0))
         out = out.withColumns({f"p_{d}": F.col(f"_e_{d}") / whole for d in domains})
-        return out.drop("_known", "_words", *[f"_{s}" for s in STATISTICS], *[f"_{x}_{d}" for x in "le" for d in domains])
+        return out.drop("_known", "_words", *[f"_{x}{s}" for x in ("", "b_") for s in STATISTICS], *[f"_{x}_{d}" for x in "le" for d in domains])
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max_rows: int = MAX_ROWS) -> Classifier | None:
@@ -84,7 +92,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     own = own.groupBy("doc_id").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")  # max_rows rows at most
     rows = Table(_with_features(met).drop("doc_id", "text"), "labelled")
-    fits = [F.count("*").alias("n")] + [f(f"_{s}").alias(f"{k}_{s}") for s in STATISTICS for k, f in (("mean", F.mean), ("dev", F.stddev_pop))]
+    cuts = rows.read().agg(*[F.percentile_approx(f"_{s}", list(QUANTILES), 10_000).alias(s) for s in STATISTICS]).first()
+    edges = {s: sorted(set(cuts[s] or [])) for s in STATISTICS}
+    fits = [F.count("*").alias("n")] + [F.count_if(_bin(s, edges[s]) == i).alias(f"{s}_{i}") for s in STATISTICS for i in range(len(edges[s]) + 1)]
     stats = {r["_domain"]: r for r in rows.read().groupBy("_domain").agg(*fits).collect()}
     if not stats:
         return None
@@ -93,17 +103,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     domains = sorted(n)
     per_word = rows.read().select("_domain", F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("_domain") == d).alias(f"n_{d}") for d in domains])
     odd = sum((F.pow(F.col(f"n_{d}") - F.col("n") * (n[d] / total), 2) / (F.col("n") * (n[d] / total)) for d in domains), F.lit(0.0))
-    words = per_word.filter(F.col("n") >= MIN_DOCS).withColumn("odd", odd).orderBy(F.desc("odd"), "w").limit(MAX_WORDS).collect()
+    lift = F.greatest(*[F.col(f"n_{d}") / (F.col("n") * (n[d] / total)) for d in domains]) if len(domains) > 1 else F.lit(1.0)
+    words = per_word.withColumns({"odd": odd, "lift": lift}).filter((F.col("n") >= MIN_DOCS) & (F.col("lift") >= MIN_LIFT) & (F.col("odd") >= MIN_CHI)).orderBy(F.desc("odd"), "w").limit(MAX_WORDS).collect()
     rows.drop()
     share = {r["w"]: {d: (r[f"n_{d}"] + 0.5) / (n[d] + 1) for d in domains} for r in words}
     gain = {w: {d: math.log(p) - math.log(sum(n[x] * s[x] for x in domains) / total) for d, p in s.items()} for w, s in share.items()}
-    wide = {s: math.sqrt(sum(n[d] * (stats[d][f"dev_{s}"] ** 2 + stats[d][f"mean_{s}"] ** 2) for d in domains) / total) for s in STATISTICS}
-    return Classifier(
-        {d: n[d] / total for d in domains},
-        {d: {s: stats[d][f"mean_{s}"] for s in STATISTICS} for d in domains},
-        {d: {s: max(stats[d][f"dev_{s}"], 0.05 * wide[s], 1e-6) for s in STATISTICS} for d in domains},
-        gain,
-    )
+    bin_gain = {d: {s: [math.log((stats[d][f"{s}_{i}"] + 0.5) / (n[d] + 0.5 * (len(edges[s]) + 1))) for i in range(len(edges[s]) + 1)] for s in STATISTICS} for d in domains}
+    return Classifier({d: n[d] / total for d in domains}, edges, bin_gain, gain)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
