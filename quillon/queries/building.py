@@ -12,7 +12,7 @@ from quillon.functions import scalars as S
 from quillon.operators import diff, facets, load, merge, profile
 from quillon.plans import keygraph as G
 from quillon.plans import release
-from quillon.queries.loading import _BOTH, _CUST, _SET, _customers, _events, _newer
+from quillon.queries.loading import _BOTH, _SET, _customers, _events, _newer
 from quillon.queries.scalar import orders_as_documents
 from quillon.registry import Tables, big, query
 
