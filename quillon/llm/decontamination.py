@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quillon.cluster import ship
 from quillon.llm import hashing
-from quillon.llm.texts import buffers
 
 #: Bytes in a gram; edits allowed for a byte of a probe; bytes in a probe, and from one to the next.
 GRAM, EDIT_RATE, PROBE, STRIDE = 10, 0.08, 160, 80

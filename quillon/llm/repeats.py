@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.llm import hashing, ordering
 from quillon.llm.storage import Table, tidy
