@@ -261,7 +261,10 @@ def _without_subsets(held: DataFrame, tops: int = 3) -> DataFrame:
 
 
 def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links and first (one row of each class) of each row, with did and rid.
+    """doc_id, class_id, n_links and first of each row, with did and rid.
+
+    ``first`` marks one document of each class, and one of all that have no words: those are
+    copies of each other, though they link with nothing.
 
     Rows link if the Jaccard similarity of their sets of word ``shingle``-grams is at least
     ``similarity``; the set of a shorter text has one shingle, all its words. ``n_links``
@@ -312,11 +315,11 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     out = members.read().withColumn("k", F.col("head").bitwiseXOR(F.lit(APART))).join(known.read(), "k", "left")
     n_links = F.when(F.col("some"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
     class_id = F.when(F.col("some"), F.coalesce("component", "head")).otherwise(F.col("did"))
-    return out.select(F.when(F.col("did") != -(1 << 63), F.col("did")).alias("doc_id"), F.when(class_id != -(1 << 63), class_id).alias("class_id"), n_links.cast("long").alias("n_links"), (F.col("did") == class_id).alias("first"), "did", "rid")
+    return out.select(F.when(F.col("did") != -(1 << 63), F.col("did")).alias("doc_id"), F.when(class_id != -(1 << 63), class_id).alias("class_id"), n_links.cast("long").alias("n_links"), F.when(F.col("some"), F.col("did") == class_id).otherwise(F.col("did") == F.col("head")).alias("first"), "did", "rid")
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """``docs``, all its columns, with the smallest doc_id of each class and no other."""
+    """``docs``, all its columns, with the smallest doc_id of each class and no other; of texts without words too."""
     stays = ngram_classes(docs).filter("first").select(F.col("did").alias("_did2"), F.col("rid").alias("_rid2")).distinct()
     own = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_rid": F.hash(F.col("text").cast("string"))})
     met = own.join(stays, (F.col("_did") == F.col("_did2")) & (F.col("_rid") == F.col("_rid2")))
