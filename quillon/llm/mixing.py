@@ -21,7 +21,7 @@ MAX_ROWS, MAX_WORDS = 12_000, 256
 MIN_DOCS, MIN_LIFT, MIN_CHI = 8, 2.5, 20.0
 #: Share of all tokens that each domain is to have.
 TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
-STEPS, TOLERANCE = 40, 1e-9
+STEPS, TOLERANCE = 40, 1e-7
 
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
 _MARK = r"[\p{Punct}]+"
@@ -94,11 +94,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     rows = Table(_with_features(met).drop("doc_id", "text"), "labelled")
     cuts = rows.read().agg(*[F.percentile_approx(f"_{s}", list(QUANTILES), 10_000).alias(s) for s in STATISTICS]).first()
     edges = {s: sorted(set(cuts[s] or [])) for s in STATISTICS}
-    fits = [F.count("*").alias("n")] + [F.count_if(_bin(s, edges[s]) == i).alias(f"{s}_{i}") for s in STATISTICS for i in range(len(edges[s]) + 1)]
-    stats = {r["_domain"]: r for r in rows.read().groupBy("_domain").agg(*fits).collect()}
-    if not stats:
+    n = {r["_domain"]: r["n"] for r in rows.read().groupBy("_domain").agg(F.count("*").alias("n")).collect()}
+    if not n:
         return None
-    n = {d: r["n"] for d, r in stats.items()}
+    places = F.array(*[F.struct(F.lit(s).alias("s"), _bin(s, edges[s]).alias("b")) for s in STATISTICS])
+    held = rows.read().select("_domain", F.explode(places).alias("p")).groupBy("_domain", "p.s", "p.b").agg(F.count("*").alias("n")).collect()
+    counts = {(r["_domain"], r["s"], r["b"]): r["n"] for r in held}
     total = sum(n.values())
     domains = sorted(n)
     per_word = rows.read().select("_domain", F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("_domain") == d).alias(f"n_{d}") for d in domains])
@@ -108,7 +109,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     rows.drop()
     share = {r["w"]: {d: (r[f"n_{d}"] + 0.5) / (n[d] + 1) for d in domains} for r in words}
     gain = {w: {d: math.log(p) - math.log(sum(n[x] * s[x] for x in domains) / total) for d, p in s.items()} for w, s in share.items()}
-    bin_gain = {d: {s: [math.log((stats[d][f"{s}_{i}"] + 0.5) / (n[d] + 0.5 * (len(edges[s]) + 1))) for i in range(len(edges[s]) + 1)] for s in STATISTICS} for d in domains}
+    bin_gain = {d: {s: [math.log((counts.get((d, s, i), 0) + 0.5) / (n[d] + 0.5 * (len(edges[s]) + 1))) for i in range(len(edges[s]) + 1)] for s in STATISTICS} for d in domains}
     return Classifier({d: n[d] / total for d in domains}, edges, bin_gain, gain)
 
 
