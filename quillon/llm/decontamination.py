@@ -14,6 +14,8 @@ from quillon.llm import hashing
 
 #: Bytes in a gram; edits allowed for a byte of a probe; bytes in a probe, and from one to the next.
 GRAM, EDIT_RATE, PROBE, STRIDE = 10, 0.08, 160, 80
+#: The same for excerpts: any 80 bytes lie within 4, fewer than the edits allowed, of a probe's place.
+EXCERPT, EXCERPT_STRIDE = 80, 8
 #: Benchmark text that is sent to the executors at once; a larger benchmark comes in blocks.
 BLOCK_BYTES = 4 << 20
 #: Document text that is looked at in one go; longer texts overlap from piece to piece.
@@ -31,12 +33,16 @@ def budget(m: int, gram: int = GRAM, rate: float = EDIT_RATE) -> int:
     return max(0, min(int(rate * m), (m + 1) // gram - 2))
 
 
-def probes_of(text: bytes, length: int = PROBE, stride: int = STRIDE) -> list[bytes]:
-    """Overlapping stretches of an item; a short item is one, one under a gram's length none."""
-    if len(text) <= length:
-        return [text] if len(text) >= GRAM else []
-    starts = [*range(0, len(text) - length, stride), len(text) - length]
-    return [text[a : a + length] for a in starts]
+def rounds_of(length: int, stride: int) -> list[tuple[int, int, int]]:
+    """Probes of an item in rounds of (bytes, first start, step), where no gram lies in two probes of a round.
+
+    The first round, of step 0, is the item's last ``length`` bytes, or all of a shorter one.
+    """
+    step = -(-(length - GRAM + 1) // stride) * stride
+    return [(length, 0, 0), *((length, first, step) for first in range(0, step, stride))]
+
+
+LONG, SHORT = rounds_of(PROBE, STRIDE), rounds_of(EXCERPT, EXCERPT_STRIDE)
 
 
 def banded_distance(probe: np.ndarray, text: np.ndarray, edits: int) -> int:
@@ -56,38 +62,36 @@ def banded_distance(probe: np.ndarray, text: np.ndarray, edits: int) -> int:
 
 
 class Index:
-    """The grams of a block of probes."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.items, self.probes, grams, owner, at = [], [], [], [], []
-        for item, text in items:
-            for probe in probes_of(text):
-                data = np.frombuffer(probe, np.uint8)
-                g = hashing.Prefix(hashing.BYTE_CODES[data]).windows(GRAM)
-                grams.append(g)
-                owner.append(np.full(len(g), len(self.probes)))
-                at.append(np.arange(len(g)))
-                self.items.append(item)
-                self.probes.append(data)
+    """The grams of a block of items, an item under a gram's length has none; its probes come in rounds."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], rounds: list[tuple[int, int, int]] = LONG):
+        self.rounds = rounds
+        self.items = [item for item, _ in items]
+        self.texts = [np.frombuffer(text, np.uint8) for _, text in items]
+        self.size = np.array([len(x) for x in self.texts], np.int64)
+        grams = [hashing.Prefix(hashing.BYTE_CODES[x]).windows(GRAM) for x in self.texts]
+        owner, at = [np.full(len(g), i) for i, g in enumerate(grams)], [np.arange(len(g)) for g in grams]
         order = np.argsort(np.concatenate(grams), kind="stable") if grams else np.zeros(0, np.int64)
         joined = [np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (grams, owner, at)]
         self.grams, first = np.unique(joined[0], return_index=True)
         self.first, self.owner, self.at = np.append(first, len(order)), joined[1], joined[2]
-        self.edits = np.array([budget(len(p)) for p in self.probes], np.int64)
-        self.size = np.array([len(p) for p in self.probes], np.int64)
-        self.need = self.size + 1 - GRAM * (self.edits + 1)
+        longest = max(length for length, _, _ in rounds)
+        self.edits = np.array([budget(m) for m in range(longest + 1)], np.int64)
+        self.need = np.arange(longest + 1) + 1 - GRAM * (self.edits + 1)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.grams.astype(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.reach = int((self.size + 2 * self.edits).max()) if len(self.size) else 0
+        sizes = [m for x in self.size.tolist() if x >= GRAM for m in {min(x, length) for length, _, _ in rounds}]
+        self.least = min((int(self.need[m]) for m in sizes), default=1)
+        self.reach = max((m + 2 * int(self.edits[m]) for m in sizes), default=0)
 
     def search(self, data: np.ndarray) -> set[int]:
-        """Probes that some stretch of the bytes, of one or more texts, matches within its budget."""
+        """Items of which some stretch of the bytes, of one or more texts, matches a probe within its budget."""
         return {p for p, _ in self.matches(data, np.zeros(1, np.int64), np.array([len(data)]))}
 
     def matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(probe, text) for the texts that follow one another in ``data``."""
+        """(item, text) for the texts that follow one another in ``data``."""
         found: set[tuple[int, int]] = set()
-        if not len(self.probes) or len(data) < GRAM:
+        if not len(self.grams) or len(data) < GRAM:
             return found
         g = hashing.Prefix(hashing.BYTE_CODES[data]).windows(GRAM)
         pos = np.flatnonzero(self.table[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -96,35 +100,66 @@ class Index:
         pos, slot = pos[ok], slot[ok]
         # of the grams around it, as many must be known as the least of all probes asks for
         crowd = np.searchsorted(pos, pos + self.reach) - np.searchsorted(pos, pos - self.reach)
-        pos, slot = pos[crowd >= self.need.min()], slot[crowd >= self.need.min()]
+        pos, slot = pos[crowd >= self.least], slot[crowd >= self.least]
         if not len(pos):
             return found
         many = self.first[slot + 1] - self.first[slot]
         entry = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos, probe, off = np.repeat(pos, many), self.owner[entry], self.at[entry]
+        pos, item, off = np.repeat(pos, many), self.owner[entry], self.at[entry]
         text = np.searchsorted(starts, pos, "right") - 1
         inside = pos + GRAM <= ends[text]
-        pos, probe, off, text = pos[inside], probe[inside], off[inside], text[inside]
-        diagonal, half = pos - off, 2 * self.edits[probe] + 1
+        pos, item, off, text = pos[inside], item[inside], off[inside], text[inside]
+        near = np.zeros(len(pos), bool)  # as many on one item's diagonals, in bands as wide as any probe needs
+        width = 2 * int(self.edits.max()) + 1
+        for shift in (0, 1):
+            band = (pos - off + shift * width) // (2 * width)
+            order, first, count = _groups(band, text, item)
+            near[order] |= np.repeat(count >= self.least, count)
+        pos, item, off, text = pos[near], item[near], off[near], text[near]
+        for length, begin, step in self.rounds:
+            if not len(pos):
+                break
+            size = self.size[item]
+            m = np.minimum(size, length)
+            start = size - m if not step else begin + (off - begin) // step * step
+            inside = (off >= start) & (off + GRAM <= start + m) & (start >= 0) & (start + m <= size)
+            self._judge(data, starts, ends, found, *(x[inside] for x in (pos, item, off, text, start, m)))
+            if found:  # what is found needs no further rounds
+                known = np.array([i * len(starts) + t for i, t in found], np.int64)
+                left = ~np.isin(item * len(starts) + text, known)
+                pos, item, off, text = pos[left], item[left], off[left], text[left]
+        return found
+
+    def _judge(self, data, starts, ends, found, pos, item, off, text, start, m) -> None:
+        """Adds the (item, text) of which a probe, ``m`` bytes of the item from ``start``, matches."""
+        diagonal, half = pos - off, 2 * self.edits[m] + 1
         for shift in (0, 1):  # bands of twice the needed width, overlapping by half
             band = (diagonal + shift * half) // (2 * half)
-            order = np.lexsort((pos, band, text, probe))
-            p, t, b, d = probe[order], text[order], band[order], diagonal[order]
-            if not len(p):
-                continue
-            first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (t[1:] != t[:-1]) | (b[1:] != b[:-1])))
-            count = np.diff(np.append(first, len(p)))
-            for k in np.flatnonzero(count >= self.need[p[first]]).tolist():
-                lo = int(first[k])
-                key = (int(p[lo]), int(t[lo]))
+            order, first, count = _groups(band, text, start, item)
+            for k in np.flatnonzero(count >= self.need[m[order[first]]]).tolist():
+                rows = order[first[k] : first[k] + count[k]]
+                key = (int(item[rows[0]]), int(text[rows[0]]))
                 if key in found:
                     continue
-                ds, e, m = d[lo : lo + count[k]], int(self.edits[key[0]]), int(self.size[key[0]])
-                a = max(int(starts[key[1]]), int(ds.min()) - e)
-                z = min(int(ends[key[1]]), int(ds.max()) + m + e)
-                if self.probes[key[0]].tobytes() in data[a:z].tobytes() or banded_distance(self.probes[key[0]], data[a:z], e) <= e:
+                at, size = int(start[rows[0]]), int(m[rows[0]])
+                probe, e = self.texts[key[0]][at : at + size], int(self.edits[size])
+                # where the probe's own start would be
+                a = max(int(starts[key[1]]), int(diagonal[rows].min()) + at - e)
+                z = min(int(ends[key[1]]), int(diagonal[rows].max()) + at + size + e)
+                if probe.tobytes() in data[a:z].tobytes() or banded_distance(probe, data[a:z], e) <= e:
                     found.add(key)
-        return found
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, where in it each group starts, and the groups' sizes."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, order, order
+    change = np.zeros(len(order) - 1, bool)
+    for x in keys:
+        change |= x[order][1:] != x[order][:-1]
+    first = np.flatnonzero(np.append(True, change))
+    return order, first, np.diff(np.append(first, len(order)))
 
 
 def _found_items(index: Index, texts: list[str | None]) -> list[set]:
@@ -136,8 +171,8 @@ def _found_items(index: Index, texts: list[str | None]) -> list[set]:
     def flush() -> None:
         nonlocal load
         ends = np.cumsum([len(x) for x in held])
-        for probe, text in index.matches(np.frombuffer(b"".join(held), np.uint8), ends - [len(x) for x in held], ends):
-            out[rows[text]].add(index.items[probe])
+        for item, text in index.matches(np.frombuffer(b"".join(held), np.uint8), ends - [len(x) for x in held], ends):
+            out[rows[text]].add(index.items[item])
         held.clear()
         rows.clear()
         load = 0
@@ -160,7 +195,7 @@ def _mark(items: list[tuple[int | None, bytes]]):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cache:
-            cache.append(Index(items))
+            cache.append(Index(items, LONG + SHORT))
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             found = _found_items(cache[0], batch.column(at["_text"]).to_pylist())
@@ -199,8 +234,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items and item_ids (sorted) for each row of docs.
 
     Texts and items are compared in lower case with single spaces, as UTF-8 bytes. An item
-    counts as found if one of its probes (stretches of ``PROBE`` bytes every ``STRIDE``, or all
-    of a shorter item) is within its edit budget of some stretch of the text. By the
+    counts as found if one of its probes (stretches of ``PROBE`` bytes every ``STRIDE`` and of
+    ``EXCERPT`` bytes every ``EXCERPT_STRIDE``, or all of a shorter item) is within its edit
+    budget of some stretch of the text; so is any ``EXCERPT`` bytes copied word for word. By the
     q-gram lemma such a stretch shares at least m + 1 - q (e + 1) q-grams with the probe on
     diagonals that differ by no more than 2 e, so only regions are aligned whose band, of
     bands that overlap by half, has that many. Null and empty texts, and items under

@@ -245,6 +245,30 @@ def test_probes_are_found_exactly_within_their_budget():
         assert bool(index.search(np.frombuffer(text, np.uint8))) == (_edit_distance_within(probe, text) <= decontamination.budget(90))
 
 
+def test_excerpts_are_found_at_every_offset():
+    rng = random.Random(12)
+    filler = lambda n: "".join(rng.choice("ABCDEFGHIJ ") for _ in range(n))
+    for size in (95, 124, 160, 240, 394):
+        item = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size)).replace(" ", "q ")[:size].strip()
+        item = " ".join(item.split())
+        index = decontamination.Index([(7, item.encode())], decontamination.LONG + decontamination.SHORT)
+        cuts = [item[a : a + 80] for a in range(len(item) - 79)]
+        texts = [" ".join((filler(50) + cut + filler(50)).upper().replace(cut.upper(), cut).split()) for cut in cuts]
+        found = decontamination._found_items(index, texts)
+        assert all(f == {7} for f in found), (size, [i for i, f in enumerate(found) if not f])
+        shorter = [filler(50) + item[a : a + 60] + filler(50) for a in range(len(item) - 59)]
+        assert not any(decontamination._found_items(index, shorter))
+
+
+def test_excerpts_of_two_items_and_of_texts_without_spaces(spark):
+    rng = random.Random(13)
+    items = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90)), "".join(rng.choice("abcdefgh ") for _ in range(240)), " ".join(["same"] * 50)]
+    texts = ["x" * 30 + items[0][31:58] + "y" * 30, items[1][40:200] + " and " + items[0][50:80], "z " * 60, items[2][3:90]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.find_contamination(_docs(spark, texts), bench).collect()}
+    assert got == {0: [0], 1: [0, 1], 2: [], 3: [2]}
+
+
 def _labelled(seed=1, n=400):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 5))) for _ in range(300)]
