@@ -19,13 +19,14 @@ from quillon.llm.storage import Table
 from quillon.llm.texts import NO_ID
 
 THRESHOLD = 0.93
-#: Vectors in a shard, shards a vector goes to in each set of centers, sets, and centers at most.
+#: Vectors in a shard, shards a vector goes to in each set of centers, sets at least, and centers at most.
 SHARD, OVERLAP, SETS, MAX_CENTERS = 600, 2, 2, 512
+#: The share of pairs at the threshold that are to meet in a shard, the pairs it is measured on, and sets at most.
+RECALL, TRIALS, MAX_SETS = 0.9999, 4000, 24
 #: Vectors of a shard's block; a larger shard is searched block pair by block pair.
 BLOCK = 1024
 #: Neighbours kept by pruning, candidates for them, long-range neighbours, and the search's beam steps.
 DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 20, 40, 6, 24, 1.2
-SAMPLED = 100
 
 
 def usable(vector: list | None, label: int | None) -> np.ndarray | None:
@@ -62,18 +63,65 @@ def _spread(rows: list[np.ndarray], k: int) -> np.ndarray:
     return chosen
 
 
+def _nearest(units: np.ndarray, centers: list[np.ndarray], overlap: int) -> np.ndarray:
+    """For each row of units the nearest centers; those of other lengths come last."""
+    near = np.full((len(units), len(centers)), -2.0)
+    same = [i for i, c in enumerate(centers) if len(c) == units.shape[1]]
+    if same:
+        near[:, same] = units @ np.stack([centers[i] for i in same]).T
+    return np.argsort(-near, axis=1, kind="stable")[:, :overlap]
+
+
+def center_sets(rows: list[np.ndarray], k: int, threshold: float) -> list[list[np.ndarray]]:
+    """Sets of up to k centers, as many as pairs at the threshold need to meet with the probability ``RECALL``.
+
+    That is measured on pairs of a row and a vector at the threshold from it, in any direction.
+    """
+    sets = [c for c in (_spread(rows[s::SETS], k) for s in range(SETS)) if c]
+    if not sets:
+        return sets
+    rng = np.random.default_rng(k)
+    pairs, apart = [], []
+    for width in sorted({len(x) for x in rows}):
+        mine = [x for x in rows if len(x) == width]
+        x = np.stack([mine[i] for i in rng.integers(0, len(mine), -(-TRIALS * len(mine) // len(rows)))])
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        norm = np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = min(1.0, max(-1.0, threshold))
+        pairs.append((x, cosine * x + math.sqrt(1 - cosine**2) * side / np.where(norm > 0, norm, 1)))
+        apart.append(np.ones(len(x), bool))
+    chance, done = 1.0, 0
+    while True:
+        for centers in sets[done:]:
+            lone = []
+            for (x, y), both in zip(pairs, apart, strict=True):
+                a, b = _nearest(x, centers, OVERLAP), _nearest(y, centers, OVERLAP)
+                lone.append(~(a[:, :, None] == b[:, None, :]).any((1, 2)))
+                both &= lone[-1]
+            chance *= max(np.concatenate(lone).mean(), 1 / TRIALS)
+        done = len(sets)
+        if (chance <= 1 - RECALL and not any(x.any() for x in apart)) or done >= MAX_SETS:
+            return sets
+        sets.append(_spread([rows[i] for i in rng.permutation(len(rows))], k))
+
+
 def _route(sets: list[list[np.ndarray]], overlap: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("label", "shard", "did", "copies", "shards", "unit")}
-            for label, did, copies, unit in zip(*(batch.column(n).to_pylist() for n in ("label", "did", "copies", "unit")), strict=True):
-                x, mine, base = np.frombuffer(unit, np.float64), [], 0
+            units = [np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()]
+            width, mine = np.array([len(x) for x in units]), [[] for _ in units]
+            for w in np.unique(width):
+                at, base = np.flatnonzero(width == w), 0
+                x = np.stack([units[i] for i in at])
                 for centers in sets:
-                    near = np.array([float(c @ x) if len(c) == len(x) else -2.0 for c in centers])
-                    mine += [base + int(i) for i in np.argsort(-near, kind="stable")[:overlap]]
+                    for i, near in zip(at.tolist(), (base + _nearest(x, centers, overlap)).tolist(), strict=True):
+                        mine[i] += near
                     base += len(centers)
-                known = np.array(sorted(mine), np.int64).tobytes()
-                for s in mine:
+            for label, did, copies, unit, shards in zip(*(batch.column(n).to_pylist() for n in ("label", "did", "copies", "unit")), mine, strict=True):
+                known = np.array(sorted(shards), np.int64).tobytes()
+                for s in shards:
                     for n, v in zip(out, (label, s, did, copies, known, unit), strict=True):
                         out[n].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -168,18 +216,18 @@ def range_search(cosine: np.ndarray, graph: np.ndarray, threshold: float, beam:
     return found | found.T
 
 
-def find_links(unit: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
-    """A symmetric matrix of links, verified, whose recall a sample has been held against."""
+def find_links(unit: np.ndarray, threshold: float) -> np.ndarray:
+    """A symmetric matrix of all links: a later shard that holds both ends leaves them to this one."""
     cosine = unit @ unit.T
+    true = cosine >= threshold
     if len(unit) <= 48:  # as many as a vector has neighbours
-        found = cosine >= threshold
+        found = true
     else:
         found = range_search(cosine, robust_pruned_graph(cosine, len(unit)), threshold)
-        sample = np.flatnonzero((ids % SAMPLED == 0) | (np.arange(len(ids)) % 16 == 0))
-        if (found[sample] != (cosine[sample] >= threshold)).any():  # the audit: widen the search
+        if (found != true).any():  # the audit, of every vector: widen the search
             found = range_search(cosine, robust_pruned_graph(cosine, len(unit) + 1), threshold, 8 * BEAM)
-            if (found[sample] != (cosine[sample] >= threshold)).any():
-                found = cosine >= threshold
+            if (found != true).any():
+                found = true
     np.fill_diagonal(found, False)
     return found
 
@@ -195,7 +243,7 @@ def _search(threshold: float):
         width = np.array([len(p) for p in packed])
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
-            found[np.ix_(at, at)] = find_links(np.stack([np.frombuffer(packed[k], np.float64) for k in at]), did[at], threshold)
+            found[np.ix_(at, at)] = find_links(np.stack([np.frombuffer(packed[k], np.float64) for k in at]), threshold)
         before: dict[int, list[int]] = {}
         for k, ids in enumerate(known):  # a pair counts in the first shard that holds both
             for s in ids[ids < shard].tolist():
@@ -262,9 +310,11 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     Vectors go to the shards of their nearest centers, in several sets of centers; in each
     shard (or pair of blocks of a large one) a flat graph is built with robust pruning, with its
     lists' union with their reverse, and searched from the medoid, going on from all that is
-    in range; cosines are verified and a sample's recall audited: a shard that misses a
-    link of the sample is searched again, wider, and then in full. A link counts in
-    the first shard that holds both sides; shards send numbers of links and spanning trees.
+    in range; cosines are verified and the recall of every vector audited: a shard that misses a
+    link is searched again, wider, and then in full. A link counts in the first shard that
+    holds both sides, which has reported it; shards send numbers of links and spanning trees.
+    The shards' graphs are not united: a link between vectors that share no shard is lost, and
+    there are as many sets of centers as keep that rare at the threshold (``center_sets``).
     """
     spark = embeddings.sparkSession
     ship(spark)
@@ -279,7 +329,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     k = max(1, min(MAX_CENTERS, math.ceil(n * OVERLAP / (shard * max(1, labels)))))
     picked = standing.read().orderBy(F.xxhash64("v1"), "did").limit(8 * SETS * k).select("unit").collect()  # MAX_CENTERS bounds them
     rows = [np.frombuffer(r["unit"], np.float64) for r in picked]
-    sets = [c for c in (_spread(rows[s::SETS], k) for s in range(SETS)) if c]
+    sets = center_sets(rows, k, threshold)
     routed = standing.read().select("label", "did", "copies", "unit").mapInArrow(_route(sets, OVERLAP), "label long, shard long, did long, copies long, shards binary, unit binary")
     placed, below = ordering.equal_groups(routed, ["label", "shard"], ["did"], [2], "shards")
     dealt = placed.mapInArrow(_deal(BLOCK), "label long, shard long, did long, copies long, shards binary, unit binary, i int, j int, own int")

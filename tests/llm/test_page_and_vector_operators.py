@@ -139,6 +139,35 @@ def test_graph_search_recall():
     assert not (found & ~true).any() and (found & true).sum() / true.sum() >= 0.9
 
 
+def _lone_pairs(n, width, seed):
+    """n pairs with cosines of 0.931, pair by pair, and n vectors with no other near."""
+    rng = np.random.default_rng(seed)
+    x, side = rng.normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    other = rng.normal(size=(n, width))
+    return np.concatenate([x, 0.931 * x + np.sqrt(1 - 0.931**2) * side, other / np.linalg.norm(other, axis=1, keepdims=True)])
+
+
+def test_a_shard_reports_all_its_links():
+    for seed in range(6):
+        unit = _lone_pairs(200, 64, seed)
+        true = unit @ unit.T >= 0.93
+        np.fill_diagonal(true, False)
+        assert (embedding_dedup.find_links(unit, 0.93) == true).all()
+
+
+def test_links_are_found_with_hundreds_of_centers(spark):
+    n = 1500
+    unit = _lone_pairs(n, 64, 5)
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(unit.tolist())], "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df, shard=25).collect()}  # 360 centers a set
+    true = unit @ unit.T >= 0.93
+    missed = [i for i in range(3 * n) if got[i] != (true[i].sum() - 1, int(true[i].argmax()))]
+    assert len(missed) <= 2  # one pair of the 1,500
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)] + [(400, 400 + i) for i in range(1, 40)] + [(5, 5)]
