@@ -23,13 +23,40 @@ SMALL = 256
 SEED = 0x51ED270B
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """Runs until a pair at the similarity is found with the probability ``recall``.
+#: Random orders of all tokens that nodes below the roots draw from.
+ORDERS = 32
+
+
+def _branching(similarity: float) -> tuple[int, float]:
+    """Children of every node, and the share of nodes with one more: 1 / similarity on average."""
+    mean = 1 / max(similarity, 1 / ORDERS)
+    return int(mean), mean - int(mean)
 
-    A pair stays together on a path's first step with a probability of at least its
-    similarity; a quarter more steps are allowed for the buckets that are split again.
+
+def miss_of(runs: int, similarity: float) -> float:
+    """The probability that a pair at the similarity shares no path of three steps.
+
+    The nodes below the roots draw from shared orders: of these, a binomial number has the
+    pair's first token in common, and given that, the runs are independent.
     """
-    return math.ceil(1.25 * math.log(1 - recall) / math.log(1 - similarity)) if similarity < 1 else 1
+    few, more = _branching(similarity)
+    lost = lambda q: (1 - more) * q**few + more * q ** (few + 1)
+    total = 0.0
+    for good in range(ORDERS + 1):
+        f = good / ORDERS
+        below = lost(1 - f + f * lost(1 - f))
+        total += math.comb(ORDERS, good) * similarity**good * (1 - similarity) ** (ORDERS - good) * lost(1 - similarity + similarity * below) ** runs
+    return total
+
+
+def runs_for(recall: float, similarity: float) -> int:
+    """Runs until a pair at the similarity shares a path of three steps with the probability ``recall``."""
+    if similarity >= 1:
+        return 1
+    runs = 1
+    while runs < 1000 and miss_of(runs, similarity) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_set(codes: np.ndarray, n: int) -> np.ndarray:
@@ -46,38 +73,40 @@ def _mix1(x: int) -> int:
     return x ^ (x >> 31)
 
 
-#: Random orders of all tokens that nodes below the roots draw from.
-ORDERS = 32
-
-
-def _order_seeds(runs: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = np.array([[_mix1(SEED * 3 + i), _mix1(SEED * 5 + i) | 1] for i in range(2 * runs + ORDERS)], np.uint64)
+def _order_seeds(orders: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = np.array([[_mix1(SEED * 3 + i), _mix1(SEED * 5 + i) | 1] for i in range(orders)], np.uint64)
     return seeds[:, :1], seeds[:, 1:]
 
 
-def first_tokens(shingles: np.ndarray, runs: int) -> list[int]:
+def first_tokens(shingles: np.ndarray, orders: int) -> list[int]:
     """The set's first token in each random order."""
-    flip, factor = _order_seeds(runs)
+    flip, factor = _order_seeds(orders)
     return ((shingles[None, :] ^ flip) * factor).min(axis=1).tolist()
 
 
-def _children(node: int, orders: list[int], first: list[int]) -> list[int]:
-    """The set goes on with its first token in one random order, or in two for a quarter of the nodes."""
-    return [_mix1(node ^ _mix1(first[o] + o)) for o in (orders if _mix1(node ^ 0xA5A5) & 3 == 0 else orders[:1])]
-
-
-def paths(shingles: np.ndarray, runs: int) -> list[tuple[int, int, int]]:
+def paths(shingles: np.ndarray, runs: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
     """All paths of three steps that the set goes along, in all runs.
 
-    A node's children are chosen with tokens sampled by the node: one or two random orders of
-    all tokens, 1.25 (1 / 0.8) on average. Two sets share a child of an order with the
+    A node's children are chosen with tokens sampled by the node: the first ones in random
+    orders of all tokens, 1 / similarity on average. Two sets share a child of an order with the
     probability of their Jaccard similarity. The roots have orders of their own.
     """
-    first, base, out = first_tokens(shingles, runs), 2 * runs, []
+    few, more = _branching(similarity)
+    width = few + (more > 0)
+    base, bar, out = width * runs, int(more * (1 << 24)), []
+    first = first_tokens(shingles, base + ORDERS)
+
+    def children(node: int, orders: list[int]) -> list[int]:
+        many = few + (_mix1(node ^ 0xA5A5) & 0xFFFFFF < bar)
+        return [_mix1(node ^ _mix1(first[o] + o)) for o in orders[:many]]
+
+    def drawn(node: int) -> list[int]:
+        return [base + node // ORDERS**i % ORDERS for i in range(width)]
+
     for r in range(runs):
-        for a in _children(_mix1(SEED + r), [r, runs + r], first):
-            for b in _children(a, [base + a % ORDERS, base + a // ORDERS % ORDERS], first):
-                out += [(a, b, c) for c in _children(b, [base + b % ORDERS, base + b // ORDERS % ORDERS], first)]
+        for a in children(_mix1(SEED + r), [i * runs + r for i in range(width)]):
+            for b in children(a, drawn(a)):
+                out += [(a, b, c) for c in children(b, drawn(b))]
     return out
 
 
@@ -85,7 +114,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _emit_paths(n: int, runs: int):
+def _emit_paths(n: int, runs: int, similarity: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = Words(*buffers(batch.column("text")))
@@ -94,7 +123,7 @@ def _emit_paths(n: int, runs: int):
                 s = shingle_set(units.codes(int(units.starts[i]), int(units.ends[i])), n)
                 c1.append(_signed(int(hashing.mix(s).sum(dtype=np.uint64))))
                 c2.append(_signed(int((hashing.mix(s ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(3)).sum(dtype=np.uint64))))
-                rows.append(np.array(paths(s, runs), np.uint64).tobytes() if len(s) else b"")
+                rows.append(np.array(paths(s, runs, similarity), np.uint64).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), batch.column("did"), batch.column("rid"), pa.array(rows, pa.binary())], names=["c1", "c2", "did", "rid", "paths"])
 
     return emit
@@ -282,7 +311,7 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     """
     base = keyed(docs, doc_id, text)
     runs = runs_for(recall, similarity)
-    drawn = Table(base.mapInArrow(_emit_paths(shingle, runs), "c1 long, c2 long, did long, rid int, paths binary"), "paths")
+    drawn = Table(base.mapInArrow(_emit_paths(shingle, runs, similarity), "c1 long, c2 long, did long, rid int, paths binary"), "paths")
     sets = drawn.read()
     grouped, below = ordering.equal_groups(sets, ["c1", "c2"], ["did", "rid"], [2], "sets", keep_single=True)
     rank = F.struct("did", "rid")

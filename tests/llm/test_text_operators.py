@@ -198,6 +198,19 @@ def test_recall_of_pairs_at_the_threshold():
     assert found >= 299
 
 
+@pytest.mark.parametrize(("similarity", "common", "own"), [(0.8, 160, 20), (0.5, 100, 50)])
+def test_recall_of_paths_of_three_steps(similarity, common, own):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    runs, found = ngram_join.runs_for(0.99, similarity), 0
+    for _ in range(1500):
+        both = rng.integers(0, 2**63, common, dtype=np.uint64)
+        a, b = (np.unique(np.append(both, rng.integers(0, 2**63, own, dtype=np.uint64))) for _ in range(2))
+        found += bool({*ngram_join.paths(a, runs, similarity)} & {*ngram_join.paths(b, runs, similarity)})
+    assert found >= 1485 - 12  # 0.99 within three standard deviations
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8)))
