@@ -1,4 +1,4 @@
-"""Substring dedup by seed and extend: anchors from winnowing are joined, matches extended."""
+"""Substring dedup by exact grouping of windows that winnowed anchors choose."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ WINDOW, ANCHOR = 35, 10
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Removes words covered by a window of ``window`` words that also starts anywhere else.
 
-    Winnowed word anchors that several places share are the seeds. Around a seed the match is
-    extended both ways over the words that fit every window holding it, and the maximal
-    repeats of at least ``window`` words are kept (see ``repeats``). Returns doc_id, n_words,
+    No match is extended from a seed. Each window has a winnowed word anchor; runs of windows
+    with one anchor are grouped by (anchor, content hash), and hashes of whole windows are
+    compared within the groups (see ``repeats``). Returns doc_id, n_words,
     n_removed, n_spans and kept_sha256 for each row. Null or empty text: no words, the hash
     of nothing. Texts shorter than a window lose nothing. Rows that repeat a doc_id are
     separate texts, and wholly repeated rows are removed by each other. Empty tables
