@@ -1,4 +1,4 @@
-"""Suffix-array dedup of bytes, with sampled splitters and locally sorted buckets."""
+"""Dedup of repeated byte strings by winnowed windows, in place of a suffix array."""
 
 from __future__ import annotations
 
@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from quillon.llm.repeats import remove_repeats
 
-#: Bytes in a string that may not repeat, and in the leading token of a suffix.
+#: Bytes in a string that may not repeat, and in the gram that its windows are keyed by.
 LENGTH, TOKEN = 200, 64
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, token: int = TOKEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Removes each byte covered by a string of ``length`` bytes that also starts anywhere else.
 
-    Only suffixes that open a run of windows are placed in the array (``repeats``, step 1);
-    a run's other suffixes share its leading token. Sampled splitters range-partition
-    them by leading token and content, buckets sort locally, and neighbours are compared
-    within and across bucket boundaries. The order is that of 128 bits of hash rather than
-    of letters: equal strings are neighbours in either. Returns doc_id, n_bytes, n_removed,
+    There is no suffix array: no suffixes are ordered by what follows. As in ``substring_dedup``,
+    runs of windows share the ``token`` bytes of least hash anywhere in them (``repeats``, step 1);
+    sampled splitters range-partition the runs by (that gram, content), buckets sort locally, and
+    equal runs are compared. The order is that of 128 bits of hash, in which equal strings
+    are neighbours. Returns doc_id, n_bytes, n_removed,
     n_spans and kept_sha256 for each row. Null or empty text: no bytes, the hash of nothing.
     Rows that repeat a doc_id are separate texts; wholly repeated rows of ``length`` bytes or
     more are removed by each other. Empty tables give an empty result.
