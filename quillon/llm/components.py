@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.storage import Table
 
-#: Joining on a derived key gives both sides an exchange, which lets Spark split hot keys.
-APART = 0x2545F4914F6CDD1D
+
+def apart(node: Column | str) -> Column:
+    """A key derived from a column: joining on it gives both sides an exchange, which lets Spark split hot keys."""
+    return F.struct(F.col(node) if isinstance(node, str) else node)
 
 
 def _rewire(edges: DataFrame, larger: bool) -> DataFrame:
@@ -22,8 +24,8 @@ def _rewire(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    keyed = least.select(F.col("a").bitwiseXOR(F.lit(APART)).alias("k"), "m")
-    met = sides.withColumn("k", F.col("a").bitwiseXOR(F.lit(APART))).join(keyed, "k")
+    keyed = least.select(apart("a").alias("k"), "m")
+    met = sides.withColumn("k", apart("a")).join(keyed, "k")
     if larger:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,7 +34,7 @@ def _rewire(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """node and component (its smallest node), for every node that has an edge (a, b), both long.
+    """node and component (its smallest node), for every node that has an edge (a, b), of one type that has an order.
 
     Alternates large-star and small-star rewiring until every edge leads to the smallest
     node; each round is written out, so a lost executor repeats one round at most.

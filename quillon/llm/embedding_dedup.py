@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.cluster import ship
 from quillon.llm import ordering
-from quillon.llm.components import APART, components
+from quillon.llm.components import apart, components
 from quillon.llm.ngram_join import _mix1
 from quillon.llm.storage import Table
 from quillon.llm.texts import NO_ID
@@ -320,9 +320,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     ship(spark)
     own = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     ready = Table(own.mapInArrow(_prepare, "did long, label long, v1 long, v2 long, unit binary"), "vectors")
-    grouped, below = ordering.equal_groups(ready.read(), ["label", "v1", "v2"], ["did"], [3], "copies", keep_single=True)
-    members = Table(grouped.select("did", "label", "v1", "v2", F.col("n3").alias("copies"), F.col("head3").alias("head"), "unit"), "members")
-    below.drop()
+    grouped, below = ordering.equal_groups(ordering.ranged(ready.read(), ["label", "v1", "v2"], ["did"]), ["label", "v1", "v2"], ["did"], [3], "copies", keep_single=True)
+    members = Table(grouped.select("did", "label", "v1", "v2", F.col("n3").alias("copies"), F.col("h3_did").alias("head"), "unit"), "members")
+    ordering.drop(below)
     ready.drop()
     standing = Table(members.read().filter("unit IS NOT NULL AND did = head").groupBy("label", "v1", "v2").agg(F.min("did").alias("did"), F.first("copies").alias("copies"), F.first("unit").alias("unit")).select("label", "did", "copies", "unit", "v1"), "standing")
     n, labels = standing.read().agg(F.count("*"), F.approx_count_distinct("label")).first()
@@ -331,19 +331,19 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     rows = [np.frombuffer(r["unit"], np.float64) for r in picked]
     sets = center_sets(rows, k, threshold)
     routed = standing.read().select("label", "did", "copies", "unit").mapInArrow(_route(sets, OVERLAP), "label long, shard long, did long, copies long, shards binary, unit binary")
-    placed, below = ordering.equal_groups(routed, ["label", "shard"], ["did"], [2], "shards")
+    placed, below = ordering.equal_groups(ordering.ranged(routed, ["label", "shard"], ["did"]), ["label", "shard"], ["did"], [2], "shards")
     dealt = placed.mapInArrow(_deal(BLOCK), "label long, shard long, did long, copies long, shards binary, unit binary, i int, j int, own int")
     cells = dealt.repartitionByRange("label", "shard", "i", "j").sortWithinPartitions("label", "shard", "i", "j", "did")
     found = Table(cells.mapInArrow(_search(threshold), "did long, links long, b long"), "links")
-    below.drop()
+    ordering.drop(below)
     standing.drop()
     edges = found.read().filter("b IS NOT NULL").select(F.col("did").alias("a"), "b")
     # equal vectors link too: their ids meet at the smallest
     edges = edges.unionByName(members.read().filter("unit IS NOT NULL AND did <> head").select(F.col("did").alias("a"), F.col("head").alias("b")))
     label = components(edges, "vectors")
     links = found.read().filter("b IS NULL").groupBy("did").agg(F.sum("links").alias("links"))
-    known = Table(label.withColumnRenamed("node", "did").join(links, "did", "full").select(F.col("did").bitwiseXOR(F.lit(APART)).alias("k"), "links", "component"), "labels")
-    by_head = members.read().withColumn("k", F.col("head").bitwiseXOR(F.lit(APART))).join(known.read(), "k", "left")
+    known = Table(label.withColumnRenamed("node", "did").join(links, "did", "full").select(apart("did").alias("k"), "links", "component"), "labels")
+    by_head = members.read().withColumn("k", apart("head")).join(known.read(), "k", "left")
     n_links = F.when(F.col("unit").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
     component = F.when(F.col("unit").isNotNull(), F.coalesce("component", "head")).otherwise(F.col("did"))
     clean = lambda c: F.when(c != NO_ID, c)

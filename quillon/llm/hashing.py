@@ -1,13 +1,15 @@
-"""64-bit hashes of ranges of units (bytes or words), for whole arrays at once.
+"""64-bit hashes of ranges of units (bytes or words) for whole arrays at once, and 128-bit ones of bytes.
 
 A range's hash is a polynomial over its units' codes, taken from prefix sums modulo
 2**64: hash(s, e) = mix((P[e] - P[s]) * M**-s). It depends on the units alone, not
-on where they stand.
+on where they stand. Long strings of one structure share such a hash, so it only chooses and
+groups; where equality decides, there are 128 bits of XXH3, or the bytes themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _M = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -54,18 +56,27 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def spaces(data: np.ndarray) -> np.ndarray:
-    """Where the bytes are white space, ``[\\x20\\x09-\\x0D]``."""
-    return (data == 32) | ((data >= 9) & (data <= 13))
+class WordCodes(dict):
+    """64 bits of XXH3 for each word; a memo of bounded size."""
 
+    SIZE = 1 << 19
 
-def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word in the UTF-8 bytes of texts that follow one another."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~spaces(data)
-    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    some = starts[starts < ends]
-    if len(some):  # a word ends where its text ends
-        first[some] |= inside[some + 1]
-        last[ends[starts < ends] - 1] |= inside[ends[starts < ends]]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.SIZE:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+WORD_CODES = WordCodes()
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the bytes between each start and end, as two longs."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    both = b"".join([digest(view[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+    pairs = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])

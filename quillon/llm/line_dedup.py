@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import ordering
-from quillon.llm.texts import keyed
+from quillon.llm.texts import NO_ID, few, keyed, with_keys
 
-#: Code points that a key needs to count.
-MIN_KEY = 10
+#: Code points that a key needs to count; rows that splitters are sampled from.
+MIN_KEY, SAMPLE_ROWS = 10, 3000
 
 
 def line_key(line: bytes) -> bytes:
@@ -28,24 +28,27 @@ def _counts(key: bytes, least: int) -> bool:
     return len(key) >= 4 * least or len(key) >= least and len(key.decode("utf-8", "replace")) >= least
 
 
+LINES = "h1 long, h2 long, did long, k1 long, k2 long, line long"
+
+
 def _emit_lines(least: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, rid = ordering.numbers(batch, "did").tolist(), ordering.numbers(batch, "rid").tolist()
-            text = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
-            hashes, ids, rows, lines = [], [], [], []
+            own = [ordering.numbers(batch, x) for x in ("did", "k1", "k2")]
+            text = batch.column("text").cast(pa.large_binary())
+            hashes, rows, lines = [], [], []
             for i in range(batch.num_rows):
                 value = text[i].as_py()
                 for j, line in enumerate(value.split(b"\n") if value else ()):
                     if _counts(key := line_key(line), least):
                         hashes.append(xxhash.xxh3_128_digest(key))
-                        ids.append(did[i])
-                        rows.append(rid[i])
+                        rows.append(i)
                         lines.append(j)
-                if len(ids) > 50_000 or i == batch.num_rows - 1 and ids:
+                if len(rows) > 50_000 or i == batch.num_rows - 1 and rows:
                     h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(rows, pa.int32()), pa.array(lines, pa.int64())], names=["h1", "h2", "did", "rid", "line"])
-                    hashes, ids, rows, lines = [], [], [], []
+                    at = np.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0], h[:, 1], *(x[at] for x in own), np.array(lines, np.int64))], names=["h1", "h2", "did", "k1", "k2", "line"])
+                    hashes, rows, lines = [], [], []
 
     return emit
 
@@ -64,12 +67,11 @@ def bitmap_lines(bitmap: bytes, n_lines: int) -> np.ndarray:
 def _make_bitmaps(with_hash: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dropped = batch.column("dropped")
-            text = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
+            dropped, text = batch.column("dropped"), batch.column("text").cast(pa.large_binary())
             n_lines, n_dropped, maps, hashes = [], [], [], []
             for i in range(batch.num_rows):
                 value = text[i].as_py() or b""
-                drop = np.unique(dropped[i].values.to_numpy(zero_copy_only=False)) if dropped[i].is_valid else np.zeros(0, np.int64)
+                drop = dropped[i].values.to_numpy(zero_copy_only=False) if dropped[i].is_valid else np.zeros(0, np.int64)
                 n = value.count(b"\n") + 1
                 n_lines.append(n)
                 n_dropped.append(len(drop))
@@ -78,51 +80,59 @@ def _make_bitmaps(with_hash: bool):
                     gone = set(drop.tolist())
                     value = b"\n".join(x for j, x in enumerate(value.split(b"\n")) if j not in gone)
                 hashes.append(hashlib.sha256(value).hexdigest() if with_hash else None)
-            names = ["doc_id", "did", "rid", "n_lines", "n_dropped", "keep", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), batch.column("rid"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary()), pa.array(hashes, pa.string())], names=names)
+            names = ["doc_id", "n_lines", "n_dropped", "keep", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary()), pa.array(hashes, pa.string())], names=names)
 
     return make
 
 
 def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """did, rid and the line numbers that go, for rows that lose lines."""
-    lines = keyed(docs, doc_id, text).mapInArrow(_emit_lines(min_key), "h1 long, h2 long, did long, rid int, line long")
-    marked, _ = ordering.equal_groups(lines, ["h1", "h2"], ["did", "line"], [2], "lines")
-    return marked.filter(F.col("did") != F.col("head2")).groupBy("did", "rid").agg(F.collect_list("line").alias("dropped"))
+    """k1, k2 and the line numbers that go, for rows that lose lines."""
+    keys, ties = ["h1", "h2"], ["did", "k1", "k2", "line"]
+    sample = keyed(few(docs, SAMPLE_ROWS), doc_id, text)
+    lines = ordering.emitted(keyed(docs, doc_id, text), _emit_lines(min_key), LINES, keys, ties, sample)
+    marked, _ = ordering.equal_groups(lines, keys, ["did", "k1", "k2"], [2], "lines")
+    first = (F.col("did") == F.col("h2_did")) & ((F.col("did") != NO_ID) | ((F.col("k1") == F.col("h2_k1")) & (F.col("k2") == F.col("h2_k2"))))
+    return marked.filter(~first).groupBy("k1", "k2").agg(F.collect_set("line").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, min_key: int = MIN_KEY, doc_id: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
     """A compressed keep bitmap for each row: which of its lines stay.
 
     Lines are split at \\n; keys are the lines stripped of white space and lower-cased (A-Z).
-    Hashes of keys of at least ``min_key`` code points are range-partitioned by (hash, document,
-    line), sorted, and streamed: a key's first document keeps its lines, all others lose
-    theirs. Returns doc_id, n_lines, n_dropped, keep (zlib over packed bits, see
+    128-bit hashes of keys of at least ``min_key`` code points are range-partitioned by (hash,
+    document, line), sorted, and streamed: a key's first document keeps its lines, all others
+    lose theirs. Returns doc_id, n_lines, n_dropped, keep (zlib over packed bits, see
     ``bitmap_lines``) and, ``with_hash``, the SHA-256 of the lines that stay. Null or
     empty text is one empty line. Rows with one doc_id are one document: they never drop
-    each other's lines. A null doc_id counts as the smallest.
+    each other's lines. Rows without a doc_id come after all others and are documents of
+    their own, unless their texts agree too. Empty tables give an empty result; other columns
+    are not looked at, whatever their names.
     """
-    base = keyed(docs, doc_id, text).alias("b")
-    dropped = dropped_lines(docs, min_key, doc_id, text).alias("d")
-    met = base.join(dropped, (F.col("b.did") == F.col("d.did")) & (F.col("b.rid") == F.col("d.rid")), "left").select("doc_id", "text", "b.did", "b.rid", "dropped")
-    out = met.mapInArrow(_make_bitmaps(with_hash), "doc_id long, did long, rid int, n_lines long, n_dropped long, keep binary, kept_sha256 string")
-    return out.drop("did", "rid", *([] if with_hash else ["kept_sha256"]))
+    dropped = dropped_lines(docs, min_key, doc_id, text)
+    met = keyed(docs, doc_id, text).join(dropped, ["k1", "k2"], "left").select("doc_id", "text", "dropped")
+    out = met.mapInArrow(_make_bitmaps(with_hash), "doc_id long, n_lines long, n_dropped long, keep binary, kept_sha256 string")
+    return out if with_hash else out.drop("kept_sha256")
 
 
-def _keep_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        dropped, values = batch.column("_dropped"), batch.column("text").to_pylist()
-        for i, value in enumerate(values):
-            if dropped[i].is_valid and value:
-                gone = set(dropped[i].as_py())
-                values[i] = "\n".join(x for j, x in enumerate(value.split("\n")) if j not in gone)
-        arrays = [pa.array(values, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in batch.schema.names if n != "_dropped"]
-        yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "_dropped"])
+def _keep_text(at: int, width: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dropped, values = batch.column(width), batch.column(at).to_pylist()
+            for i, value in enumerate(values):
+                if dropped[i].is_valid and value:
+                    gone = set(dropped[i].as_py())
+                    values[i] = "\n".join(x for j, x in enumerate(value.split("\n")) if j not in gone)
+            arrays = [pa.array(values, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:width])
+
+    return keep
 
 
 def without_repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """``docs``, all its columns, with the lines gone that ``line_dedup`` drops."""
-    own = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_rid": F.hash(F.col("text").cast("string"))})
-    dropped = dropped_lines(docs, min_key).select(F.col("did").alias("_did2"), F.col("rid").alias("_rid2"), F.col("dropped").alias("_dropped"))
-    met = own.join(dropped, (F.col("_did") == F.col("_did2")) & (F.col("_rid") == F.col("_rid2")), "left").select(*docs.columns, "_dropped")
-    return met.mapInArrow(_keep_text, docs.schema)
+    own, width = with_keys(docs), len(docs.columns)
+    plain = own.columns[:width]
+    met = own.join(dropped_lines(docs, min_key), ["k1", "k2"], "left").select(*plain, "dropped")
+    kept = met.mapInArrow(_keep_text(docs.columns.index("text"), width), met.select(*plain).schema)
+    return kept.toDF(*docs.columns)

@@ -7,19 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import hashing, ordering
-from quillon.llm.components import APART, components
-from quillon.llm.repeats import Words
+from quillon.llm.components import apart, components
 from quillon.llm.storage import Table
-from quillon.llm.texts import buffers, keyed
+from quillon.llm.texts import NO_ID, few, keyed, with_keys
 
 #: Words in a shingle, the similarity of a link, and the share of links to be found.
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
-#: Sets in a bucket that are compared without further splitting.
-SMALL = 256
+#: Sets in a bucket that are compared without further splitting, and in a block of a larger bucket.
+SMALL, BLOCK = 256, 1024
+#: Rows that splitters are sampled from.
+SAMPLE_ROWS = 3000
 SEED = 0x51ED270B
 
 
@@ -59,8 +61,9 @@ def runs_for(recall: float, similarity: float) -> int:
     return runs
 
 
-def shingle_set(codes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of words; a shorter text is one shingle."""
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of a text's words; a shorter text is one shingle."""
+    codes = hashing.WORD_CODES.of((text or b"").split())
     if not len(codes):
         return np.zeros(0, np.uint64)
     return np.unique(hashing.Prefix(codes).windows(min(n, len(codes))))
@@ -110,56 +113,56 @@ def paths(shingles: np.ndarray, runs: int, similarity: float = SIMILARITY) -> li
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+PATHS = "c1 long, c2 long, did long, k1 long, k2 long, paths binary"
+STEPS = "p1 long, p2 long, p3 long, c1 long, c2 long"
+CELLS = "bucket long, i int, j int, c1 long, c2 long, copies long, own int, buckets binary, shingles binary"
+LINKS = "c1 long, c2 long, links long, b1 long, b2 long"
 
 
 def _emit_paths(n: int, runs: int, similarity: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = Words(*buffers(batch.column("text")))
-            c1, c2, rows = [], [], []
+            text, hashes, rows = batch.column("text").cast(pa.large_binary()), [], []
             for i in range(batch.num_rows):
-                s = shingle_set(units.codes(int(units.starts[i]), int(units.ends[i])), n)
-                c1.append(_signed(int(hashing.mix(s).sum(dtype=np.uint64))))
-                c2.append(_signed(int((hashing.mix(s ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(3)).sum(dtype=np.uint64))))
+                s = shingle_set(text[i].as_py(), n)
+                hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 rows.append(np.array(paths(s, runs, similarity), np.uint64).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), batch.column("did"), batch.column("rid"), pa.array(rows, pa.binary())], names=["c1", "c2", "did", "rid", "paths"])
+            c = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), *(batch.column(x) for x in ("did", "k1", "k2")), pa.array(rows, pa.binary())], names=["c1", "c2", "did", "k1", "k2", "paths"])
 
     return emit
 
 
 def _explode_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        did, rid, packed = ordering.numbers(batch, "did"), ordering.numbers(batch, "rid"), batch.column("paths").to_pylist()
+        c1, c2, packed = ordering.numbers(batch, "c1"), ordering.numbers(batch, "c2"), batch.column("paths").to_pylist()
         steps = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3)
         row = np.repeat(np.arange(len(packed)), [len(p) // 24 for p in packed])
         for i in range(0, len(row), 50_000):
             r, s = row[i : i + 50_000], steps[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(s[:, k])) for k in range(3)] + [pa.array(did[r]), pa.array(rid[r])], names=["p1", "p2", "p3", "did", "rid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(s[:, k])) for k in range(3)] + [pa.array(c1[r]), pa.array(c2[r])], names=["p1", "p2", "p3", "c1", "c2"])
 
 
-def _send_sets(n: int, small: int):
-    schema = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("did", pa.int64()), ("copies", pa.int64()), ("own", pa.int32()), ("buckets", pa.binary()), ("shingles", pa.binary())])
+def _send_sets(n: int, block: int):
+    schema = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("copies", pa.int64()), ("own", pa.int32()), ("buckets", pa.binary()), ("shingles", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = Words(*buffers(batch.column("text")))
-            out, load = [], 0
+            text, out, load = batch.column("text").cast(pa.large_binary()), [], 0
             for k in range(batch.num_rows):
-                s = shingle_set(units.codes(int(units.starts[k]), int(units.ends[k])), n).tobytes()
-                did, copies = batch.column("did")[k].as_py(), batch.column("copies")[k].as_py()
+                s = shingle_set(text[k].as_py(), n).tobytes()
+                c1, c2, copies = (batch.column(x)[k].as_py() for x in ("c1", "c2", "copies"))
                 own = {x["bucket"]: x["size"] for x in batch.column("into")[k].as_py()}
                 known = np.array(sorted(own), np.int64).tobytes()
                 for bucket, size in own.items():
-                    blocks = -(-size // small)
-                    mine = _mix1(did ^ bucket) % blocks
+                    blocks = -(-size // block)
+                    mine = _mix1(c1 ^ bucket) % blocks
                     for other in range(blocks):  # blocks of a large bucket meet pair by pair
-                        out.append({"bucket": bucket, "i": min(mine, other), "j": max(mine, other), "did": did, "copies": copies, "own": mine, "buckets": known, "shingles": s})
+                        out.append({"bucket": bucket, "i": min(mine, other), "j": max(mine, other), "c1": c1, "c2": c2, "copies": copies, "own": mine, "buckets": known, "shingles": s})
                         load += len(s)
-                if load > 1 << 23 or len(out) > 5000:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out, load = [], 0
+                        if load > 1 << 23 or len(out) > 5000:
+                            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                            out, load = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -201,17 +204,17 @@ def similar(sets: list[np.ndarray], threshold: float, block: int = 128) -> Itera
 
 
 def _compare(threshold: float):
-    schema = pa.schema([("did", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(x, pa.int64()) for x in ("c1", "c2", "links", "b1", "b2")])
 
     def cell(bucket: int, i: int, j: int, table: pa.Table) -> pa.RecordBatch | None:
-        did, copies, own = (ordering.numbers(table, x) for x in ("did", "copies", "own"))
+        c1, c2, copies, own = (ordering.numbers(table, x) for x in ("c1", "c2", "copies", "own"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         known = [np.frombuffer(x, np.int64) for x in table.column("buckets").to_pylist()]
         before: dict[int, list[int]] = {}
         for k, ids in enumerate(known):  # a pair counts in the first bucket that holds both
             for b in ids[ids < bucket].tolist():
                 before.setdefault(b, []).append(k)
-        earlier = np.zeros((len(sets), len(sets)), bool) if len(sets) <= 2048 else None
+        earlier = np.zeros((len(sets), len(sets)), bool) if len(sets) <= 8192 else None
         sets_before = None
         if earlier is not None:
             for rows in before.values():
@@ -243,7 +246,9 @@ def _compare(threshold: float):
         if not len(some):
             return None
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(np.append(did[some], did[a])), pa.array(np.append(links[some], np.zeros(len(a), np.int64))), pa.array([None] * len(some) + did[b].tolist(), pa.int64())], schema=schema)
+        node = np.append(some, a)
+        ends = [pa.array([None] * len(some) + c[b].tolist(), pa.int64()) for c in (c1, c2)]
+        return pa.RecordBatch.from_arrays([pa.array(c1[node]), pa.array(c2[node]), pa.array(np.append(links[some], np.zeros(len(a), np.int64))), *ends], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,83 +278,102 @@ def _compare(threshold: float):
 
 
 def _without_subsets(held: DataFrame, tops: int = 3) -> DataFrame:
-    """Rows (did, rid, bucket, size) of the buckets that no other bucket is known to hold in full.
+    """Rows (c1, c2, bucket, size) of the buckets that no other bucket is known to hold in full.
 
     Runs find the same copies again and again. A bucket is dropped if all its rows have
     one other bucket among their ``tops`` largest; of equal buckets the first stays.
     """
     sizes = held.groupBy("bucket").agg(F.count("*").alias("rows"))
-    key = F.col("bucket").bitwiseXOR(F.lit(APART)).alias("k")
-    sized = held.withColumn("k", key).join(sizes.select(key, "rows"), "k").drop("k").filter("rows > 1")
-    own = sized.groupBy("did", "rid").agg(F.sort_array(F.collect_list(F.struct("rows", "bucket")), asc=False).alias("all"))
+    sized = held.withColumn("k", apart("bucket")).join(sizes.select(apart("bucket").alias("k"), "rows"), "k").drop("k").filter("rows > 1")
+    own = sized.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("rows", "bucket")), asc=False).alias("all"))
     pairs = own.select(F.explode("all").alias("a"), F.slice("all", 1, tops).alias("top")).select("a", F.explode("top").alias("b"))
     larger = pairs.filter((F.col("a.rows") < F.col("b.rows")) | ((F.col("a.rows") == F.col("b.rows")) & (F.col("a.bucket") < F.col("b.bucket"))))
     inside = larger.groupBy(F.col("a.bucket").alias("bucket"), F.col("a.rows").alias("rows"), F.col("b.bucket").alias("by")).agg(F.count("*").alias("n")).filter("n = rows")
-    gone = inside.select(F.col("bucket").bitwiseXOR(F.lit(APART)).alias("k")).distinct()
-    return sized.withColumn("k", key).join(gone, "k", "left_anti").drop("k", "rows")
+    gone = inside.select(apart("bucket").alias("k")).distinct()
+    return sized.withColumn("k", apart("bucket")).join(gone, "k", "left_anti").drop("k", "rows")
 
 
-def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links and first of each row, with did and rid.
+def _buckets(standing: Table, small: int) -> Table:
+    """c1, c2, bucket and size: where the sets meet, and how many are there."""
+    keys = ["p1", "p2", "p3"]
+    steps = ordering.emitted(standing.read().select("c1", "c2", "paths"), _explode_paths, STEPS, keys, ["c1"], few(standing.read().select("c1", "c2", "paths"), SAMPLE_ROWS))
+    placed, tables = ordering.equal_groups(steps, keys, ["c1"], [1, 2, 3], "paths")
+    wide = small * 1.6  # a set takes 1.6 rows below a first step
+    stays = (F.col("n1") <= wide) | (F.col("n2") * 2 > F.col("n1"))
+    splits = (F.col("n2") <= small * 1.25) | (F.col("n3") * 2 > F.col("n2"))
+    at = lambda p, n: F.struct(F.col(p).alias("bucket"), n.alias("size"))
+    bucket = F.when(stays, at("p1", F.ceil(F.col("n1") / 1.5))).when(splits, at("p2", F.col("n2"))).otherwise(at("p3", F.col("n3")))
+    held = Table(placed.select("c1", "c2", bucket.alias("x")).filter("x.size > 1").select("c1", "c2", "x.*").distinct(), "buckets")
+    ordering.drop(tables)
+    return held
 
-    ``first`` marks one document of each class, and one of all that have no words: those are
-    copies of each other, though they link with nothing.
+
+def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links and first of each row, with k1 and k2 (``texts.row_key``).
+
+    ``first`` marks one document of each class, the one of the smallest doc_id, and one of all
+    that have no words: those are copies of each other, though they link with nothing.
 
     Rows link if the Jaccard similarity of their sets of word ``shingle``-grams is at least
     ``similarity``; the set of a shorter text has one shingle, all its words. ``n_links``
     counts the other rows linked to a row, ``class_id`` is the smallest doc_id that
-    links lead to. Texts with equal sets are one representative in the search and count
-    as often as they are there. Null and empty texts, and texts of white space, link
-    with nothing. Rows that repeat a doc_id are rows of their own.
+    links lead to, null only if there is none. Texts with equal sets are one node of the search
+    and count as often as they are there. Null and empty texts, and texts of white space, link
+    with nothing and are classes of their own. Rows that repeat a doc_id or have none are rows
+    of their own and link by their texts alone. Empty tables give an empty result; other
+    columns are not looked at, whatever their names.
 
     Sets go down paths of sampled tokens: a node of the path tree draws a random order of
     all tokens and splits its sets by their first one. Buckets of at most ``small`` sets,
     and buckets that a step does not split further, are compared in full, larger ones
-    block by block; as many runs are made as ``recall`` needs. A link is counted in
-    the first bucket that holds both sides; a bucket sends on a spanning forest
+    by pairs of blocks of about ``block`` sets; as many runs are made as ``recall`` needs. A link
+    is counted in the first bucket that holds both sides; a bucket sends on a spanning forest
     of its links and their numbers, not the links.
     """
     base = keyed(docs, doc_id, text)
+    node, row = ["c1", "c2"], ["did", "k1", "k2"]
     runs = runs_for(recall, similarity)
-    drawn = Table(base.mapInArrow(_emit_paths(shingle, runs, similarity), "c1 long, c2 long, did long, rid int, paths binary"), "paths")
-    sets = drawn.read()
-    grouped, below = ordering.equal_groups(sets, ["c1", "c2"], ["did", "rid"], [2], "sets", keep_single=True)
-    rank = F.struct("did", "rid")
-    member = grouped.select("did", "rid", "c1", "c2", F.col("n2").alias("copies"), F.col("head2").alias("head"), (F.length("paths") > 0).alias("some"), "paths")
-    members = Table(member, "members")
-    below.drop()
-    drawn.drop()
-    # rows that repeat wholly share did and rid: one of them stands for all
-    standing = members.read().filter("did = head AND some").groupBy("c1", "c2").agg(F.min_by(F.struct("did", "rid", "copies", "paths"), rank).alias("s")).select("s.*")
-    steps = standing.select("did", "rid", "paths").mapInArrow(_explode_paths, "p1 long, p2 long, p3 long, did long, rid int")
-    placed, tree = ordering.equal_groups(steps, ["p1", "p2", "p3"], ["did"], [1, 2, 3], "paths")
-    wide = small * 1.6  # a set takes 1.6 rows below a first step
-    stays = (F.col("n1") <= wide) | (F.col("n2") * 2 > F.col("n1"))
-    splits = (F.col("n2") <= small * 1.25) | (F.col("n3") * 2 > F.col("n2"))
-    bucket = F.when(stays, F.struct(F.col("p1").alias("bucket"), F.ceil(F.col("n1") / 1.5).alias("size")))
-    bucket = bucket.when(splits, F.struct(F.col("p2").alias("bucket"), F.col("n2").alias("size"))).otherwise(F.struct(F.col("p3").alias("bucket"), F.col("n3").alias("size")))
-    held = Table(placed.select("did", "rid", bucket.alias("x")).filter("x.size > 1").select("did", "rid", "x.*").distinct(), "buckets")
-    tree.drop()
-    into = _without_subsets(held.read()).groupBy("did", "rid").agg(F.collect_list(F.struct("bucket", "size")).alias("into"))
-    copies = standing.select("did", "rid", "copies")
-    met = base.dropDuplicates(["did", "rid"]).join(into, ["did", "rid"]).join(copies, ["did", "rid"]).select("text", "did", "copies", "into")
-    sent = met.mapInArrow(_send_sets(shingle, small), "bucket long, i int, j int, did long, copies long, own int, buckets binary, shingles binary")
-    cells = sent.repartitionByRange("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "did")
-    found = Table(cells.mapInArrow(_compare(similarity), "did long, links long, b long"), "links")
+    drawn = Table(base.mapInArrow(_emit_paths(shingle, runs, similarity), PATHS), "paths")
+    grouped, tables = ordering.equal_groups(ordering.ranged(drawn.read(), node, row), node, row, [2], "sets", keep_single=True)
+    head = F.struct(*[F.col(f"h2_{c}").alias(c) for c in row])
+    named = grouped.withColumns({"own": F.struct(*row), "head": head, "some": F.length("paths") > 0, "copies": F.col("n2")})
+    members = Table(named.select(*node, "own", "head", "some", "copies"), "members")
+    # rows that repeat wholly share their key: one of them stands for all
+    standing = Table(named.filter("own = head AND some").select(*node, *row, "copies", "paths").dropDuplicates(node), "standing")
+    ordering.drop([*tables, drawn])
+
+    held = _buckets(standing, small)
+    into = _without_subsets(held.read()).groupBy(*node).agg(F.collect_list(F.struct("bucket", "size")).alias("into"))
+    sets = standing.read().select(*node, *row, "copies")
+    met = base.select("text", "k1", "k2").join(into.join(sets.drop("did"), node), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sent = met.select("text", *node, "copies", "into").mapInArrow(_send_sets(shingle, block), CELLS)
+    cells = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "c1")
+    found = Table(cells.mapInArrow(_compare(similarity), LINKS), "links")
     held.drop()
-    edges = found.read().filter("b IS NOT NULL").select(F.col("did").alias("a"), "b")
-    label = components(edges, "ngram").withColumnRenamed("node", "did")
-    links = found.read().filter("b IS NULL").groupBy("did").agg(F.sum("links").alias("links"))
-    known = Table(links.join(label, "did").select(F.col("did").bitwiseXOR(F.lit(APART)).alias("k"), "links", "component"), "labels")
-    out = members.read().withColumn("k", F.col("head").bitwiseXOR(F.lit(APART))).join(known.read(), "k", "left")
+
+    edges = found.read().filter("b1 IS NOT NULL").select(F.struct(*node).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))
+    label = components(edges, "ngram").select(F.col("node.*"), "component")
+    label = label.join(sets, node).select(*node, "component", F.struct(*row).alias("own"))
+    least = label.groupBy("component").agg(F.min("own").alias("least"))
+    label = label.withColumn("k", apart("component")).join(least.select(apart("component").alias("k"), "least"), "k")
+    links = found.read().filter("b1 IS NULL").groupBy(*node).agg(F.sum("links").alias("links"))
+    known = Table(links.join(label, node).select(*node, "links", "least"), "labels")
+    nodes = F.struct(*node)
+    out = members.read().withColumn("k", nodes).join(known.read().select(nodes.alias("k"), "links", "least"), "k", "left")
     n_links = F.when(F.col("some"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
-    class_id = F.when(F.col("some"), F.coalesce("component", "head")).otherwise(F.col("did"))
-    return out.select(F.when(F.col("did") != -(1 << 63), F.col("did")).alias("doc_id"), F.when(class_id != -(1 << 63), class_id).alias("class_id"), n_links.cast("long").alias("n_links"), F.when(F.col("some"), F.col("did") == class_id).otherwise(F.col("did") == F.col("head")).alias("first"), "did", "rid")
+    leads = F.coalesce("least", "head")
+    at = F.when(F.col("some"), leads.did).otherwise(F.col("own.did"))
+    clean = lambda c: F.when(c != NO_ID, c)
+    first = F.when(F.col("some"), F.col("own") == leads).otherwise(F.col("own") == F.col("head"))
+    return out.select(clean(F.col("own.did")).alias("doc_id"), clean(at).alias("class_id"), n_links.cast("long").alias("n_links"), first.alias("first"), "own.k1", "own.k2")
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """``docs``, all its columns, with the smallest doc_id of each class and no other; of texts without words too."""
-    stays = ngram_classes(docs).filter("first").select(F.col("did").alias("_did2"), F.col("rid").alias("_rid2")).distinct()
-    own = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_rid": F.hash(F.col("text").cast("string"))})
-    met = own.join(stays, (F.col("_did") == F.col("_did2")) & (F.col("_rid") == F.col("_rid2")))
-    return met.dropDuplicates(["_did", "_rid"]).select(*docs.columns)
+    """``docs``, all its columns, with one row of each class, that of the smallest doc_id; of texts without words too.
+
+    Rows without a doc_id come after the others; of rows that repeat wholly one stays.
+    """
+    stays = ngram_classes(docs).filter("first").select("k1", "k2").distinct()
+    own = with_keys(docs)
+    met = own.join(stays, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return met.select(*own.columns[: len(docs.columns)]).toDF(*docs.columns)

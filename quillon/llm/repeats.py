@@ -1,30 +1,32 @@
-"""Removal of long repeated stretches from a collection, exactly and without comparing pairs.
+"""What the two operators on repeated stretches share: anchors, runs of windows, and their groups.
 
-Both substring operators remove every unit (byte or word) that is covered by a window of
-``length`` units whose content also starts anywhere else. They share these steps.
+Both remove every unit (byte or word) that is covered by a window of ``length`` units whose
+content also starts anywhere else, exactly. The steps:
 
 1. Winnowing: each window chooses the gram of ``gram`` units with the smallest hash in it,
-   the leftmost among equals. Neighbouring windows with one choice form a *run*. Equal
-   windows choose equal grams, so a window can only repeat within its gram's group.
-2. The runs are range-partitioned and sorted by (gram, content); neighbours are compared,
-   also across boundaries (``ordering.equal_groups``). Runs whose gram is nowhere else are
-   settled, and so are runs whose whole content repeats. What is left, runs that share
-   their gram but not their content, is *open*.
+   the leftmost among equals; that place is its *anchor*. Neighbouring windows with one anchor
+   form a *run*. Equal windows have equal anchors in the same place, so a window can only
+   repeat among the runs that share its anchor's key.
+2. The runs are range-partitioned by sampled splitters and sorted by (anchor key, content);
+   neighbours are compared, also across boundaries (``ordering.equal_groups``). Runs whose anchor
+   is nowhere else are settled, and so are runs whose whole content repeats (128 bits of XXH3
+   of the bytes). What is left, runs that share their anchor but not their content, is *open*.
 3. Texts meet their runs, by row. Texts without open runs are done. Open runs, and one of
    each repeated content in their groups, send their units on.
-4. Those are range-partitioned by gram and the windows of each group are sorted and compared.
-   Groups of over ``WHOLE`` rows are first cut into runs of longer grams, which go through
+4. Those are range-partitioned by anchor key, and the operator's own method, ``matcher``, finds
+   what repeats in each group: ``substring_dedup`` extends matches from the anchors both ways,
+   ``suffix_dedup`` sorts the suffixes. Both compare the bytes themselves.
+   Groups of over ``WHOLE`` rows are first cut into runs of longer anchors, which go through
    step 2 again, and in the end into single windows, so no task holds a large group.
-5. The texts with open runs meet the windows found.
+5. The texts with open runs meet the stretches found.
 
-Nothing is capped: large groups are spread by step 2 and 4's range partitioning over
-(key, doc_id, position). Hashes have 128 bits where equality decides (gram and content).
+Nothing is capped: large groups are spread by step 2 and 4's ranges of (key, row, position).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -34,21 +36,24 @@ from pyspark.sql import functions as F
 
 from quillon.llm import hashing, ordering
 from quillon.llm.storage import Table, tidy
-from quillon.llm.texts import buffers, keyed
+from quillon.llm.texts import buffers, few, keyed
 
 #: Units that are hashed at once; it bounds the memory of a step, not its input.
 CHUNK = 1 << 19
 #: A run is known by its first window's position and its number of windows, below this.
 SPAN = 1 << 12
-
-#: Rows of a gram's group whose windows one task compares.
+#: Rows of an anchor's group that one task compares; larger groups are cut, with the same result.
 WHOLE = 384
-
-RUNS = "ah long, rh long, did long, rid int, sp long"
-STEP = "kind int, doc_id long, did long, rid int, n_units long, n_removed long, n_spans long, kept_sha256 string, text binary, cover binary, ah long, s0 long, open boolean, n long, payload binary"
-FOUND = "did long, rid int, lo long, hi long"
-CUT = "ah long, rh long, did long, lo long, rid int, hi long, open boolean, payload binary"
-WINDOWS = "ah long, wh long, did long, lo long, rid int, hi long, open boolean"
+#: Bytes of units that are compared at once.
+HELD = 1 << 25
+#: Rows that splitters are sampled from.
+SAMPLE_ROWS = 3000
+
+RUNS = "ah long, r1 long, r2 long, k1 long, k2 long, sp long"
+STEP = "kind int, doc_id long, k1 long, k2 long, n_units long, n_removed long, n_spans long, kept_sha256 string, text binary, cover binary, ah long, s0 long, open boolean, n long, payload binary"
+FOUND = "k1 long, k2 long, lo long, hi long"
+CUT = "ah long, r1 long, r2 long, k1 long, k2 long, lo long, hi long, open boolean, payload binary"
+WINDOWS = "ah long, r1 long, r2 long, k1 long, k2 long, lo long, hi long, open boolean"
 DONE = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -61,14 +66,14 @@ class Bytes:
     def codes(self, lo: int, hi: int) -> np.ndarray:
         return hashing.BYTE_CODES[self.data[lo:hi]]
 
-    def payload(self, lo: int, hi: int) -> bytes:
-        return self.data[lo:hi].tobytes()
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte of stretches of units."""
+        return lo, hi
 
-    @staticmethod
-    def unpack(payload: np.ndarray) -> np.ndarray:
-        return hashing.BYTE_CODES[payload]
-
-    width = 1
+    def anchor_keys(self, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The anchor's three leading bytes, in their order, then 40 bits of its hash."""
+        head = self.data[at].astype(np.int64) << 16 | self.data[at + 1].astype(np.int64) << 8 | self.data[at + 2]
+        return (head - (1 << 23)) << 40 | (grams >> np.uint64(24)).astype(np.int64)
 
     @staticmethod
     def kept(text: bytes, removed: np.ndarray) -> tuple[bytes, int]:
@@ -78,29 +83,30 @@ class Bytes:
 
 
 class Words:
-    """Texts as words ``[^\\x20\\x09-\\x0D]+``, each coded by a 64-bit hash of its bytes."""
+    """Texts as words ``[^\\x20\\x09-\\x0D]+``; ``data`` has them with single spaces."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        codes, counts = [], np.zeros(len(starts), np.int64)
-        for rows, lo, hi in pieces(starts, ends, CHUNK, 0, lambda at: _next_space(data, at)):
-            a, b = hashing.words(data[lo[0] : hi[-1]], lo - lo[0], hi - lo[0])
-            codes.append(hashing.Prefix(hashing.BYTE_CODES[data[lo[0] : hi[-1]]]).ranges(a, b))
-            np.add.at(counts, rows, np.diff(np.searchsorted(a, np.append(lo, hi[-1]) - lo[0])))
-        self.all = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        self.ends = np.cumsum(counts)
-        self.starts = self.ends - counts
+        whole = memoryview(np.ascontiguousarray(data))
+        words, counts = [], []
+        for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
+            own = bytes(whole[a:z]).split()  # splits at these six bytes and no others
+            words += own
+            counts.append(len(own))
+        self.data = np.frombuffer(b" ".join(words), np.uint8)
+        self.all = hashing.WORD_CODES.of(words)
+        space = np.flatnonzero(self.data == 32)
+        self.first, self.last = np.append(0, space + 1), np.append(space, len(self.data))
+        self.ends = np.cumsum(np.array(counts, np.int64))
+        self.starts = self.ends - np.array(counts, np.int64)
 
     def codes(self, lo: int, hi: int) -> np.ndarray:
         return self.all[lo:hi]
 
-    def payload(self, lo: int, hi: int) -> bytes:
-        return self.all[lo:hi].tobytes()
-
-    @staticmethod
-    def unpack(payload: np.ndarray) -> np.ndarray:
-        return payload.view(np.uint64)
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first[lo], self.last[hi - 1]
 
-    width = 8
+    def anchor_keys(self, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        return grams.view(np.int64)
 
     @staticmethod
     def kept(text: bytes, removed: np.ndarray) -> tuple[bytes, int]:
@@ -114,18 +120,12 @@ class Words:
 
 
 UNITS = {"byte": Bytes, "word": Words}
+Units = Bytes | Words
+#: A table of payloads with one anchor key after another, its units, and the anchors' length: row, first and last unit (of all units) of what repeats.
+Matcher = Callable[[pa.Table, Units, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _next_space(data: np.ndarray, at: int) -> int:
-    while at < len(data):
-        here = np.flatnonzero(hashing.spaces(data[at : at + CHUNK]))
-        if len(here):
-            return at + int(here[0])
-        at += CHUNK
-    return at
-
-
-def pieces(starts: np.ndarray, ends: np.ndarray, size: int, overlap: int, cut=lambda at: at) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(starts: np.ndarray, ends: np.ndarray, size: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, starts and ends of neighbouring texts of about ``size`` units together.
 
     A text longer than that comes in pieces of its own, which overlap by ``overlap``.
@@ -135,7 +135,7 @@ def pieces(starts: np.ndarray, ends: np.ndarray, size: int, overlap: int, cut=la
         if ends[i] - starts[i] > size:
             lo = int(starts[i])
             while True:
-                hi = min(int(ends[i]), cut(min(int(ends[i]), lo + size)))
+                hi = min(int(ends[i]), lo + size)
                 yield np.array([i]), np.array([lo]), np.array([min(int(ends[i]), hi + overlap)])
                 if hi + overlap >= ends[i]:
                     break
@@ -151,12 +151,11 @@ def pieces(starts: np.ndarray, ends: np.ndarray, size: int, overlap: int, cut=la
 
 
 def window_runs(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one chosen gram: piece, first window, windows, gram hash, content hash."""
-    prefix = hashing.Prefix(codes)
-    grams = prefix.windows(gram)
+    """Runs of windows with one anchor: piece, first window, windows, anchor, the anchor's hash."""
     none = np.zeros(0, np.int64)
     if len(codes) < length:
         return none, none, none, none, none
+    grams = hashing.Prefix(codes).windows(gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     chosen = (hashing.sliding_min(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = np.arange(len(chosen))
@@ -165,23 +164,28 @@ def window_runs(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int,
         return none, none, none, none, none
     chosen = chosen[at]
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))
-    size = np.diff(np.append(first, len(at)))
     s0 = at[first]
-    content = prefix.ranges(s0, s0 + size - 1 + length)
-    return np.searchsorted(lo, s0, "right") - 1, s0, size, grams[chosen[first]].view(np.int64), content.view(np.int64)
+    return np.searchsorted(lo, s0, "right") - 1, s0, np.diff(np.append(first, len(at))), chosen[first], grams[chosen[first]]
+
+
+def _runs_of(units: Units, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, first window, windows, anchor key and content of each run."""
+    for rows, lo, hi in pieces(units.starts, units.ends, CHUNK, length - 1):
+        base = int(lo[0])
+        piece, s0, size, anchor, grams = window_runs(units.codes(base, int(hi[-1])), lo - base, hi - base, length, gram)
+        if len(s0):
+            r1, r2 = hashing.digests(units.data, *units.places(s0 + base, s0 + base + size - 1 + length))
+            yield rows[piece], s0 + base, size, units.anchor_keys(anchor + base, grams), r1, r2
 
 
 def _emit_runs(unit: str, length: int, gram: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = UNITS[unit](*buffers(batch.column("text")))
-            did, rid = ordering.numbers(batch, "did"), ordering.numbers(batch, "rid")
-            for rows, lo, hi in pieces(units.starts, units.ends, CHUNK, length - 1):
-                base = int(lo[0])
-                piece, s0, size, ah, rh = window_runs(units.codes(base, int(hi[-1])), lo - base, hi - base, length, gram)
-                if len(s0):
-                    row = rows[piece]
-                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(rh), pa.array(did[row]), pa.array(rid[row]), pa.array((s0 + base - units.starts[row]) * SPAN + size)], names=["ah", "rh", "did", "rid", "sp"])
+            k1, k2 = ordering.numbers(batch, "k1"), ordering.numbers(batch, "k2")
+            for row, s0, size, ah, r1, r2 in _runs_of(units, length, gram):
+                sp = (s0 - units.starts[row]) * SPAN + size
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah, r1, r2, k1[row], k2[row], sp)], names=["ah", "r1", "r2", "k1", "k2", "sp"])
 
     return emit
 
@@ -216,27 +220,28 @@ def _meet(unit: str, length: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts, ends = buffers(batch.column("text"))
-            own, did, rid = batch.column("doc_id").to_pylist(), ordering.numbers(batch, "did"), ordering.numbers(batch, "rid")
+            own, k1, k2 = batch.column("doc_id").to_pylist(), ordering.numbers(batch, "k1"), ordering.numbers(batch, "k2")
             runs = batch.column("runs")
-            some = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
             out, load = [], 0
             for i in range(batch.num_rows):
                 if not runs[i].is_valid:
                     out.append({"kind": 0} | _result(unit, own[i], data[starts[i] : ends[i]].tobytes(), np.zeros((0, 2), np.int64)))
-                elif len(some):
+                else:
+                    key = {"k1": int(k1[i]), "k2": int(k2[i])}
                     mine = pa.RecordBatch.from_struct_array(runs[i].values)
                     sp, kind, ah, group = (ordering.numbers(mine, x) for x in ("sp", "kind", "ah", "n1"))
                     s0, size, text = sp // SPAN, sp % SPAN, data[starts[i] : ends[i]]
-                    removed = merged(s0[kind < 3], (s0 + size - 1 + length)[kind < 3])
+                    end = s0 + size - 1 + length
+                    removed = merged(s0[kind < 3], end[kind < 3])
                     if (kind == 3).any():
-                        out.append({"kind": 1, "doc_id": own[i], "did": int(did[i]), "rid": int(rid[i]), "text": text.tobytes(), "cover": removed.tobytes()})
+                        out.append({"kind": 1, "doc_id": own[i], **key, "text": text.tobytes(), "cover": removed.tobytes()})
                     else:
                         out.append({"kind": 0} | _result(unit, own[i], text.tobytes(), removed))
-                    if (kind > 1).any():
+                    some = np.flatnonzero(kind > 1)
+                    if len(some):
                         units = UNITS[unit](text, np.zeros(1, np.int64), np.array([len(text)]))
-                        for j in np.flatnonzero(kind > 1).tolist():
-                            a = int(s0[j])
-                            out.append({"kind": 2, "did": int(did[i]), "rid": int(rid[i]), "ah": int(ah[j]), "s0": a, "open": bool(kind[j] == 3), "n": int(group[j]), "payload": units.payload(a, a + int(size[j]) - 1 + length)})
+                        for j, a, z in zip(some.tolist(), *(x.tolist() for x in units.places(s0[some], end[some])), strict=True):
+                            out.append({"kind": 2, **key, "ah": int(ah[j]), "s0": int(s0[j]), "open": bool(kind[j] == 3), "n": int(group[j]), "payload": units.data[a:z].tobytes()})
                 load += int(ends[i] - starts[i])
                 if len(out) > 5000 or load > 1 << 23:
                     yield _rows(out, schema)
@@ -248,84 +253,39 @@ def _meet(unit: str, length: int):
 
 
 def _longer_grams(length: int) -> list[int]:
-    """The grams that large groups are cut by: runs then have an eighth, then a 32nd, of the length in windows."""
+    """The anchors that large groups are cut by: runs then have an eighth, then a 32nd, of the length in windows."""
     return sorted({length - length // n + 1 for n in (8, 32) if length // n > 1})
 
 
-def _batches_of(ends: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Neighbouring rows of about ``size`` bytes together."""
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + size, "right")))
-        yield at, stop
-        at = stop
-
-
-def _stretches(row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last offset of windows that follow one another."""
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)))
-    last = np.append(first[1:] - 1, len(row) - 1)
-    return row[first], off[first], off[last]
-
-
-def _twice(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row has an equal one."""
-    order = np.lexsort(keys)
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
-    twice = np.zeros(len(order), bool)
-    twice[order] = same | np.append(same[1:], False)
-    return twice
-
-
-def _windows_of(unit: str, length: int, payload: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, offset and hash of every window in the units sent."""
-    width = UNITS[unit].width
-    data, starts, ends = buffers(payload.cast(pa.large_binary()))
-    for i, j in _batches_of(ends, starts, CHUNK * width):
-        a, b = starts[i:j], ends[i:j]
-        codes = UNITS[unit].unpack(np.ascontiguousarray(data[a[0] : b[-1]]))
-        size = (b - a) // width - length + 1
-        off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat((a - a[0]) // width, size) + off
-        yield np.repeat(np.arange(i, j), size), off, hashing.Prefix(codes).ranges(at, at + length).view(np.int64)
-
-
-def _resolve(unit: str, length: int):
+def _match(unit: str, length: int, gram: int, matcher: Matcher):
     schema = _arrow(FOUND)
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ordering.whole(batches)
-        if table is None:
-            return
-        ah, did, rid, s0 = (ordering.numbers(table, x) for x in ("ah", "did", "rid", "lo"))
-        is_open = ordering.numbers(table, "open")
-        row, off, wh = (np.concatenate(x) for x in zip(*_windows_of(unit, length, table.column("payload").chunk(0)), strict=True))
-        hit = np.flatnonzero(_twice(wh, ah[row]) & is_open[row])
-        if len(hit):
-            r, a, z = _stretches(row[hit], off[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[r], rid[r], s0[r] + a, s0[r] + z + length)], schema=schema)
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in ordering.whole_groups(batches, ["ah"], HELD):
+            k1, k2, s0, is_open = (ordering.numbers(table, x) for x in ("k1", "k2", "lo", "open"))
+            units = UNITS[unit](*buffers(table.column("payload").chunk(0)))
+            row, lo, hi = matcher(table, units, length, gram)
+            mine = is_open[row]
+            row, lo, hi = row[mine], lo[mine], hi[mine]
+            if len(row):
+                base = s0[row] - units.starts[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], base + lo, base + hi)], schema=schema)
 
-    return resolve
+    return match
 
 
 def _cut(unit: str, length: int, gram: int):
     schema = _arrow(CUT)
-    width = UNITS[unit].width
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, rid, s0, is_open = (ordering.numbers(batch, x) for x in ("did", "rid", "lo", "open"))
-            data, starts, ends = buffers(batch.column("payload").cast(pa.large_binary()))
-            for i, j in _batches_of(ends, starts, CHUNK * width):
-                lo, hi = (starts[i:j] - starts[i]) // width, (ends[i:j] - starts[i]) // width
-                piece, at, size, ah, rh = window_runs(UNITS[unit].unpack(np.ascontiguousarray(data[starts[i] : ends[j - 1]])), lo, hi, length, gram)
-                r, first = piece + i, at - lo[piece]
-                a, n = starts[r] + first * width, (size - 1 + length) * width
-                sent = [data[x : x + k].tobytes() for x, k in zip(a.tolist(), n.tolist(), strict=True)]
-                at = s0[r] + first
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ah, rh, did[r], at, rid[r], at + size - 1 + length, is_open[r])), pa.array(sent, pa.binary())], schema=schema)
+            k1, k2, lo, is_open = (ordering.numbers(batch, x) for x in ("k1", "k2", "lo", "open"))
+            units = UNITS[unit](*buffers(batch.column("payload")))
+            for row, s0, size, ah, r1, r2 in _runs_of(units, length, gram):
+                end = s0 + size - 1 + length
+                sent = [units.data[a:z].tobytes() for a, z in zip(*(x.tolist() for x in units.places(s0, end)), strict=True)]
+                base = lo[row] - units.starts[row]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ah, r1, r2, k1[row], k2[row], base + s0, base + end, is_open[row])), pa.array(sent, pa.binary())], schema=schema)
 
     return cut
 
@@ -335,14 +295,23 @@ def _emit_windows(unit: str, length: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ah, did, rid, lo, is_open = (ordering.numbers(batch, x) for x in ("ah", "did", "rid", "lo", "open"))
-            for r, off, wh in _windows_of(unit, length, batch.column("payload")):
-                at = lo[r] + off
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[r], wh, did[r], at, rid[r], at + length, is_open[r])], schema=schema)
+            ah, k1, k2, lo, is_open = (ordering.numbers(batch, x) for x in ("ah", "k1", "k2", "lo", "open"))
+            units = UNITS[unit](*buffers(batch.column("payload")))
+            for row, s0 in windows_of(units, length):
+                r1, r2 = hashing.digests(units.data, *units.places(s0, s0 + length))
+                at = lo[row] + s0 - units.starts[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[row], r1, r2, k1[row], k2[row], at, at + length, is_open[row])], schema=schema)
 
     return emit
 
 
+def windows_of(units: Units, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and first unit of every window, in pieces."""
+    for rows, lo, hi in pieces(units.starts, units.ends, CHUNK, length - 1):
+        size = np.maximum(0, hi - lo - length + 1)
+        yield np.repeat(rows, size), np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _finish(unit: str):
     schema = _arrow(DONE)
 
@@ -362,50 +331,53 @@ def _finish(unit: str):
     return finish
 
 
-def _open_stretches(sent: DataFrame, unit: str, length: int) -> DataFrame:
-    """did, rid, lo and hi of the windows in open runs that repeat, by groups of ah."""
+def _open_stretches(sent: DataFrame, unit: str, length: int, gram: int, matcher: Matcher) -> DataFrame:
+    """k1, k2, lo and hi of the stretches of open runs that repeat, by groups of ah."""
     place = [x.split()[0] for x in FOUND.split(", ")]
     grams, found = _longer_grams(length), None
     while True:
-        small = sent.filter(F.col("n") <= WHOLE).repartitionByRange("ah").sortWithinPartitions("ah", "did", "lo")
-        part = small.mapInArrow(_resolve(unit, length), FOUND)
+        small = sent.filter(F.col("n") <= WHOLE).repartitionByRange("ah").sortWithinPartitions("ah", "k1", "lo")
+        part = small.mapInArrow(_match(unit, length, gram, matcher), FOUND)
         found = part if found is None else found.unionByName(part)
         large = sent.filter(F.col("n") > WHOLE)
         if large.isEmpty():
             return found
+        some = few(large, SAMPLE_ROWS)
         if not grams:
-            twice, _ = ordering.equal_groups(large.mapInArrow(_emit_windows(unit, length), WINDOWS), ["ah", "wh"], ["did", "lo"], [2], "windows")
+            windows = ordering.emitted(large, _emit_windows(unit, length), WINDOWS, ["ah", "r1", "r2"], ["k1", "lo"], some)
+            twice, _ = ordering.equal_groups(windows, ["ah", "r1", "r2"], ["k1"], [3], "windows")
             return found.unionByName(twice.filter("open").select(*place))
-        runs = large.mapInArrow(_cut(unit, length, grams.pop(0)), CUT)
-        groups, _ = ordering.equal_groups(runs, ["ah", "rh"], ["did", "lo"], [1, 2], "cut")
-        found = found.unionByName(groups.filter("open AND n2 > 1").select(*place))
-        apart = groups.filter((F.col("n1") != F.col("n2")) & ((F.col("n2") == 1) | (F.col("did") == F.col("head2"))))
-        sent = apart.select("ah", "did", "rid", "lo", (F.col("open") & (F.col("n2") == 1)).alias("open"), F.col("n1").alias("n"), "payload")
+        gram = grams.pop(0)
+        runs = ordering.emitted(large, _cut(unit, length, gram), CUT, ["ah", "r1", "r2"], ["k1", "lo"], some)
+        groups, _ = ordering.equal_groups(runs, ["ah", "r1", "r2"], ["k1"], [1, 3], "cut")
+        found = found.unionByName(groups.filter("open AND n3 > 1").select(*place))
+        apart = groups.filter((F.col("n1") != F.col("n3")) & ((F.col("n3") == 1) | (F.col("k1") == F.col("h3_k1"))))
+        sent = apart.select("ah", "k1", "k2", "lo", (F.col("open") & (F.col("n3") == 1)).alias("open"), F.col("n1").alias("n"), "payload")
 
 
-def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, matcher: Matcher, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_sha256.
 
-    Null and empty texts have no units and stay as they are; rows that repeat a doc_id, or
-    repeat wholly, are texts of their own, whose stretches repeat each other's.
+    Null and empty texts have no units and stay as they are; rows that repeat a doc_id or have
+    none, or repeat wholly, are texts of their own, whose stretches repeat each other's. Empty
+    tables give an empty result; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     base = keyed(docs, doc_id, text)
-    runs = base.mapInArrow(_emit_runs(unit, length, gram), RUNS)
-    shared, table = ordering.equal_groups(runs, ["ah", "rh"], ["did", "sp"], [1, 2], "runs")
+    keys, ties = ["ah", "r1", "r2"], ["k1", "sp"]
+    runs = ordering.emitted(base, _emit_runs(unit, length, gram), RUNS, keys, ties, keyed(few(docs, SAMPLE_ROWS), doc_id, text))
+    shared, tables = ordering.equal_groups(runs, keys, ["k1"], [1, 3], "runs")
     # 1: repeats as a whole; 2: that too, and stands for its content in a group with others; 3: open
-    kind = F.when(F.col("n1") == F.col("n2"), 1).when(F.col("n2") == 1, 3).when(F.col("did") == F.col("head2"), 2).otherwise(1)
-    by_row = shared.groupBy("did", "rid").agg(F.collect_list(F.struct("sp", kind.alias("kind"), "ah", "n1")).alias("runs"))
-    met = base.alias("b").join(by_row.alias("r"), (F.col("b.did") == F.col("r.did")) & (F.col("b.rid") == F.col("r.rid")), "left")
-    met = met.select("doc_id", "text", "b.did", "b.rid", "runs")
-    step = Table(met.mapInArrow(_meet(unit, length), STEP), "texts")
-    table.drop()
-
-    sent = step.read().filter("kind = 2").select("ah", "did", "rid", F.col("s0").alias("lo"), "open", "n", "payload")
-    stretches = _open_stretches(sent, unit, length)
-    stretches = stretches.groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    waiting = step.read().filter("kind = 1").select("doc_id", "text", "cover", "did", "rid").alias("b")
-    ended = waiting.join(stretches.alias("r"), (F.col("b.did") == F.col("r.did")) & (F.col("b.rid") == F.col("r.rid")), "left").select("doc_id", "text", "cover", "found")
+    kind = F.when(F.col("n1") == F.col("n3"), 1).when(F.col("n3") == 1, 3).when(F.col("k1") == F.col("h3_k1"), 2).otherwise(1)
+    by_row = shared.groupBy("k1", "k2").agg(F.collect_set(F.struct("sp", kind.alias("kind"), "ah", "n1")).alias("runs"))
+    step = Table(base.join(by_row, ["k1", "k2"], "left").mapInArrow(_meet(unit, length), STEP), "texts")
+    ordering.drop(tables)
+
+    sent = step.read().filter("kind = 2").select("ah", "k1", "k2", F.col("s0").alias("lo"), "open", "n", "payload")
+    stretches = _open_stretches(sent, unit, length, gram, matcher)
+    stretches = stretches.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    waiting = step.read().filter("kind = 1").select("doc_id", "text", "cover", "k1", "k2")
+    ended = waiting.join(stretches, ["k1", "k2"], "left").select("doc_id", "text", "cover", "found")
     done = step.read().filter("kind = 0").select(*[c.split()[0] for c in DONE.split(", ")])
     tidy(spark)
     return done.unionByName(ended.mapInArrow(_finish(unit), DONE))

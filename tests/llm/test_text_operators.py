@@ -14,7 +14,7 @@ from quillon.llm import decontamination, line_dedup, mixing, ngram_join, repeats
 from quillon.llm.substring_dedup import substring_dedup
 from quillon.llm.suffix_dedup import suffix_dedup
 
-EXTRA = ", did long, rid int, keep binary, score double, rate double, _text string, _c0 int, kind int"
+EXTRA = ", did long, k1 int, k2 binary, score double, rate double, _text string, _c0 int, _dropped int"
 
 
 def _texts(seed: int = 3, n: int = 60) -> list[str | None]:
@@ -111,6 +111,11 @@ def test_rows_with_one_id_are_texts_of_their_own(spark):
     docs = _docs(spark, [long, long, "a b", None], [7, 7, 7, None])
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect())
     assert got == [(-1, 0, 0), (7, 2, 0), (7, 60, 60), (7, 60, 60)]
+    rows = [(None, long), (None, "x " + long + " y"), (7, "y " + " ".join(long.split()[:40])), (None, "only here " * 30), (7, "z")]
+    docs = _docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    for run, split, join, length in ((substring_dedup, _words, _join_words, 35), (suffix_dedup, str.encode, bytes, 200)):
+        want = sorted((i or -1, *x) for (i, _), x in zip(rows, _without_repeats([t for _, t in rows], split, join, length), strict=True))
+        assert sorted((r["doc_id"] or -1, *list(r)[1:]) for r in run(docs).collect()) == want
 
 
 def test_empty_tables(spark):
@@ -150,6 +155,99 @@ def test_line_dedup_of_one_document_in_several_rows(spark):
     assert got == [(-1, 1, 0), (4, 1, 0), (4, 1, 0), (9, 2, 1)]
 
 
+def test_rows_that_share_an_id_or_have_none_keep_their_own_lines(spark):
+    # the two texts of document 5 have one 32-bit murmur value
+    texts = ["common line abcdef", "common line abcdef\nfirst shape 1178", "own line of row 254067\ncommon line abcdef", "a line without an id\nx", "a line without an id\ny", "common line abcdef"]
+    docs = _docs(spark, texts, [1, 5, 5, None, None, None])
+    kept = sorted((r["doc_id"] or 99, r["text"]) for r in line_dedup.without_repeated_lines(docs).select("doc_id", "text").collect())
+    assert kept[:3] == [(1, "common line abcdef"), (5, "first shape 1178"), (5, "own line of row 254067")]
+    assert sorted(len(t) for _, t in kept[3:]) == [0, 1, len(texts[3])]
+    got = sorted((r["doc_id"] or 99, r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(1, 1, 0), (5, 2, 1), (5, 2, 1), (99, 1, 1), (99, 2, 0), (99, 2, 1)]
+
+
+def test_classes_of_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a + " more"), (9, b + " more"), (None, a + " less"), (None, c), (None, c + " again"), (None, "alone in the world"), (5, a)]
+    docs = _docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_classes(docs).collect())
+    assert got == collections.Counter([(5, 2, 3), (5, 2, 3), (2, 2, 3), (None, 2, 3), (5, 5, 1), (9, 5, 1), (None, None, 1), (None, None, 1), (None, None, 0)])
+    kept = sorted((r["doc_id"] or 99, r["text"][:1]) for r in ngram_join.one_of_each_class(docs).select("doc_id", "text").collect())
+    assert kept == [(2, "a"), (5, "b"), (99, "a"), (99, "c")]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ["_dropped", "_did", "_rid", "_c1", "k1", "part", "runs", "text", "doc_id"]
+    docs = spark.createDataFrame([(*range(i, i + 7), f"one line for all of us\nand {'word ' * i}", i) for i in range(4)], ", ".join(f"{n} string" if n == "text" else f"{n} long" for n in names))
+    model = toxicity.Model({"zzz": 9.0}, -3.0)
+    bench = spark.createDataFrame([(1, "nothing that the documents hold in any place")], "item_id long, text string")
+    for out in (line_dedup.without_repeated_lines(docs), ngram_join.one_of_each_class(docs), toxicity.without_toxic(docs, model), decontamination.without_contaminated(docs, bench)):
+        assert out.schema == docs.schema
+        rows = out.collect()
+        assert rows and all(r["_did"] == r["doc_id"] + 1 and r["runs"] == r["doc_id"] + 6 for r in rows)
+    assert substring_dedup(docs).count() == suffix_dedup(docs).count() == 4
+
+
+def test_other_words_of_one_polynomial_hash_do_not_repeat(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:20], x, *words[20:]]) for x in (a, b)] + [a, b]
+    assert [r["n_removed"] for r in substring_dedup(_docs(spark, texts)).collect()] == [0] * 4
+    got = [r["n_removed"] for r in suffix_dedup(_docs(spark, [a, b])).orderBy("doc_id").collect()]
+    assert got == [x[1] for x in _without_repeats([a, b], str.encode, bytes, 200)]
+
+
+def test_matches_are_extended_by_bytes_where_codes_agree():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import hashing
+    from quillon.llm.substring_dedup import extend_matches
+    from quillon.llm.texts import buffers
+
+    hashing.WORD_CODES.clear()
+    hashing.WORD_CODES[b"other"] = hashing.WORD_CODES[b"w7"]  # a collision
+    words = [f"w{i}" for i in range(60)]
+    changed = ["other" if w == "w7" else w for w in words]
+    payload = pa.array([" ".join(words).encode(), " ".join(changed).encode()], pa.binary())
+    units = repeats.Words(*buffers(payload))
+    ah = hashing.Prefix(units.all).windows(10)[25]
+    table = pa.table({"ah": np.array([ah, ah], np.uint64).view(np.int64), "open": [True, True]})
+    got = extend_matches(table, units, 35, 10)
+    hashing.WORD_CODES.clear()
+    assert [x.tolist() for x in got] == [[0, 1], [8, 68], [60, 120]]
+
+
+def test_multikey_quicksort():
+    import numpy as np
+
+    from quillon.llm.suffix_dedup import multikey_quicksort
+
+    rng = random.Random(6)
+    for length in (5, 8, 21, 200):
+        data = bytes(rng.choice(b"\x00a\xff") for _ in range(40)) * 12 + bytes(rng.randrange(256) for _ in range(600))
+        starts = np.arange(len(data) - length + 1)
+        group = np.sort(np.array([rng.randrange(3) for _ in starts]))
+        order, same = multikey_quicksort(np.frombuffer(data, np.uint8), starts, group, length)
+        strings = [(int(group[i]), data[i : i + length]) for i in order.tolist()]
+        assert strings == sorted(strings) and sorted(order.tolist()) == starts.tolist()
+        assert same.tolist() == [bool(i) and strings[i] == strings[i - 1] for i in range(len(strings))]
+
+
+def test_ranges_of_rows_between_splitters():
+    import numpy as np
+
+    from quillon.llm.ordering import range_of
+
+    rng = random.Random(8)
+    rows = [tuple(rng.randrange(4) for _ in range(3)) for _ in range(300)]
+    cut = sorted(rows[:40])
+    got = range_of([np.array(c) for c in zip(*rows, strict=True)], np.array(cut))
+    assert got.tolist() == [sum(c < r for c in cut) for r in rows]
+
+
 def _classes(texts, threshold=0.8):
     sets = []
     for t in texts:
@@ -174,7 +272,7 @@ def _classes(texts, threshold=0.8):
 def test_ngram_classes(spark, small):
     texts = _texts()
     label, links = _classes(texts)
-    out = ngram_join.ngram_classes(_docs(spark, texts), small=small).orderBy("doc_id").collect()
+    out = ngram_join.ngram_classes(_docs(spark, texts), small=small, block=4 * small).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in out] == list(range(len(texts)))
     if small > 100:
         assert [(r["class_id"], r["n_links"]) for r in out] == list(zip(label, links, strict=True))
