@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import io
-import os
 import shutil
 import tempfile
 import zipfile
@@ -14,41 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL_FOLDERS: list[str] = []
-#: Rows that a Python worker gets at once, where the session has left Spark's default: texts are long.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _own_folder(prefix: str) -> str:
+    """A folder on the driver's machine that goes at exit."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the executors, once for each Spark application."""
     context = spark.sparkContext
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root, data = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(data, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.writestr(str(path.relative_to(root.parent)), path.read_bytes())
-    name = os.path.join(tempfile.mkdtemp(prefix="quillon-src-"), "quillon_src.zip")
-    Path(name).write_bytes(data.getvalue())
-    context.addPyFile(name)
+    name = Path(_own_folder("quillon-src-")) / "quillon_src.zip"  # the driver serves it from there
+    name.write_bytes(data.getvalue())
+    context.addPyFile(str(name))
     _SHIPPED.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset, a folder of our own.
 
-    In local mode that is a temporary folder removed at exit. On a cluster it lies
-    under the warehouse, which executors share, never on one machine's disk.
+    In local mode that is a temporary folder removed at exit. A cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.split("[")[0] == "local":
         if not _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS.append(tempfile.mkdtemp(prefix="quillon-"))
-            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[0], ignore_errors=True)
+            _LOCAL_FOLDERS.append(_own_folder("quillon-"))
         folder = "file://" + _LOCAL_FOLDERS[0]
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_quillon").rstrip("/")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
