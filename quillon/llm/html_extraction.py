@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.cluster import ship
 from quillon.llm.boosting import Boosted, boost
-from quillon.llm.dom import Node, parse
+from quillon.llm.dom import Node, parse_nodes
 
 # Words of class, id and role that speak for or against main text.
 GROUPS = {
@@ -29,78 +30,53 @@ GROUPS = {
 }
 TAGS = ("#text", "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu", "li", "table tbody tr td th thead", "blockquote pre figure figcaption dl dt dd", "nav", "header", "footer", "aside", "form fieldset", "body html #root", "details dialog")
 _TAG_AT = {t: i for i, names in enumerate(TAGS) for t in names.split()}
+_WORDS = [frozenset(x) for x in GROUPS.values()]
 SEED_PAGES = 420
 
 
-def _nodes(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        out.append(node)
-        todo.extend(reversed(node.children))
-    return out
-
-
-def features(root: Node) -> tuple[list[Node], np.ndarray]:
-    """Nodes in page order and, for each: density of its subtree, attribute words, depth, siblings, ancestors."""
-    nodes = _nodes(root)
-    at = {id(n): i for i, n in enumerate(nodes)}
-    parent = [at[id(n.parent)] if n.parent else 0 for n in nodes]
+def features(nodes: list[Node]) -> np.ndarray:
+    """For each node, in page order: density of its subtree, attribute words, depth, siblings, ancestors."""
     n = len(nodes)
-    chars, links, tags, runs, count, paras = (np.zeros(n) for _ in range(6))
-    for i in range(n - 1, -1, -1):  # sums of subtrees
-        node = nodes[i]
-        chars[i] += len(node.text)
-        links[i] += node.links
-        tags[i] += node.tags
-        runs[i] += node.tag == "#text"
-        paras[i] += node.tag == "p"
-        count[i] += 1
-        if node.parent:
-            for x in (chars, links, tags, runs, count, paras):
-                x[parent[i]] += x[i]
-    total = max(1.0, chars[0])
-    said = np.array([len(x.text) for x in nodes], float)
-    before = said.cumsum() - said
-    own = np.zeros((n, len(TAGS) + len(GROUPS)))
-    above = np.zeros((n, len(TAGS) + len(GROUPS)))
-    rest = np.zeros((n, 16))
-    words = [frozenset(x) for x in GROUPS.values()]
-    place: dict[int, int] = {}
+    parent = [x.parent.at if x.parent else 0 for x in nodes]
+    chars, links = [len(x.text) for x in nodes], [x.links for x in nodes]
+    runs, paras = [int(x.tag == "#text") for x in nodes], [int(x.tag == "p") for x in nodes]
+    tags, count, said = [x.tags for x in nodes], [1] * n, np.array(chars, float)
+    for i in range(n - 1, 0, -1):  # sums of subtrees
+        up = parent[i]
+        chars[up] += chars[i]
+        links[up] += links[i]
+        tags[up] += tags[i]
+        runs[up] += runs[i]
+        paras[up] += paras[i]
+        count[up] += count[i]
+    # kinds and words of a node, and of all above it, as bits
+    own, above, order, met = [0] * n, [0] * n, [0] * n, [0] * n
     for i, node in enumerate(nodes):
-        k = _TAG_AT.get(node.tag)
-        if k is not None:
-            own[i, k] = 1
+        kind = _TAG_AT.get(node.tag)
+        bits = 0 if kind is None else 1 << kind
         if node.names:
-            for g, known in enumerate(words):
+            for g, known in enumerate(_WORDS):
                 if not known.isdisjoint(node.names):
-                    own[i, len(TAGS) + g] = 1
+                    bits |= 1 << (len(TAGS) + g)
+        own[i] = bits
         if i:
-            above[i] = np.maximum(above[parent[i]], own[parent[i]])
-        up = parent[i]
-        sib = len(nodes[up].children) if i else 1
-        order = place.get(up, 0) if i else 0
-        place[up] = order + 1
-        text = node.text
-        rest[i] = (
-            np.log1p(chars[i]),
-            chars[i] / total,
-            chars[i] / max(1.0, chars[up]),
-            links[i] / max(1.0, chars[i]),
-            (tags[i] + count[i]) / (chars[i] + 1) * 100,
-            chars[i] / max(1.0, runs[i]),
-            node.depth,
-            sib,
-            order / max(1, sib),
-            paras[i],
-            paras[up],
-            links[up] / max(1.0, chars[up]),
-            sum(text.count(c) for c in ",.;:!?") / max(1, len(text)),
-            text.count(" "),
-            (i + 1) / n,
-            before[i] / total,
-        )
-    return nodes, np.concatenate([own, above, rest], axis=1)
+            above[i] = above[parent[i]] | own[parent[i]]
+            order[i] = met[parent[i]]
+            met[parent[i]] += 1
+    place = np.arange(len(TAGS) + len(GROUPS))
+    marks = [(np.array(x)[:, None] >> place & 1).astype(float) for x in (own, above)]
+    up, at = np.array(parent), np.arange(n)
+    c, k, t, r, p, m = (np.array(x, float) for x in (chars, links, tags, runs, paras, count))
+    sib = np.array([len(x.children) for x in nodes], float)[up]
+    sib[:1] = 1
+    total = max(1.0, c[0]) if n else 1.0
+    some, own_links = np.maximum(1.0, c), k / np.maximum(1.0, c)
+    points = np.array([sum(map(x.text.count, ",.;:!?")) / max(1, len(x.text)) for x in nodes])
+    gaps = np.array([x.text.count(" ") for x in nodes], float)
+    rest = [np.log1p(c), c / total, c / some[up], own_links, (t + m) / (c + 1) * 100, c / np.maximum(1.0, r)]
+    rest += [np.array([x.depth for x in nodes], float), sib, np.array(order) / np.maximum(1.0, sib), p, p[up], own_links[up]]
+    rest += [points, gaps, (at + 1) / max(1, n), (said.cumsum() - said) / total]
+    return np.concatenate([*marks, np.stack(rest, axis=1)], axis=1)
 
 
 def keep_nodes(nodes: list[Node], logits: np.ndarray) -> np.ndarray:
@@ -110,21 +86,30 @@ def keep_nodes(nodes: list[Node], logits: np.ndarray) -> np.ndarray:
     its logit plus the positive gains below it; top down: a node stays if its gain is
     positive and its parent stays.
     """
-    at = {id(n): i for i, n in enumerate(nodes)}
-    gain = logits.astype(float).copy()
+    gain = logits.tolist()
     for i in range(len(nodes) - 1, 0, -1):
         if gain[i] > 0:
-            gain[at[id(nodes[i].parent)]] += gain[i]
-    keep = np.zeros(len(nodes), bool)
+            gain[nodes[i].parent.at] += gain[i]
+    keep = [True] * len(nodes)
     for i, node in enumerate(nodes):
-        keep[i] = node.parent is None or (gain[i] > 0 and keep[at[id(node.parent)]])
-    return keep
+        keep[i] = node.parent is None or (gain[i] > 0 and keep[node.parent.at])
+    return np.array(keep, bool)
+
+
+# Common words that made-up pages are filled with.
+FILLER = """time people way day man thing woman life child world school state family student group country problem
+hand part place case week company system program question work government number night point home water room mother
+area money story fact month lot right study book eye job word business issue side kind head house service friend father
+power hour game line end member law car city community name president team minute idea kid body information back parent
+face others level office door health person art war history party result change morning reason research girl guy moment
+the a of and in to for with on at from by about as into like through after over between out against during without""".split()
 
 
 def _sentence(rng: random.Random, low: int, high: int) -> str:
-    words = ["".join(rng.choice(("an", "er", "on", "re", "ti", "ou", "le", "sch", "en", "ment", "the", "de")) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
-    marks = rng.choice(("", "", "", "%%%", "&amp;"))
-    return (" ".join(w + marks for w in words) + ".").capitalize()
+    words = [rng.choice(FILLER) for _ in range(rng.randint(low, high))]
+    if len(words) > 8 and rng.random() < 0.3:
+        words[4] += rng.choice((",", ";", " &amp;", " -"))
+    return (" ".join(words) + rng.choice((".", ".", ".", "!", "?", ""))).capitalize()
 
 
 def seed_page(rng: random.Random) -> str:
@@ -184,34 +169,40 @@ def seed_page(rng: random.Random) -> str:
 
 
 def _holds_mark(nodes: list[Node]) -> np.ndarray:
-    at = {id(n): i for i, n in enumerate(nodes)}
-    y = np.array([n.text.startswith("\x02") for n in nodes], float)
+    y = [float(n.text.startswith("\x02")) for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         if y[i]:
-            y[at[id(nodes[i].parent)]] = 1
-    return y
+            y[nodes[i].parent.at] = 1.0
+    return np.array(y)
 
 
 def fit(pages: list[str] | None = None) -> Boosted:
-    """Trees fitted on pages whose main text is marked by \\x02; by default made-up ones."""
-    rng = random.Random(5)
+    """Trees fitted on pages whose main text is marked by \\x02; by default made-up ones, once a process."""
+    if pages is None:
+        return _fit_seed()
     xs, ys = [], []
-    for page in pages or [seed_page(rng) for _ in range(SEED_PAGES)]:
-        nodes, x = features(parse(page))
-        xs.append(x)
+    for page in pages:
+        nodes = parse_nodes(page)
+        xs.append(features(nodes))
         ys.append(_holds_mark(nodes))
     return boost(np.concatenate(xs), np.concatenate(ys), trees=50, depth=5, bins=24, least=3)
 
 
+@functools.cache
+def _fit_seed() -> Boosted:
+    rng = random.Random(5)
+    return fit([seed_page(rng) for _ in range(SEED_PAGES)])
+
+
 def extract_texts(pages: list[str | None], trees: Boosted) -> list[str]:
     """Main text of each page: its blocks, in page order, joined by two newlines."""
-    parsed = [features(parse(p)) if p else ([], np.zeros((0, 0))) for p in pages]
-    some = [x for nodes, x in parsed if nodes]
+    parsed = [parse_nodes(p) if p else [] for p in pages]
+    some = [features(nodes) for nodes in parsed if nodes]
     logits = trees.logits(np.concatenate(some)) if some else np.zeros(0)
     out, lo = [], 0
-    for nodes, _ in parsed:
+    for nodes in parsed:
         keep = keep_nodes(nodes, logits[lo : lo + len(nodes)])
-        out.append("\n\n".join(n.text for n, k in zip(nodes, keep, strict=True) if k and n.text))
+        out.append("\n\n".join(n.text for n, k in zip(nodes, keep.tolist(), strict=True) if k and n.text))
         lo += len(nodes)
     return out
 
@@ -233,7 +224,8 @@ def extract_main_text(pages: DataFrame, trees: Boosted) -> DataFrame:
     The whole page is parsed into a tree of blocks and runs of text; trees judge the nodes, and
     a run stays if it and all nodes above it are judged to hold main text, as one labelling
     of the tree. White space within a block is one space. Null or empty html, and pages
-    without main text, give an empty text. Repeated rows are treated alike.
+    without main text, give an empty text. Repeated rows are treated alike; empty tables give
+    an empty result; other columns are not looked at, whatever their names.
     """
     ship(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
