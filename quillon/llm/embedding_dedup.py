@@ -1,4 +1,14 @@
-"""Near-duplicate embeddings by range search on robust-pruned graphs over overlapping shards."""
+"""Near-duplicate embeddings: a robust-pruned flat graph, united over overlapping shards, and range search on it.
+
+1. Vectors go to the shards of their nearest centers, in several sets of centers.
+2. In each shard the vectors get adjacency lists by robust pruning.
+3. The lists of a vector are united over its shards: together they are one flat graph, a table.
+4. Each shard's vectors search the graph, greedily from the medoid and from their own lists, then
+   expanding the range. A shard holds the vectors of other shards too that the lists of its
+   own name, as far as they are near enough to be on the way to a link (its *halo*).
+5. Cosines are verified in double precision; a sample of all vectors is held against all
+   others, and where recall falls short all is done again with more sets of centers.
+"""
 
 from __future__ import annotations
 
@@ -20,20 +30,32 @@ from quillon.llm.texts import NO_ID
 
 THRESHOLD = 0.93
 #: Vectors in a shard, shards a vector goes to in each set of centers, sets at least, and centers at most.
-SHARD, OVERLAP, SETS, MAX_CENTERS = 600, 2, 2, 512
+SHARD, OVERLAP, SETS, MAX_CENTERS = 600, 2, 2, 8192
 #: The share of pairs at the threshold that are to meet in a shard, the pairs it is measured on, and sets at most.
 RECALL, TRIALS, MAX_SETS = 0.9999, 4000, 24
 #: Vectors of a shard's block; a larger shard is searched block pair by block pair.
 BLOCK = 1024
 #: Neighbours kept by pruning, candidates for them, long-range neighbours, and the search's beam steps.
-DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 20, 40, 6, 24, 1.2
+DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 16, 40, 4, 12, 1.2
+#: The search goes on from vectors within this multiple of the threshold's angle.
+REACH = 1.25
+#: Vectors that are held against all others, and the recall that has to be seen there.
+AUDITED, AUDIT_RECALL, ATTEMPTS = 512, 0.999, 3
+
+PLACED = "label long, shard long, did long, copies long, raw binary"
+LISTS = "label long, did long, list binary, near binary"
+LOADED = "label long, shard long, i int, j int, own int, did long, copies long, raw binary, member boolean, inside binary, around binary, list binary"
+LINKS = "did long, links long, b long"
 
 
 def usable(vector: list | None, label: int | None) -> np.ndarray | None:
     """The vector with length 1 in double precision; None if it links with nothing."""
     if vector is None or label is None or any(x is None for x in vector):
         return None
-    x = np.array(vector, np.float64)
+    return _unit(np.array(vector, np.float64))
+
+
+def _unit(x: np.ndarray) -> np.ndarray | None:
     norm = math.sqrt(float(x @ x)) if len(x) and np.isfinite(x).all() else 0.0
     if not norm or not math.isfinite(norm):
         top = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
@@ -44,21 +66,42 @@ def usable(vector: list | None, label: int | None) -> np.ndarray | None:
     return x / norm
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The components, in four bytes each where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return b"f" + short.tobytes() if np.array_equal(short.astype(np.float64), x) else b"d" + x.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The unit vector of packed components."""
+    return _unit(np.frombuffer(raw, np.float32 if raw[:1] == b"f" else np.float64, offset=1).astype(np.float64))
+
+
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, labels, rows = batch.column("did").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding").to_pylist()
         unit = [usable(v, label) for v, label in zip(rows, labels, strict=True)]
-        packed = [None if u is None else u.tobytes() for u in unit]
-        keys = [xxhash.xxh3_128_digest(p if p is not None else b"%d" % i, seed=0 if p is not None else 1) for p, i in zip(packed, ids, strict=True)]
+        raw = [None if u is None else packed(np.array(v, np.float64)) for u, v in zip(unit, rows, strict=True)]
+        keys = [xxhash.xxh3_128_digest(b"%d" % i, seed=1) if u is None else xxhash.xxh3_128_digest(u.tobytes()) for u, i in zip(unit, ids, strict=True)]
         h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([NO_ID if x is None else x for x in labels], pa.int64()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(packed, pa.binary())], names=["did", "label", "v1", "v2", "unit"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([NO_ID if x is None else x for x in labels], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(raw, pa.binary())], names=["did", "label", "v1", "v2", "raw"])
 
 
-def _spread(rows: list[np.ndarray], k: int) -> np.ndarray:
+# centers
+
+
+def _spread(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Up to k of the rows, no two of which are close."""
     chosen: list[np.ndarray] = []
+    by_width: dict[int, np.ndarray] = {}
+    held: dict[int, int] = {}
     for x in rows:
-        if len(chosen) < k and all(len(x) != len(c) or float(x @ c) < 0.8 for c in chosen):
+        if len(chosen) >= k:
+            break
+        own, n = by_width.setdefault(len(x), np.zeros((k, len(x)))), held.get(len(x), 0)
+        if not n or float((own[:n] @ x).max()) < 0.8:
+            own[n], held[len(x)] = x, n + 1
             chosen.append(x)
     return chosen
 
@@ -69,10 +112,13 @@ def _nearest(units: np.ndarray, centers: list[np.ndarray], overlap: int) -> np.n
     same = [i for i, c in enumerate(centers) if len(c) == units.shape[1]]
     if same:
         near[:, same] = units @ np.stack([centers[i] for i in same]).T
+    if len(centers) > 8 * overlap:
+        some = np.argpartition(-near, overlap, axis=1)[:, :overlap]
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
     return np.argsort(-near, axis=1, kind="stable")[:, :overlap]
 
 
-def center_sets(rows: list[np.ndarray], k: int, threshold: float) -> list[list[np.ndarray]]:
+def center_sets(rows: list[np.ndarray], k: int, threshold: float, least: int = SETS) -> list[list[np.ndarray]]:
     """Sets of up to k centers, as many as pairs at the threshold need to meet with the probability ``RECALL``.
 
     That is measured on pairs of a row and a vector at the threshold from it, in any direction.
@@ -81,7 +127,7 @@ def center_sets(rows: list[np.ndarray], k: int, threshold: float) -> list[list[n
     if not sets:
         return sets
     rng = np.random.default_rng(k)
-    pairs, apart = [], []
+    pairs, lonely = [], []
     for width in sorted({len(x) for x in rows}):
         mine = [x for x in rows if len(x) == width]
         x = np.stack([mine[i] for i in rng.integers(0, len(mine), -(-TRIALS * len(mine) // len(rows)))])
@@ -90,27 +136,28 @@ def center_sets(rows: list[np.ndarray], k: int, threshold: float) -> list[list[n
         norm = np.linalg.norm(side, axis=1, keepdims=True)
         cosine = min(1.0, max(-1.0, threshold))
         pairs.append((x, cosine * x + math.sqrt(1 - cosine**2) * side / np.where(norm > 0, norm, 1)))
-        apart.append(np.ones(len(x), bool))
+        lonely.append(np.ones(len(x), bool))
     chance, done = 1.0, 0
     while True:
         for centers in sets[done:]:
             lone = []
-            for (x, y), both in zip(pairs, apart, strict=True):
+            for (x, y), both in zip(pairs, lonely, strict=True):
                 a, b = _nearest(x, centers, OVERLAP), _nearest(y, centers, OVERLAP)
                 lone.append(~(a[:, :, None] == b[:, None, :]).any((1, 2)))
                 both &= lone[-1]
             chance *= max(np.concatenate(lone).mean(), 1 / TRIALS)
         done = len(sets)
-        if (chance <= 1 - RECALL and not any(x.any() for x in apart)) or done >= MAX_SETS:
+        if (done >= least and chance <= 1 - RECALL and not any(x.any() for x in lonely)) or done >= MAX_SETS:
             return sets
         sets.append(_spread([rows[i] for i in rng.permutation(len(rows))], k))
 
 
 def _route(sets: list[list[np.ndarray]], overlap: int):
+    """A row for each shard that a vector goes to."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("label", "shard", "did", "copies", "shards", "unit")}
-            units = [np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()]
+            units = [unpacked(u) for u in batch.column("raw").to_pylist()]
             width, mine = np.array([len(x) for x in units]), [[] for _ in units]
             for w in np.unique(width):
                 at, base = np.flatnonzero(width == w), 0
@@ -119,21 +166,19 @@ def _route(sets: list[list[np.ndarray]], overlap: int):
                     for i, near in zip(at.tolist(), (base + _nearest(x, centers, overlap)).tolist(), strict=True):
                         mine[i] += near
                     base += len(centers)
-            for label, did, copies, unit, shards in zip(*(batch.column(n).to_pylist() for n in ("label", "did", "copies", "unit")), mine, strict=True):
-                known = np.array(sorted(shards), np.int64).tobytes()
-                for s in shards:
-                    for n, v in zip(out, (label, s, did, copies, known, unit), strict=True):
-                        out[n].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(out, kinds, strict=True)], names=list(out))
+            row = np.repeat(np.arange(len(units)), [len(x) for x in mine])
+            part = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([s for x in mine for s in x], pa.int64()), *(part.column(x) for x in ("did", "copies", "raw"))], names=["label", "shard", "did", "copies", "raw"])
 
     return route
 
 
 def _deal(block: int):
+    """A row for each pair of blocks of its shard that a vector is in; ``n`` is the shard's size."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, shard, n = ordering.numbers(batch, "did").tolist(), ordering.numbers(batch, "shard").tolist(), ordering.numbers(batch, "n2").tolist()
+            did, shard, n = (ordering.numbers(batch, x).tolist() for x in ("did", "shard", "n"))
             row, i, j, own = [], [], [], []
             for k in range(batch.num_rows):
                 blocks = -(-n[k] // block)
@@ -143,113 +188,222 @@ def _deal(block: int):
                     i.append(min(mine, other))
                     j.append(max(mine, other))
                     own.append(mine)
-            part = batch.take(pa.array(row, pa.int64()))
-            names = ["label", "shard", "did", "copies", "shards", "unit"]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(own, pa.int32())], names=[*names, "i", "j", "own"])
+            part = batch.take(pa.array(row, pa.int64())).drop_columns(["n"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int32()) for x in (i, j, own))], names=[*part.schema.names, "i", "j", "own"])
 
     return deal
 
 
-def robust_pruned_graph(cosine: np.ndarray, seed: int) -> np.ndarray:
-    """Which vectors are neighbours: pruned near ones, those they are near to, far ones."""
-    m = len(cosine)
-    rng = np.random.default_rng(seed)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """The rows of each (label, shard, i, j); they come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [ordering.numbers(batch, x) for x in ("label", "shard", "i", "j")]
+        first, size = ordering.group_bounds(keys)
+        for lo, n in zip(first.tolist(), size.tolist(), strict=True):
+            key = tuple(int(x[lo]) for x in keys)
+            if key != last:
+                if held:
+                    yield last, pa.Table.from_batches(held).combine_chunks()
+                held, last = [], key
+            held.append(batch.slice(lo, n))
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+def _by_width(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of vectors of one length, and the vectors."""
+    units = [unpacked(x) for x in table.column("raw").to_pylist()]
+    width = np.array([len(x) for x in units])
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        yield at, np.stack([units[k] for k in at])
+
+
+# the graph
+
+
+def robust_pruned_lists(unit: np.ndarray) -> np.ndarray:
+    """The neighbours of each vector, nearest first; the vector itself fills up short lists.
+
+    Of the nearest candidates one is kept if no neighbour kept before it is nearer to it, by
+    the factor ``ALPHA``, than the vector is.
+    """
+    m = len(unit)
     k = min(CANDIDATES, m - 1)
     own = np.arange(m)
-    away = np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
-    np.fill_diagonal(away, np.inf)
-    near = np.argpartition(away, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(away, axis=1)[:, :k]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
-    distance = np.take_along_axis(away, near, 1)
-    alive = np.ones(near.shape, bool)
     picked = np.repeat(own[:, None], DEGREE, axis=1)
+    if k < 1:
+        return picked
+    near, distance = np.zeros((m, k), np.int64), np.zeros((m, k))
+    for lo in range(0, m, 256):
+        away = np.sqrt(np.maximum(0.0, 2 - 2 * (unit[lo : lo + 256] @ unit.T)))
+        away[np.arange(len(away)), own[lo : lo + 256]] = np.inf
+        some = np.argpartition(away, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(away, axis=1)[:, :k]
+        some = np.take_along_axis(some, np.argsort(np.take_along_axis(away, some, 1), axis=1, kind="stable"), 1)
+        near[lo : lo + 256], distance[lo : lo + 256] = some, np.take_along_axis(away, some, 1)
+    alive = np.ones(near.shape, bool)
     for r in range(min(DEGREE, k)):
-        some = alive.any(1)
-        if not some.any():
+        some = np.flatnonzero(alive.any(1))
+        if not len(some):
             break
-        first = alive.argmax(1)
-        p = near[own, first]
-        picked[some, r] = p[some]
-        between = away[p[:, None], near]
-        between[near == p[:, None]] = 0
-        alive &= ALPHA * between > distance
-        alive[own, first] = False
-    # the union with the links back, so that what is near a vector can be reached from it
-    both = np.concatenate([picked, rng.integers(0, m, (m, FAR))], axis=1)
-    graph = np.zeros((m, m), bool)
-    graph[own[:, None], both] = True
-    graph |= graph.T
-    return graph
+        first = alive[some].argmax(1)
+        p = near[some, first]
+        picked[some, r] = p
+        between = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("id,ikd->ik", unit[p], unit[near[some]])))
+        between[near[some] == p[:, None]] = 0
+        alive[some] &= ALPHA * between > distance[some]
+        alive[some, first] = False
+    return picked
+
+
+def _short(did: np.ndarray) -> np.ndarray:
+    """What lists know a vector by; two that agree make a needless step of the search, no more."""
+    x = did.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) >> np.uint64(32)).astype(np.uint32)
+
+
+def _build(threshold: float):
+    """Adjacency lists of each shard: all neighbours, and the ids of those that may be on the way to a link."""
+    angle = math.acos(min(1.0, max(-1.0, threshold)))
+    bound = math.cos(min(math.pi, 2 * REACH * angle))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in _cells(batches):
+            did = ordering.numbers(table, "did")
+            for at, unit in _by_width(table):
+                if len(at) < 2:
+                    continue
+                lists, mine = robust_pruned_lists(unit), did[at]
+                known = _short(mine)[lists]
+                close = np.einsum("id,ikd->ik", unit, unit[lists]) >= bound
+                close &= lists != np.arange(len(at))[:, None]
+                near = [mine[x[c]].tobytes() for x, c in zip(lists, close, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key[0])), pa.array(mine), pa.array([x.tobytes() for x in known], pa.binary()), pa.array(near, pa.binary())], names=["label", "did", "list", "near"])
+
+    return build
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of each vector as one."""
+    for batch in batches:
+        out = {}
+        for name, kind in (("lists", np.uint32), ("nears", np.int64)):
+            out[name] = [np.unique(np.frombuffer(b"".join(x or ()), kind)).tobytes() for x in batch.column(name).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("did"), pa.array(out["lists"], pa.binary()), pa.array(out["nears"], pa.binary())], names=["label", "did", "list", "near"])
+
+
+def _explode_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = [np.frombuffer(x, np.int64) for x in batch.column("near").to_pylist()]
+        row = np.repeat(np.arange(len(near)), [len(x) for x in near])
+        if len(row):
+            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(row)), pa.array(np.concatenate(near))], names=["did", "x"])
+
+
+# the search
 
 
-def range_search(cosine: np.ndarray, graph: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-    """Which vectors each one finds within the threshold: greedy steps from the medoid and its own list, then expansion of the range."""
-    m = len(cosine)
-    medoid = int(cosine.sum(1).argmax())
-    seen, done = np.zeros((m, m), bool), np.zeros((m, m), bool)
-    seen[:, medoid] = True
+def range_search(unit: np.ndarray, links: list[np.ndarray], threshold: float, beam: int = BEAM, reach: float = REACH, seed: int = 0) -> np.ndarray:
+    """Which vectors each one finds within the threshold, in a graph of lists and their reverse.
+
+    Greedy steps from the medoid and the vector's own place, then the range expands from all that
+    lies within ``reach`` times the threshold's angle. Cosines are computed for what is met alone.
+    """
+    m = len(unit)
+    rng = np.random.default_rng(seed)
+    a = np.repeat(np.arange(m), [len(x) for x in links])
+    b = np.concatenate(links) if m else a
+    far = rng.integers(0, m, m * FAR)
+    a, b = np.concatenate([a, b, np.repeat(np.arange(m), FAR), far]), np.concatenate([b, a, far, np.repeat(np.arange(m), FAR)])
+    graph = np.zeros((m, m), bool)
+    graph[a, b] = True
+    np.fill_diagonal(graph, False)
+    edge_of, edge_to = np.nonzero(graph)
+    first = np.searchsorted(edge_of, np.arange(m + 1))
+    wide = math.cos(min(math.pi, reach * math.acos(min(1.0, max(-1.0, threshold)))))
     rows = np.arange(m)
-    waiting = np.full((m, m), -2.0)
-    waiting[:, medoid] = cosine[:, medoid]
-    seen[rows, rows] = True  # a vector's own list is known as well
+    cosine = np.full((m, m), -3.0)  # of what has been met
+
+    def meet(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Looks at the neighbours of x for the queries q; returns the new pairs as places in the matrix."""
+        size = first[x + 1] - first[x]
+        to = edge_to[np.repeat(first[x] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        flat = np.unique(np.repeat(q, size) * m + to)
+        flat = flat[cosine.ravel()[flat] == -3.0]
+        for lo in range(0, len(flat), 1 << 16):
+            part = flat[lo : lo + (1 << 16)]
+            cosine.ravel()[part] = np.einsum("id,id->i", unit[part // m], unit[part % m])
+        return flat
+
+    medoid = int((unit @ unit.sum(0)).argmax())
+    cosine[:, medoid] = unit @ unit[medoid]
+    cosine[rows, rows] = np.einsum("id,id->i", unit, unit)
+    waiting = np.full((m, m), -3.0)
     waiting[rows, rows] = cosine[rows, rows]
+    waiting[:, medoid] = cosine[:, medoid]
+    done = np.zeros((m, m), bool)
     for _ in range(beam):
         best = waiting.argmax(1)
-        go = rows[waiting[rows, best] > -2]
+        go = rows[waiting[rows, best] > -3.0]
         if not len(go):
             break
         done[go, best[go]] = True
-        near = graph[best[go]]
-        fresh = near & ~seen[go]
-        seen[go] |= near
-        waiting[go] = np.where(fresh, cosine[go], waiting[go])
-        waiting[go, best[go]] = -2.0
-    inside, links = cosine >= threshold, graph.astype(np.float32)
+        waiting[go, best[go]] = -3.0
+        new = meet(go, best[go])
+        waiting.ravel()[new] = cosine.ravel()[new]
     while True:
-        front = seen & inside & ~done
-        go = np.flatnonzero(front.any(1))
-        if not len(go):
+        q, x = np.nonzero((cosine >= wide) & ~done)
+        if not len(q):
             break
-        done[go] |= front[go]
-        seen[go] |= (front[go].astype(np.float32) @ links) > 0
-    found = seen & inside
-    return found | found.T
-
-
-def find_links(unit: np.ndarray, threshold: float) -> np.ndarray:
-    """A symmetric matrix of all links: a later shard that holds both ends leaves them to this one."""
-    cosine = unit @ unit.T
-    true = cosine >= threshold
-    if len(unit) <= 48:  # as many as a vector has neighbours
-        found = true
-    else:
-        found = range_search(cosine, robust_pruned_graph(cosine, len(unit)), threshold)
-        if (found != true).any():  # the audit, of every vector: widen the search
-            found = range_search(cosine, robust_pruned_graph(cosine, len(unit) + 1), threshold, 8 * BEAM)
-            if (found != true).any():
-                found = true
+        for lo in range(0, len(q), 1 << 16):
+            done[q[lo : lo + (1 << 16)], x[lo : lo + (1 << 16)]] = True
+            meet(q[lo : lo + (1 << 16)], x[lo : lo + (1 << 16)])
+    found = cosine >= threshold
+    found |= found.T
     np.fill_diagonal(found, False)
     return found
 
 
+def _counted_before(shard: int, inside: list[np.ndarray], around: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each earlier shard: the rows that are its own, and all that it holds; their pairs count there."""
+    own: dict[int, list[int]] = {}
+    held: dict[int, list[int]] = {}
+    for k, (x, y) in enumerate(zip(inside, around, strict=True)):
+        for s in x[x < shard].tolist():
+            own.setdefault(s, []).append(k)
+            held.setdefault(s, []).append(k)
+        for s in y[y < shard].tolist():
+            held.setdefault(s, []).append(k)
+    for s, rows in own.items():
+        yield np.array(rows), np.array(held[s])
+
+
 def _search(threshold: float):
     schema = pa.schema([("did", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
     def cell(shard: int, i: int, j: int, table: pa.Table) -> pa.RecordBatch | None:
-        did, copies, own = (ordering.numbers(table, x) for x in ("did", "copies", "own"))
-        packed = table.column("unit").to_pylist()
-        known = [np.frombuffer(x, np.int64) for x in table.column("shards").to_pylist()]
+        did, copies, own, member = (ordering.numbers(table, x) for x in ("did", "copies", "own", "member"))
+        lists = [np.frombuffer(x, np.uint32) for x in table.column("list").to_pylist()]
+        inside, around = ([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()] for c in ("inside", "around"))
         found = np.zeros((len(did), len(did)), bool)
-        width = np.array([len(p) for p in packed])
-        for w in np.unique(width):
-            at = np.flatnonzero(width == w)
-            found[np.ix_(at, at)] = find_links(np.stack([np.frombuffer(packed[k], np.float64) for k in at]), threshold)
-        before: dict[int, list[int]] = {}
-        for k, ids in enumerate(known):  # a pair counts in the first shard that holds both
-            for s in ids[ids < shard].tolist():
-                before.setdefault(s, []).append(k)
-        for rows in before.values():
-            found[np.ix_(rows, rows)] = False
+        for at, unit in _by_width(table):
+            short = _short(did[at])
+            order = np.argsort(short, kind="stable")
+            place, links = short[order], []
+            for k in at.tolist():
+                hit = np.searchsorted(place, lists[k])
+                ok = (hit < len(place)) & (place[np.minimum(hit, len(place) - 1)] == lists[k])
+                links.append(order[hit[ok]])
+            found[np.ix_(at, at)] = range_search(unit, links, threshold, seed=shard)
+        found &= member[:, None] | member[None, :]  # both of another shard: counted there
+        for mine, all_there in _counted_before(shard, inside, around):
+            found[np.ix_(mine, all_there)] = False
+            found[np.ix_(all_there, mine)] = False
         if i != j:
             found &= own[:, None] != own[None, :]
         links = found @ copies
@@ -272,32 +426,94 @@ def _search(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(np.append(did[some], did[a])), pa.array(np.append(links[some], np.zeros(len(a), np.int64))), pa.array([None] * len(some) + did[b].tolist(), pa.int64())], schema=schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            if table.num_rows > 1 and (got := cell(last[1], last[2], last[3], table)) is not None:
+        for key, table in _cells(batches):
+            if table.num_rows > 1 and (got := cell(key[1], key[2], key[3], table)) is not None:
                 yield got
 
-        for batch in batches:  # rows come sorted by cell
-            if not batch.num_rows:
-                continue
-            keys = [ordering.numbers(batch, x) for x in ("label", "shard", "i", "j")]
-            first, size = ordering.group_bounds(keys)
-            for lo, n in zip(first.tolist(), size.tolist(), strict=True):
-                key = tuple(int(x[lo]) for x in keys)
-                if key != last:
-                    if held:
-                        yield from flush()
-                    held, last = [], key
-                held.append(batch.slice(lo, n))
-        if held:
-            yield from flush()
-
     return search
 
 
+def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sent = {n: [np.array(sorted(x or ()), np.int64).tobytes() for x in batch.column(n).to_pylist()] for n in ("inside", "around")}
+        names = [n for n in batch.schema.names if n not in sent]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, pa.binary()) for x in sent.values())], names=[*names, *sent])
+
+
+def _in_cells(rows: DataFrame, sizes: DataFrame, schema: str) -> DataFrame:
+    """Rows dealt to the block pairs of their shards and sorted by them."""
+    key = F.struct("label", "shard").alias("k")
+    met = rows.withColumn("k", key).join(sizes.select(key, "n"), "k").drop("k")
+    return met.mapInArrow(_deal(BLOCK), schema).repartition("label", "shard", "i", "j").sortWithinPartitions("label", "shard", "i", "j", "did")
+
+
+def _links(standing: Table, sets: list[list[np.ndarray]], threshold: float) -> Table:
+    """did and its number of links (b null), or a link (did, b) of a spanning forest."""
+    nodes = ["label", "did", "copies", "raw"]
+    routed = standing.read().select(*nodes).mapInArrow(_route(sets, OVERLAP), PLACED)
+    sizes = Table(routed.groupBy("label", "shard").agg(F.count("*").alias("n")), "sizes")
+    cells = _in_cells(routed, sizes.read(), PLACED + ", i int, j int, own int")
+    lists = cells.mapInArrow(_build(threshold), LISTS)
+    united = lists.groupBy("label", "did").agg(F.collect_list("list").alias("lists"), F.collect_list("near").alias("nears")).mapInArrow(_unite, LISTS)
+    graph = Table(united, "graph")
+    # a vector that a list names is needed, if it is near, in all shards of the list's owner
+    inside = Table(routed.groupBy("did").agg(F.collect_set("shard").alias("inside")), "inside")
+    steps = graph.read().filter(F.length("near") > 0).select("did", "near").mapInArrow(_explode_near, "did long, x long")
+    both = steps.unionByName(steps.select(F.col("x").alias("did"), F.col("did").alias("x"))).distinct()
+    there = both.join(inside.read(), "did").select("x", F.explode("inside").alias("s")).distinct()
+    halo = there.join(inside.read().select(F.col("did").alias("x"), "inside"), "x").filter(~F.array_contains("inside", F.col("s"))).groupBy("x").agg(F.collect_set("s").alias("around"))
+    known = inside.read().join(halo.withColumnRenamed("x", "did"), "did", "left")
+    flat = standing.read().select(*nodes).join(known, "did").join(graph.read().select("did", "list"), "did", "left").withColumn("list", F.coalesce("list", F.lit(b"")))
+    places = F.concat(F.transform("inside", lambda s: F.struct(s.alias("shard"), F.lit(True).alias("member"))), F.transform(F.coalesce("around", F.array().cast("array<bigint>")), lambda s: F.struct(s.alias("shard"), F.lit(False).alias("member"))))
+    spread = flat.withColumn("at", places)
+    packed_rows = spread.select(*nodes, "list", "at", "inside", "around").mapInArrow(_pack_shards, "label long, did long, copies long, raw binary, list binary, at array<struct<shard: long, member: boolean>>, inside binary, around binary")
+    loaded = packed_rows.withColumn("at", F.explode("at")).select("label", "at.shard", "did", "copies", "raw", "at.member", "inside", "around", "list")
+    dealt = _in_cells(loaded, sizes.read(), "label long, shard long, did long, copies long, raw binary, member boolean, inside binary, around binary, list binary, i int, j int, own int")
+    found = Table(dealt.mapInArrow(_search(threshold), LINKS), "links")
+    ordering.drop([sizes, graph, inside])
+    return found
+
+
+# the audit
+
+
+def _count_true(sample: list[tuple[int, int, bytes]], threshold: float):
+    """Links of the sampled vectors among the rows of a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sample), np.int64)
+        held: dict[tuple[int, int], list[int]] = {}
+        units = [unpacked(raw) for _, _, raw in sample]
+        for k, (label, _, _) in enumerate(sample):
+            held.setdefault((label, len(units[k])), []).append(k)
+        dids = np.array([d for _, d, _ in sample])
+        for batch in batches:
+            label, did, copies = (ordering.numbers(batch, x) for x in ("label", "did", "copies"))
+            for at, x in _by_width(pa.Table.from_batches([batch])) if batch.num_rows else ():
+                for value in np.unique(label[at]).tolist():
+                    asked = held.get((value, x.shape[1]))
+                    if asked:
+                        rows = np.flatnonzero(label[at] == value)
+                        hit = np.stack([units[k] for k in asked]) @ x[rows].T >= threshold
+                        hit &= dids[asked][:, None] != did[at][rows][None, :]
+                        n[asked] += hit @ copies[at][rows]
+        yield pa.RecordBatch.from_arrays([pa.array(dids), pa.array(n)], names=["did", "n"])
+
+    return count
+
+
+def audited_recall(standing: Table, found: Table, threshold: float, rows: int = AUDITED) -> float:
+    """The share of links of ``rows`` vectors, held against all others, that the search has found."""
+    picked = standing.read().orderBy(F.xxhash64("v1", F.lit(9)), "did").limit(rows).select("label", "did", "raw").collect()
+    sample = [(r["label"], r["did"], bytes(r["raw"])) for r in picked]
+    if not sample:
+        return 1.0
+    true = standing.read().select("label", "did", "copies", "raw").mapInArrow(_count_true(sample, threshold), "did long, n long").groupBy("did").agg(F.sum("n").alias("n"))
+    links = found.read().filter("b IS NULL").groupBy("did").agg(F.sum("links").alias("links"))
+    all_links, seen = true.join(links, "did", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
+    return seen / all_links if all_links else 1.0
+
+
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row.
 
@@ -305,46 +521,44 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     that are null, zero, or hold null or non-finite components, and rows without a label, link
     with nothing; vectors of different lengths do not link. Equal vectors are one in the
     search and count as often as they are there. Rows that share a vec_id are one node of a
-    component; a null vec_id is a node of its own value. Empty tables give an empty result.
-
-    Vectors go to the shards of their nearest centers, in several sets of centers; in each
-    shard (or pair of blocks of a large one) a flat graph is built with robust pruning, with its
-    lists' union with their reverse, and searched from the medoid, going on from all that is
-    in range; cosines are verified and the recall of every vector audited: a shard that misses a
-    link is searched again, wider, and then in full. A link counts in the first shard that
-    holds both sides, which has reported it; shards send numbers of links and spanning trees.
-    The shards' graphs are not united: a link between vectors that share no shard is lost, and
-    there are as many sets of centers as keep that rare at the threshold (``center_sets``).
+    component; a null vec_id is a node of its own value. Empty tables give an empty result;
+    other columns are not looked at, whatever their names.
+
+    The method is that of this module's head. A link counts in the first shard that holds both
+    sides, one of them as its own; shards send numbers of links and spanning trees. Shards
+    grow in number with the data, up to ``MAX_CENTERS`` a set and label; what is larger than
+    ``BLOCK`` is searched by pairs of blocks, all of which meet.
     """
     spark = embeddings.sparkSession
     ship(spark)
     own = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    ready = Table(own.mapInArrow(_prepare, "did long, label long, v1 long, v2 long, unit binary"), "vectors")
-    grouped, below = ordering.equal_groups(ordering.ranged(ready.read(), ["label", "v1", "v2"], ["did"]), ["label", "v1", "v2"], ["did"], [3], "copies", keep_single=True)
-    members = Table(grouped.select("did", "label", "v1", "v2", F.col("n3").alias("copies"), F.col("h3_did").alias("head"), "unit"), "members")
-    ordering.drop(below)
-    ready.drop()
-    standing = Table(members.read().filter("unit IS NOT NULL AND did = head").groupBy("label", "v1", "v2").agg(F.min("did").alias("did"), F.first("copies").alias("copies"), F.first("unit").alias("unit")).select("label", "did", "copies", "unit", "v1"), "standing")
+    ready = Table(own.mapInArrow(_prepare, "did long, label long, v1 long, v2 long, raw binary"), "vectors")
+    keys = ["label", "v1", "v2"]
+    grouped, below = ordering.equal_groups(ordering.ranged(ready.read(), keys, ["did"]), keys, ["did"], [3], "copies", keep_single=True)
+    named = grouped.select(*keys, "did", F.col("n3").alias("copies"), F.col("h3_did").alias("head"), "raw")
+    members = Table(named.select("did", "copies", "head", F.col("raw").isNotNull().alias("some")), "members")
+    standing = Table(named.filter("raw IS NOT NULL AND did = head").dropDuplicates(keys).select("label", "did", "copies", "raw", "v1"), "standing")
+    ordering.drop([*below, ready])
     n, labels = standing.read().agg(F.count("*"), F.approx_count_distinct("label")).first()
     k = max(1, min(MAX_CENTERS, math.ceil(n * OVERLAP / (shard * max(1, labels)))))
-    picked = standing.read().orderBy(F.xxhash64("v1"), "did").limit(8 * SETS * k).select("unit").collect()  # MAX_CENTERS bounds them
-    rows = [np.frombuffer(r["unit"], np.float64) for r in picked]
-    sets = center_sets(rows, k, threshold)
-    routed = standing.read().select("label", "did", "copies", "unit").mapInArrow(_route(sets, OVERLAP), "label long, shard long, did long, copies long, shards binary, unit binary")
-    placed, below = ordering.equal_groups(ordering.ranged(routed, ["label", "shard"], ["did"]), ["label", "shard"], ["did"], [2], "shards")
-    dealt = placed.mapInArrow(_deal(BLOCK), "label long, shard long, did long, copies long, shards binary, unit binary, i int, j int, own int")
-    cells = dealt.repartitionByRange("label", "shard", "i", "j").sortWithinPartitions("label", "shard", "i", "j", "did")
-    found = Table(cells.mapInArrow(_search(threshold), "did long, links long, b long"), "links")
-    ordering.drop(below)
+    picked = standing.read().orderBy(F.xxhash64("v1"), "did").limit(min(8 * k, 4 * k + 4096) * SETS).select("raw").collect()  # MAX_CENTERS bounds them
+    rows = [unpacked(bytes(r["raw"])) for r in picked]
+    least = SETS
+    for attempt in range(ATTEMPTS):
+        found = _links(standing, center_sets(rows, k, threshold, least), threshold)
+        if attempt == ATTEMPTS - 1 or audited_recall(standing, found, threshold) >= AUDIT_RECALL:
+            break
+        found.drop()
+        least = min(MAX_SETS, 3 * max(least, SETS))
     standing.drop()
     edges = found.read().filter("b IS NOT NULL").select(F.col("did").alias("a"), "b")
     # equal vectors link too: their ids meet at the smallest
-    edges = edges.unionByName(members.read().filter("unit IS NOT NULL AND did <> head").select(F.col("did").alias("a"), F.col("head").alias("b")))
+    edges = edges.unionByName(members.read().filter("some AND did <> head").select(F.col("did").alias("a"), F.col("head").alias("b")))
     label = components(edges, "vectors")
     links = found.read().filter("b IS NULL").groupBy("did").agg(F.sum("links").alias("links"))
     known = Table(label.withColumnRenamed("node", "did").join(links, "did", "full").select(apart("did").alias("k"), "links", "component"), "labels")
     by_head = members.read().withColumn("k", apart("head")).join(known.read(), "k", "left")
-    n_links = F.when(F.col("unit").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
-    component = F.when(F.col("unit").isNotNull(), F.coalesce("component", "head")).otherwise(F.col("did"))
+    n_links = F.when(F.col("some"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    component = F.when(F.col("some"), F.coalesce("component", "head")).otherwise(F.col("did"))
     clean = lambda c: F.when(c != NO_ID, c)
     return by_head.select(clean(F.col("did")).alias("vec_id"), n_links.cast("long").alias("n_links"), clean(component).alias("component_id"), (F.col("did") == component).alias("kept"))
