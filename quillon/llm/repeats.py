@@ -45,7 +45,7 @@ SPAN = 1 << 12
 #: Rows of an anchor's group that one task compares; larger groups are cut, with the same result.
 WHOLE = 384
 #: Bytes of units that are compared at once.
-HELD = 1 << 25
+HELD = 1 << 21
 #: Rows that splitters are sampled from.
 SAMPLE_ROWS = 3000
 
