@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import shlex
 from dataclasses import dataclass
+from functools import reduce
 
 # Words that mean yes.
 YES = ("1", "true", "yes", "y", "t")
@@ -27,33 +27,50 @@ class Option:
     translations: tuple[tuple[str, str], ...] = ()
 
 
+#: A phrase in quotes, a bare stretch, or a quote that is never closed.
+_PIECE = re.compile(r"""(?P<phrase>"[^"]*"|'[^']*')|(?P<bare>[^\s|,+"']+)|(?P<open>["'])""")
+
+
 def split_list(text: str) -> list[str]:
-    """Words set apart by white space, ``|``, ``,`` or ``+``; quotes hold phrases together."""
-    lexer = shlex.shlex(text, posix=True)
-    lexer.whitespace, lexer.whitespace_split, lexer.commenters = " \t\n\x0b\x0c\r|,+", True, ""
-    try:
-        return [w.strip() for w in lexer if w.strip()]
-    except ValueError as e:
-        raise OptionError(str(e)) from None
+    """The rule of ``scalars.split_ids`` on the driver: pieces between white space, ``|``, ``,`` and ``+``, phrases whole."""
+    pieces = []
+    for m in _PIECE.finditer(text):
+        if m["open"]:
+            raise OptionError(f"a quote is not closed in {text!r}")
+        piece = (m["phrase"][1:-1] if m["phrase"] else m["bare"]).strip()
+        pieces += [piece] if piece else []
+    return pieces
+
+
+_NUMBER = re.compile(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*")
+
+
+def _switch(text: str) -> bool:
+    """A number switches on above zero, a word if it is one for yes."""
+    return float(text) > 0 if _NUMBER.fullmatch(text) else text.lower() in YES
+
+
+def _whole(text: str) -> int:
+    return int(float(text))
+
+
+#: How a text becomes a value of each kind; the second reader is for options that are not strict.
+READERS = {"str": (str, str), "int": (int, _whole), "float": (float, float), "bool": (_switch, _switch), "list": (split_list, split_list)}
+#: What values that are no texts have to become.
+CASTS = {"str": str, "int": int, "float": float, "list": list}
 
 
 def converted(option: Option, value):
+    """The value as the option's kind, after its translations; OptionError if it is none."""
     if isinstance(value, str):
-        for pattern, by in option.translations:
-            value = re.sub(pattern, by, value)
+        value = reduce(lambda text, rule: re.sub(rule[0], rule[1], text), option.translations, value)
+        read = READERS.get(option.kind, (str, str))[not option.strict]
+    else:
+        read = CASTS.get(option.kind, lambda x: x)
     try:
-        if option.kind == "bool" and isinstance(value, str):
-            try:
-                return float(value) > 0
-            except ValueError:
-                return value.lower() in YES
-        if option.kind == "int":
-            return int(value) if option.strict or not isinstance(value, str) else int(float(value))
-        if option.kind == "float":
-            return float(value)
-        if option.kind == "list":
-            return split_list(value) if isinstance(value, str) else list(value)
-        return str(value) if option.kind == "str" else value
+        return read(value)
+    except OptionError:
+        raise
     except (TypeError, ValueError):
         raise OptionError(f"{value!r} is not of the type {option.kind}") from None
 
