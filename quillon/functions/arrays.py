@@ -160,3 +160,57 @@ def nested(pairs: dict[str, Column]) -> list[Column]:
         return F.struct(*[build(v).alias(k) for k, v in x.items()]) if isinstance(x, dict) else x
 
     return [build(v).alias(k) for k, v in tree.items()]
+
+
+def renamed(kind: T.DataType, value: Column, f: Callable[[str], str]) -> Column:
+    """The value with a function of the names of every level."""
+    if _is_array(kind):
+        return F.transform(value, lambda x: renamed(kind.elementType, x, f))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[renamed(x.dataType, value.getField(x.name), f).alias(f(x.name)) for x in kind.fields]))
+    return value
+
+
+def renamed_document(schema: T.StructType, f: Callable[[str], str]) -> list[Column]:
+    return [renamed(x.dataType, F.col(x.name), f).alias(f(x.name)) for x in schema.fields]
+
+
+def key_values(schema: T.StructType, include: list[str] | None = None, exclude: tuple[str, ...] = ()) -> Column:
+    """All (path, value as text) of a document, through lists; some paths, or all but some."""
+    pair = lambda p: lambda v: F.struct(F.lit(p).alias("path"), v.cast("string").alias("value"))
+    paths = [p for p, _, _ in leaves(schema) if (include is None or p in include) and p not in exclude]
+    return F.concat(*[F.transform(values_at(schema, p), pair(p)) for p in paths])
+
+
+def last_element(schema: T.StructType, path: str) -> Column:
+    """The objects that hold the last name of a path, through lists, as one list."""
+    return values_at(schema, path.rpartition(".")[0])
+
+
+def get(schema: T.StructType, path: str) -> Column:
+    """The value at a dotted path without lists; an unknown name is an error at once."""
+    kind: T.DataType = schema
+    for name in path.split("."):
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            raise KeyError(path)
+        kind = kind[name].dataType
+    return F.col(path)
+
+
+def _member(name: str) -> Callable[[Column], Column]:
+    return lambda x: x.getField(name)
+
+
+def lookup(schema: T.StructType, path: str) -> Column:
+    """The value at a dotted path; null for unknown names, a list of the next name's values at a list, where it stops."""
+    kind, column = schema, None
+    for name in path.split("."):
+        if _is_array(kind):
+            inner = kind.elementType
+            found = isinstance(inner, T.StructType) and name in inner.names
+            return F.transform(column, _member(name)) if found else F.lit(None)
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return F.lit(None)
+        column = F.col(name) if column is None else column.getField(name)
+        kind = kind[name].dataType
+    return column

@@ -138,3 +138,8 @@ def number_text(n: Column, sign: bool = False) -> Column:
     text = F.format_number(F.abs(n) if sign else n, 0)
     signed = F.concat(F.when(n < 0, "-").otherwise("+"), text) if sign else text
     return F.coalesce(signed, F.lit("N.A"))
+
+
+def digest(content: Column) -> Column:
+    """The MD5 of a text or of bytes, as hexadecimal digits."""
+    return F.md5(content)

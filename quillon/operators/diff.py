@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.cluster import ship
@@ -46,22 +46,39 @@ def unwrapped(hits: DataFrame) -> DataFrame:
 
 def report(changes: DataFrame, key: str = "_id", examples: int = 10) -> DataFrame:
     """Number and first ids of the changes, by operation and path."""
-    w = F.array_sort(F.collect_list(key))
-    return changes.groupBy("op", "path").agg(F.count("*").alias("n"), F.slice(w, 1, examples).alias("ids"))
+    counts = changes.groupBy("op", "path").agg(F.count("*").alias("n"))
+    # Spark keeps ``examples`` rows of each group and partition before anything is shuffled
+    first = F.row_number().over(Window.partitionBy("op", "path").orderBy(key))
+    few = changes.select("op", "path", key).withColumn("_at", first).filter(F.col("_at") <= examples)
+    shown = few.groupBy("op", "path").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return counts.join(shown, ["op", "path"])
 
 
 def _pairwise(f):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(f(json.loads(x), json.loads(y)), ensure_ascii=False) for x, y in zip(a, b, strict=True)])
+        return pd.Series([json.dumps(f(json.loads(x), json.loads(y)), ensure_ascii=False, separators=(",", ":")) for x, y in zip(a, b, strict=True)])
 
     return run
 
 
-def json_patches(old: DataFrame, new: DataFrame, key: str = "_id", document: str = "doc") -> DataFrame:
-    """(key, patch) of the documents that differ; the plain comparison stays in the JVM."""
+def json_patches(old: DataFrame, new: DataFrame, key: str = "_id", document: str = "doc", whole_lists: bool = True) -> DataFrame:
+    """(key, patch) of the documents that differ; the plain comparison stays in the JVM.
+
+    Lists that differ are replaced whole, or else patched item by item.
+    """
     ship(old.sparkSession)
     both = old.select(key, F.col(document).alias("a")).join(new.select(key, F.col(document).alias("b")), key).filter("a <> b")
-    return both.select(key, F.pandas_udf(_pairwise(jsonpatch.make), "string")("a", "b").alias("patch"))
+    make = jsonpatch.make if whole_lists else jsonpatch.make_with_lists
+    return both.select(key, F.pandas_udf(_pairwise(make), "string")("a", "b").alias("patch"))
+
+
+def root_patches(old: DataFrame, new: DataFrame, key: str = "_id") -> DataFrame:
+    """(key, patch) for documents of scalar root columns, with built-in functions alone: null is a value."""
+    columns = [c for c in old.columns if c in new.columns and c != key]
+    both = old.alias("o").join(new.alias("n"), key)
+    op = lambda c: F.to_json(F.struct(F.lit("replace").alias("op"), F.lit(f"/{c}").alias("path"), F.col(f"n.{c}").alias("value")), {"ignoreNullFields": "false"})
+    ops = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), op(c)) for c in columns]))
+    return both.select(key, ops.alias("_ops")).filter(F.size("_ops") > 0).select(key, F.concat(F.lit("["), F.array_join("_ops", ","), F.lit("]")).alias("patch"))
 
 
 def _apply_one(document, patch):

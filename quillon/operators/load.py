@@ -114,3 +114,22 @@ def apply_diff(old: DataFrame, add: DataFrame, update: DataFrame, delete: DataFr
 def hot_over_cold(cold: DataFrame, hot: DataFrame, key: str = "_id") -> DataFrame:
     """Two collections layered: root columns of the hot one come first."""
     return update_roots(cold, hot, key, insert=True)
+
+
+def store_none(docs: DataFrame) -> int:
+    """Reads everything and keeps nothing; 0 is stored."""
+    docs.write.format("noop").mode("overwrite").save()
+    return 0
+
+
+def store(docs: DataFrame, on_duplicates: str | None, key: str = "_id", position: str | None = None) -> DataFrame:
+    """The documents by the strategy for ids that come again: an error (also None), ``ignore`` or ``merge``."""
+    if on_duplicates in (None, "error"):
+        return store_basic(docs, key)
+    if position is None:
+        raise ValueError(f"{on_duplicates} needs the documents' order")
+    if on_duplicates == "ignore":
+        return keep_first(docs, key, position)
+    if on_duplicates == "merge":
+        return merge_root_lists(docs, key, position, [c for c in docs.columns if c not in (key, position)])
+    raise ValueError(f"no strategy {on_duplicates}")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.cluster import ship
 from quillon.operators.load import update_roots
@@ -162,3 +163,32 @@ def combine_metadata(rows: DataFrame, group: list[str]) -> DataFrame:
     """Type and version if all agree, else ``__multiple__``; newest date, united sources, summed totals."""
     agree = lambda c: F.when(F.count_distinct(c) == 1, F.min(c)).otherwise(F.lit("__multiple__")).alias(c)
     return rows.groupBy(*group).agg(agree("type"), agree("version"), F.max("build_date").alias("build_date"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))), ",").alias("sources"), F.sum("total").alias("total"))
+
+
+def update_nested(old: DataFrame, new: DataFrame, key: str = "_id") -> DataFrame:
+    """Documents that both have, updated level by level: a value of the new one wins, at any depth."""
+    both = old.alias("o").join(new.alias("n"), key)
+    return both.select(key, *[_updated(old.schema[c].dataType, F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in old.columns if c != key])
+
+
+def _updated(kind: T.DataType, old: Column, new: Column) -> Column:
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_updated(f.dataType, old.getField(f.name), new.getField(f.name)).alias(f.name) for f in kind.fields])
+        return F.when(new.isNull(), old).otherwise(inner)
+    return F.coalesce(new, old)
+
+
+def documents_of(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Documents of maps id -> value, by id in the ids' own order; the id is text."""
+    pairs = rows.select(F.explode(column).alias("_k", name)).sort("_k")
+    return pairs.select(F.col("_k").cast("string").alias("_id"), name)
+
+
+def merged_schema(sources: list[DataFrame]) -> T.StructType:
+    """The root fields of all sources, each once."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.limit(0) for s in sources]).schema
+
+
+def united_values(rows: DataFrame, group: str, column: str) -> DataFrame:
+    """The different values of a column by group, sorted."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_set(column)).alias(column))

@@ -37,12 +37,15 @@ def _leaf(path: str, name: str, many: bool, is_text: bool):
     return leaf
 
 
-def statistics(leaves: DataFrame, deep: bool = False) -> DataFrame:
-    """By path and type: count, none, min and max; deep: also mean, median and sample deviation."""
+def statistics(leaves: DataFrame, deep: bool = False, exact_median: bool = False) -> DataFrame:
+    """By path and type: count, none, min and max; deep: also mean, median and sample deviation.
+
+    The median is approximate, in a buffer of bounded size; the exact one holds all values of a path in one task.
+    """
     aggs = [F.count("text").alias("count"), F.count_if(F.col("text").isNull()).alias("none"), F.min("number").alias("min"), F.max("number").alias("max")]
     if deep:
         many = F.count("number") > 1
-        aggs += [F.avg("number").alias("mean"), F.median("number").alias("median"), F.when(many, F.stddev_samp("number")).alias("stdev")]
+        aggs += [F.avg("number").alias("mean"), (F.median("number") if exact_median else F.percentile_approx("number", 0.5, 10_000)).alias("median"), F.when(many, F.stddev_samp("number")).alias("stdev")]
     return leaves.groupBy("path", "type", "in_list").agg(*aggs)
 
 
@@ -140,3 +143,61 @@ def traversal(docs: DataFrame, depth_first: bool, key: str = "_id") -> DataFrame
     visit([(f.name, f.dataType, F.col(f.name)) for f in docs.schema.fields if f.name != key])
     steps = [F.struct(F.lit(p).alias("path"), v.alias("value"), F.lit(i).cast("bigint").alias("step")) for i, (p, v) in enumerate(rows)]
     return docs.select(key, F.explode(F.array(*steps)).alias("x")).select(key, "x.*")
+
+
+def merged_observations(a: DataFrame, b: DataFrame) -> DataFrame:
+    """By path: the type of two observations of leaves as one; what is a list in either is a list."""
+    rows = a.unionByName(b).filter("text IS NOT NULL")
+    seen = rows.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.max("in_list").alias("many"))
+    types = F.when(F.array_contains("types", "float"), F.array_remove("types", "int")).otherwise(F.col("types"))
+    return seen.select("path", F.concat(F.when(F.col("many"), F.lit("list of ")).otherwise(F.lit("")), F.array_join(types, ",")).alias("type"))
+
+
+def observed_fields(leaves: DataFrame) -> DataFrame:
+    """(path, type) as seen, a row for each type: what naming rules look at."""
+    kind = F.concat(F.when(F.col("in_list"), F.lit("list of ")).otherwise(F.lit("")), F.col("type"))
+    return leaves.filter("text IS NOT NULL").select("path", kind.alias("type")).distinct()
+
+
+def flat_validated(leaves: DataFrame) -> DataFrame:
+    """(path, types, codes): the flat profile of documents and the warnings about each field."""
+    seen = observed_fields(leaves)
+    flat = seen.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+    warned = name_warnings(seen).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    return flat.join(warned, "path", "left")
+
+
+def schema_rows(schema: dict, path: str = "") -> list[tuple[str, str]]:
+    """(path, type) of the leaves of a JSON Schema or a mapping."""
+    below = schema.get("properties")
+    if below is not None:
+        return [row for name, inner in below.items() for row in schema_rows(inner, f"{path}.{name}" if path else name)]
+    return schema_rows(schema["items"], path) if "items" in schema else [(path, schema["type"])]
+
+
+def model(schema: T.StructType) -> list[tuple[str, str]]:
+    """(field, annotation) of a model of documents: every field may be absent, and one value or a list."""
+    names = {"str": "str", "int": "int", "float": "float", "bool": "bool", "datetime": "datetime", "bytes": "bytes"}
+    return [(path, f"Optional[Union[{(n := names.get(TYPE_NAMES.get(kind.simpleString(), ''), 'Any'))}, list[{n}]]]") for path, kind, _ in A.leaves(schema)]
+
+
+def merged_values(parts: DataFrame) -> DataFrame:
+    """Deep statistics of batches as one: counts and sums add up, so mean and deviation need no values.
+
+    ``parts`` has path, count, total and squares (sums of the values and of their squares).
+    """
+    out = parts.groupBy("path").agg(F.sum("count").alias("count"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    mean = F.col("total") / F.col("count")
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("count") * mean * mean) / (F.col("count") - 1)))
+    return out.select("path", "count", mean.alias("mean"), F.when(F.col("count") > 1, spread).alias("stdev"))
+
+
+def value_sums(leaves: DataFrame) -> DataFrame:
+    """path, count, total and squares of the numbers of a batch."""
+    x = F.col("number")
+    return leaves.filter(x.isNotNull()).groupBy("path").agg(F.count("*").alias("count"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"))
+
+
+def examples(leaves: DataFrame) -> DataFrame:
+    """(path, example): the smallest value of each field, as text."""
+    return leaves.groupBy("path").agg(F.min("text").alias("example"))

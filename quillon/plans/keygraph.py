@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,27 @@ class Edge:
         return pairs.join(targets, fold(F.col("cur")) == F.col("_from")).select("orig", F.col("_to").alias("cur")).distinct()
 
 
+class IdPairs:
+    """Which ids stand for which: pairs (orig, cur), each once; a null or empty side is left out."""
+
+    def __init__(self, pairs: DataFrame, ignore_case: bool = False):
+        orig = F.lower("orig") if ignore_case else F.col("orig")
+        some = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        self.pairs, self.ignore_case = pairs.filter(some("orig") & some("cur")).select(orig.alias("orig"), "cur").distinct(), ignore_case
+
+    def add(self, more: DataFrame) -> IdPairs:
+        return IdPairs(self.pairs.unionByName(more.select("orig", "cur")), self.ignore_case)
+
+    def left(self, wanted: DataFrame) -> DataFrame:
+        """What the original ids in ``wanted`` (column ``orig``) stand for."""
+        asked = wanted.select(F.lower("orig").alias("orig") if self.ignore_case else F.col("orig"))
+        return self.pairs.join(asked, "orig", "left_semi").select("cur").distinct()
+
+    def right(self, wanted: DataFrame) -> DataFrame:
+        """The original ids of those in ``wanted`` (column ``cur``)."""
+        return self.pairs.join(wanted.select("cur"), "cur", "left_semi").select("orig").distinct()
+
+
 def simple_paths(edges: list[Edge], source: str, target: str) -> list[list[Edge]]:
     """All paths without a repeated kind, by weight; a kind to itself is an edge to itself."""
     if source == target:
@@ -55,18 +77,26 @@ def simple_paths(edges: list[Edge], source: str, target: str) -> list[list[Edge]
 def travel(ids: DataFrame, edges: list[Edge], source: str, target: str) -> DataFrame:
     """(orig, cur) for the ids (column ``orig``) that some path converts.
 
-    Paths are tried by weight; an id goes on to the next only if the ones before found nothing.
+    Of the paths, by weight, that convert an id the first one counts. All paths are followed in one
+    plan, of which Spark shares the hops that paths begin with; an id's results meet by id.
     """
-    found, left = None, ids.select(F.col("orig").cast("string").alias("orig")).distinct()
-    for path in simple_paths(edges, source, target):
-        pairs = left.withColumn("cur", F.col("orig"))
-        for edge in path:
-            pairs = edge.follow(pairs)
-        found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select("orig"), "orig", "left_anti")
-    if found is None:
-        return ids.select(F.col("orig").cast("string").alias("orig"), F.col("orig").cast("string").alias("cur")).limit(0)
-    return found
+    asked = ids.select(F.col("orig").cast("string").alias("orig")).distinct()
+    paths = simple_paths(edges, source, target)
+    if not paths:
+        return asked.select("orig", F.col("orig").alias("cur")).limit(0)
+    reached = [_along(asked, path) for path in paths]
+    if len(reached) == 1:
+        return reached[0]
+    ranked = reduce(lambda a, b: a.unionByName(b), [pairs.withColumn("_path", F.lit(i)) for i, pairs in enumerate(reached)])
+    first = F.min("_path").over(Window.partitionBy("orig"))
+    return ranked.withColumn("_first", first).filter("_path = _first").select("orig", "cur")
+
+
+def _along(asked: DataFrame, path: list[Edge]) -> DataFrame:
+    pairs = asked.withColumn("cur", F.col("orig"))
+    for edge in path:
+        pairs = edge.follow(pairs)
+    return pairs
 
 
 def convert(docs: DataFrame, edges: list[Edge], inputs: list[tuple[str, str]], outputs: list[str], key: str = "_id", skip_failures: bool = False, skip_regex: str | None = None) -> DataFrame:
@@ -77,7 +107,7 @@ def convert(docs: DataFrame, edges: list[Edge], inputs: list[tuple[str, str]], o
     kept with ``skip_failures``. Ids that match ``skip_regex`` pass as they are.
     """
     columns = docs.columns
-    done, left = None, docs.withColumn("_row", F.xxhash64(F.to_json(F.struct(*columns))))
+    done, left = None, docs
     if skip_regex:
         done = left.filter(F.col(key).rlike(skip_regex)).select(*columns)
         left = left.filter(~F.coalesce(F.col(key).rlike(skip_regex), F.lit(False)))

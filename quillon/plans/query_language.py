@@ -13,6 +13,7 @@ after a lenient cast (what cannot be cast matches nothing), lists by any element
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.arrays import values_at
+from quillon.functions.arrays import leaves, values_at
 from quillon.functions.scalars import glob_to_regex
 
 #: Limits of a request.
 MAX_SIZE, MAX_FROM, MAX_SORT, MAX_FACETS, DEFAULT_SIZE, DEFAULT_FACET_SIZE = 1000, 10_000, 10, 1000, 10, 10
+#: Terms of one multi-search.
+MAX_TERMS = 1000
 _TOKEN = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)(?=[\s()]|\Z)|(&&|\|\|)|([+\-!])(?=\S)|((?:[^\s():"\[{\\]|\\.)+:)?(?:"((?:[^"\\]|\\.)*)"|([\[{])\s*(\S+)\s+TO\s+([^\s\]}]+)\s*([\]}])|((?:[^\s()"\\]|\\.)+))|(\S))', re.S)
 
 
@@ -287,6 +290,55 @@ def autoscope(q: str, patterns: list[Pattern], known: set[str], default: tuple[s
     return q, default
 
 
+def patterns_of(given, default: Pattern = DEFAULT_PATTERN) -> list[Pattern]:
+    """(regex, field or fields) in their order; the default pattern comes last, wherever it was given."""
+    out = []
+    for regex, scopes in given or ():
+        re.compile(regex)
+        pattern = Pattern(regex, (scopes,) if isinstance(scopes, str) else tuple(scopes))
+        if pattern != default:
+            out.append(pattern)
+    return [*out, default]
+
+
+def named_query(templates: dict[str, str], name: str, values: dict[str, str], fields: Fields) -> Column:
+    """A stored query with ``{{name}}`` places filled in; a value cannot add syntax of its own."""
+    if name not in templates:
+        raise QueryError(f"no query is named {name}")
+    filled = re.sub(r"\{\{(\w+)\}\}", lambda m: re.sub(r"([^\w])", r"\\\1", values[m[1]]), templates[name])
+    return parse(filled, fields)
+
+
+@dataclass
+class Planner:
+    """How a single query becomes a predicate; both strategies and the choice of table can be replaced.
+
+    With scopes a term is matched in them; else, if ``autoscope`` is set, patterns find term and
+    scopes; else the query language reads it.
+    """
+
+    fields: Fields
+    autoscope: bool = False
+    patterns: list[Pattern] = field(default_factory=list)
+    default_scopes: tuple[str, ...] = ("_id",)
+    string_strategy: Callable[[str, Fields], Column] | None = None
+    match_strategy: Callable[[str, list[str], Fields], Column] | None = None
+    table_of: Callable[[str, str], str] | None = None
+
+    def predicate(self, q: str, scopes: tuple[str, ...] = ()) -> Column:
+        match = self.match_strategy or multi_match
+        if not scopes and self.autoscope:
+            known = {p for p, _, _ in leaves(self.fields.schema)}
+            q, scopes = autoscope(q, self.patterns, known, self.default_scopes)
+        if scopes:
+            return match(q, list(scopes), self.fields)
+        return (self.string_strategy or (lambda text, fields: string_query(text, fields)[0]))(q, self.fields)
+
+    def table(self, name: str, q: str) -> str:
+        """The table that a query goes to: the named one unless the hook says otherwise."""
+        return self.table_of(name, q) if self.table_of else name
+
+
 @dataclass
 class Request:
     """Options of a search; limits are checked when it is made."""
@@ -374,10 +426,14 @@ def multi_search(docs: DataFrame, queries: list[str], scopes: list[str], fields:
 
     Terms without a hit have one row that says so. Scopes are keyword or number fields.
     """
+    if len(queries) > MAX_TERMS:
+        raise QueryError(f"at most {MAX_TERMS} terms")
     asked = docs.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], "n int, query string")
     flat = [F.transform(values_at(fields.schema, p), lambda x: F.lower(x.cast("string"))) for p in scopes]
-    terms = docs.select(F.col(key).cast("string").alias("_id"), F.explode(F.array_distinct(F.concat(*flat))).alias("term"))
-    hits = terms.join(F.broadcast(asked), F.col("term") == F.lower("query")).select("n", "_id").distinct()
+    wanted = F.array(*[F.lit(q) for q in sorted({q.lower() for q in queries})]).cast("array<string>")
+    held = docs.select(F.col(key).cast("string").alias("_id"), F.array_intersect(F.concat(*flat), wanted).alias("terms")).filter(F.size("terms") > 0)
+    terms = held.select("_id", F.explode("terms").alias("term"))
+    hits = terms.join(F.broadcast(asked), F.col("term") == F.lower("query")).select("n", "_id").distinct()  # MAX_TERMS rows
     from pyspark.sql import Window
 
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("_id"))).filter(F.col("rank") <= size)

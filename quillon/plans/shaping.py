@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,3 +143,75 @@ def field_metadata(spark: SparkSession, schema: T.StructType, prefix: str = "",
     """(path, type, is_list) of the fields whose path starts with, or holds, what is asked for."""
     rows = [(p, k.simpleString(), many) for p, k, many in A.leaves(schema) if p.startswith(prefix) and (search is None or search in p) and p.split(".")[0] not in excluded]
     return spark.createDataFrame(rows, "path string, type string, is_list boolean")
+
+
+@dataclass(frozen=True)
+class HitOptions:
+    """How hits are shaped; ``hook`` may change the documents after their licences."""
+
+    version: bool = False
+    score: bool = True
+    licences: tuple[tuple[str, str], ...] = ()
+    allow_null: tuple[str, ...] = ()
+    always_list: tuple[str, ...] = ()
+    sort_keys: bool = True
+    jmespath: tuple[tuple[str, str], ...] = ()
+    dotfield: bool = False
+    hook: Callable[[DataFrame], DataFrame] | None = None
+
+
+def format_hits(docs: DataFrame, options: HitOptions, key: str = "_id") -> DataFrame:
+    """Hits in their final shape: version and score, licences and the hook, null fields, lists, key order, expressions, dots."""
+    gone = [c for c, keep in (("_version", options.version), ("_score", options.score)) if not keep]
+    docs = with_license(docs.drop(*gone), dict(options.licences))
+    if options.hook:
+        docs = options.hook(docs)
+    for path in options.allow_null:
+        docs = ensure_field(docs, path, F.lit(None).cast("string"))
+    for path in options.always_list:
+        docs = docs.select(*A.on_document(docs.schema, path, lambda x: F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.array(x.cast("string")))))
+    if options.sort_keys:
+        docs = docs.select(*[A.sorted_keys(docs.schema[c].dataType, F.col(c)).alias(c) for c in sorted(docs.columns)])
+    for name, expression in options.jmespath:
+        docs = docs.withColumn(name, jmespath(docs, expression))
+    if options.dotfield:
+        paths = [p for p, _, _ in A.leaves(docs.schema) if p != key]
+        joined = [F.array_join(F.transform(A.values_at(docs.schema, p), lambda x: x.cast("string")), ",").alias(p) for p in paths]
+        docs = docs.select(key, *joined)
+    return docs
+
+
+def envelope(hits: DataFrame) -> DataFrame:
+    """Each hit as an object, beside the number of them and how that relates to all matches."""
+    total = F.struct(hits.agg(F.count("*")).scalar().alias("value"), F.lit("gte").alias("relation"))
+    return hits.select(total.alias("total"), F.struct(*hits.columns).alias("hit"))
+
+
+def rows_as_documents(header: list[str], rows: DataFrame) -> DataFrame:
+    """The rows of an SQL result as documents with the names of its header."""
+    return rows.toDF(*header)
+
+
+def dotted(docs: DataFrame, paths: list[str], key: str = "_id") -> DataFrame:
+    """Selected fields as columns with dotted names."""
+    return docs.select(key, *[A.get(docs.schema, p).alias(p) for p in paths])
+
+
+def without(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.drop(*names)
+
+
+def united(*tables: dict) -> dict:
+    """Mappings or licences of several sources as one: of a root field the last one counts."""
+    return {k: v for t in tables for k, v in t.items()}
+
+
+def with_notes(fields: DataFrame, notes: dict[str, str]) -> DataFrame:
+    """Field metadata with the notes on fields, null without one."""
+    pairs = F.create_map(*[F.lit(x) for item in sorted(notes.items()) for x in item]) if notes else F.lit(None).cast("map<string,string>")
+    return fields.withColumn("note", pairs[F.col("path")])
+
+
+def execute(spark: SparkSession, text: str, arguments: dict, **tables: DataFrame) -> DataFrame:
+    """SQL with named arguments and tables; values are never put into the text."""
+    return spark.sql(text, args=arguments, **tables)

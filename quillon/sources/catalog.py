@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.cluster import shared_folder
@@ -18,6 +18,12 @@ class Collection:
         self.folder = folder or f"{shared_folder(spark)}/collections/{name}-{uuid.uuid4().hex[:8]}"
         self.versions: list[str] = []
 
+    @staticmethod
+    def linked(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
+        """A collection that is a source itself, by reference; nothing is copied."""
+        source.createOrReplaceTempView(name)
+        return spark.table(name)
+
     def write(self, df: DataFrame, version: str | None = None) -> DataFrame:
         """A new version, then the view is switched; readers never see half of one."""
         path = f"{self.folder}/{version or len(self.versions)}"
@@ -37,9 +43,9 @@ class Collection:
 
     def checked_copy(self, other: Collection) -> DataFrame:
         """A copy of another collection's current version; an error if numbers differ."""
-        rows = other.read()
-        copy = self.write(rows)
-        if copy.count() != rows.count():
+        seen = Observation()
+        copy = self.write(other.read().observe(seen, F.count(F.lit(1)).alias("n")))
+        if copy.count() != seen.get["n"]:
             raise ValueError(f"{self.name} has another number of documents than {other.name}")
         return copy
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.cluster import ship
+from quillon.functions import msgpack
 
 
 def scan_delimited(spark: SparkSession, paths: str | list[str], schema: str, sep: str = "\t", header: bool = True, keep: Column | None = None, strict: bool = True) -> DataFrame:
@@ -114,3 +115,42 @@ def to_yaml(value, indent: int = 0) -> str:
     if isinstance(value, list) and value:
         return "".join(f"{pad}- " + (to_yaml(v, indent + 1).lstrip() if nested(v) else f"{_yaml_scalar(v)}\n") for v in value)
     return f"{pad}{_yaml_scalar(value)}\n"
+
+
+def to_msgpack_rows(df: DataFrame) -> DataFrame:
+    """Each row as one MessagePack map, in the column ``packed``."""
+    ship(df.sparkSession)
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None)
+            yield pd.DataFrame({"packed": [msgpack.pack(dict(zip(names, map(_plain, row), strict=True))) for row in rows]})
+
+    return df.mapInPandas(run, "packed binary")
+
+
+def _plain(value):
+    """A value without the types of arrays and data frames."""
+    return value.item() if hasattr(value, "item") else value.to_pydatetime() if hasattr(value, "to_pydatetime") else value
+
+
+def compacted(spark: SparkSession, source: str, target: str, size: int) -> DataFrame:
+    """Small Parquet files as few of about ``size`` bytes."""
+    rows = spark.read.parquet(source)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    total = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    rows.repartition(max(1, -(-total // size))).write.parquet(target)
+    return spark.read.parquet(target)
+
+
+def older_than(rows: DataFrame, moment: Column) -> DataFrame:
+    """(file, older): the files that rows come from, and whether they changed before a moment."""
+    files = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("_at")).distinct()
+    return files.select("file", (F.col("_at") < moment).alias("older"))
+
+
+def load_objects(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Documents of compressed files of JSON lines, whatever their compression; pickles are not read, as they can run code."""
+    lines = open_files(spark, paths).select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.from_json("line", schema).alias("d")).select("d.*")
