@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillon.cluster import shared_folder
-from quillon.operators import facets, load, tables
+from quillon.operators import catalogue, collections, facets, load, tables
 from quillon.plans import shaping
 from quillon.registry import Tables, big, query
-from quillon.sources import files
+from quillon.sources import files, stores
 from quillon.sources.catalog import Collection, full_names
 
 _CUST = "SELECT c_custkey AS _id, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg FROM customer"
@@ -78,7 +77,7 @@ def file_merge(spark, d):
     return tables.concatenated([t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("name")), t.supplier.select(F.col("s_name").alias("name"))])
 
 
-@query("rec_blocks")
+@query("rec_blocks", "SELECT 'id ' || n_nationkey || chr(10) || 'name ' || n_name AS block FROM nation")
 def rec_blocks(spark, d):
     path = _folder(spark)
     Tables(spark, d).nation.select(F.concat(F.lit("id "), "n_nationkey", F.lit("\nname "), "n_name", F.lit("\n")).alias("value")).coalesce(1).write.text(path)
@@ -104,60 +103,93 @@ def scan_json_array(spark, d):
     return files.scan_json_array(spark, path, "r_regionkey int, r_name string")
 
 
-@query("open_any")
+@query("open_any", "SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region")
 def open_any(spark, d):
     path = _folder(spark)
-    Tables(spark, d).region.select("r_name").coalesce(1).write.option("compression", "gzip").text(path)
+    Tables(spark, d).region.orderBy("r_regionkey").coalesce(1).select("r_name").write.option("compression", "gzip").text(path)
     return files.open_files(spark, path + "/*.gz").select(F.decode("content", "utf-8").alias("text"))
 
 
-@query("open_by_magic")
+@query("open_by_magic", "SELECT CAST(sum(strlen(n_name) + 1) AS INTEGER) AS bytes FROM nation")
 def open_by_magic(spark, d):
     path = _folder(spark)
     Tables(spark, d).nation.select("n_name").coalesce(1).write.option("compression", "bzip2").text(path)
     return files.open_files(spark, path + "/*.bz2").select(F.length("content").alias("bytes"))
 
 
-@query("uncompress_all")
+@query("load_obj", "SELECT n_nationkey, n_name FROM nation")
+def load_obj(spark, d):
+    path = _folder(spark)
+    Tables(spark, d).nation.select("n_nationkey", "n_name").write.option("compression", "gzip").json(path)
+    return files.load_objects(spark, path + "/*.gz", "n_nationkey int, n_name string")
+
+
+@query("uncompress_all", "SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS bytes FROM supplier")
 def uncompress_all(spark, d):
     path = _folder(spark)
     Tables(spark, d).supplier.select("s_name").repartition(3).write.option("compression", "gzip").text(path)
-    return files.open_files(spark, path + "/*.gz").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").alias("bytes"))
+    plain = files.open_files(spark, path + "/*.gz").select(F.decode("content", "utf-8").alias("text"))
+    return plain.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+def _database(spark):
+    """The path of a new SQLite file in the shared folder."""
+    folder = shared_folder(spark)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("SQLite files need a shared folder that is mounted")
+    return f"{folder.removeprefix('file:').replace('///', '/').replace('//', '/')}/{uuid.uuid4().hex[:8]}.sqlite"
 
 
 @query("scan_sqlite", "SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE '%7' AND s_nationkey > 3 ORDER BY s_suppkey LIMIT 20 OFFSET 1")
 def scan_sqlite(spark, d):
     from quillon.functions.scalars import matches_glob
 
-    docs = Tables(spark, d).supplier.filter(matches_glob(F.col("s_name"), "*7") & (F.col("s_nationkey") > 3))
-    return docs.orderBy("s_suppkey").offset(1).limit(20).select("s_suppkey", "s_name")
+    path = _database(spark)
+    stores.write_sqlite(Tables(spark, d).supplier, path, "supplier", key="s_suppkey")
+    docs = stores.scan_sqlite(spark, path, "supplier").filter(matches_glob(F.col("s_name"), "*7") & (F.col("s_nationkey") > 3))
+    return collections.find(docs, sort=["s_suppkey"], start=1, limit=20, fields=["s_suppkey", "s_name"])
 
 
-@query("scan_sqlite_v2", "SELECT event_id, total FROM (SELECT event_id, count(*) OVER () AS total FROM events WHERE event_type = 'view' AND CAST(json_extract(props, '$.k') AS BIGINT) > 50) ORDER BY event_id LIMIT 40")
+@query("scan_sqlite_v2", "SELECT n_name, total FROM (SELECT n_name, count(*) OVER () AS total FROM nation WHERE n_regionkey = 3 AND n_nationkey > 2) ORDER BY n_name LIMIT 3")
 def scan_sqlite_v2(spark, d):
-    docs = Tables(spark, d).events.filter((F.col("event_type") == "view") & (F.get_json_object("props", "$.k").try_cast("bigint") > 50))
-    page = docs.orderBy("event_id").limit(40).select("event_id")
-    return page.withColumn("total", docs.agg(F.count("*")).scalar())
+    path = _database(spark)
+    documents = Tables(spark, d).nation.select(F.col("n_nationkey").cast("string").alias("_id"), F.to_json(F.struct("*")).alias("document"))
+    stores.write_sqlite(documents, path, "nation", key="_id")
+    kind = "struct<n_nationkey:bigint,n_name:string,n_regionkey:bigint>"
+    docs = stores.scan_sqlite(spark, path, "nation").select(F.from_json("document", kind).alias("d")).select("d.*")
+    return collections.find_with_total(docs, {"n_regionkey": 3, "n_nationkey": {"$gt": 2}}, ["n_name"], 3).select("n_name", "total")
 
 
-@query("scan_pg", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '29' AND event_type = 'view'")
+@query("scan_pg", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
 def scan_pg(spark, d):
-    return Tables(spark, d).events.filter((F.get_json_object("props", "$.k") == "29") & (F.col("event_type") == "view")).select("event_id")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex[:8]};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = Tables(spark, d).supplier.select("s_suppkey", "s_name", F.to_json(F.struct("s_nationkey")).alias("document"))
+    stores.write_jdbc(rows, url, "docs", "s_name VARCHAR(60), document VARCHAR(200)", **driver)
+    names = lambda df: df.toDF(*[c.lower() for c in df.columns])
+    return collections.find_in_json(names(stores.scan_jdbc(spark, url, "docs", **driver)), "document", {"s_nationkey": 3}).select("s_suppkey", "s_name")
 
 
 @query("scan_mongo", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 500 OFFSET 100")
 def scan_mongo(spark, d):
-    return Tables(spark, d).orders.filter("o_orderstatus = 'O'").orderBy("o_orderkey").offset(100).limit(500).select("o_orderkey", "o_totalprice")
+    return collections.find(Tables(spark, d).orders, {"o_orderstatus": "O"}, ["o_orderkey", "o_totalprice"], ["o_orderkey"], 100, 500)
 
 
 @query("scan_ids", "SELECT o_orderkey AS _id FROM orders")
 def scan_ids(spark, d):
-    return Tables(spark, d).orders.select(F.col("o_orderkey").alias("_id"))
+    return collections.ids(Tables(spark, d).orders, "o_orderkey")
 
 
 @query("scan_es", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def scan_es(spark, d):
-    return Tables(spark, d).customer.filter("c_mktsegment = 'MACHINERY'").select("c_custkey", "c_name")
+    path = _folder(spark)
+    collections.checked_scroll(Tables(spark, d).customer, {"c_mktsegment": "MACHINERY"}, lambda hits: hits.write.parquet(path))
+    return spark.read.parquet(path).select("c_custkey", "c_name")
+
+
+@query("g_es_helper_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 5000")
+def g_es_helper_scan(spark, d):
+    return collections.scroll(Tables(spark, d).customer, {"c_acctbal": {"$gte": 5000}}).select("c_custkey", "c_name")
 
 
 _LISTED = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 450000"
@@ -179,7 +211,7 @@ def count_from_ids(spark, d):
     return load.only_ids(_customers(spark, d), _listed(spark, d)).agg(F.count("*").alias("n"))
 
 
-@query("backend_resolve")
+@query("backend_resolve", "SELECT * FROM nation")
 def backend_resolve(spark, d):
     c = Collection(spark, "resolved_nations")
     c.write(Tables(spark, d).nation)
@@ -194,10 +226,20 @@ def store_basic(spark, d):
     return load.store_basic(_customers(spark, d).select("_id", "name"), batch_size=500, max_batches=2)
 
 
-@query("store_check_size", "SELECT doc_id FROM documents WHERE n_chars + length(CAST(doc_id AS VARCHAR)) + 18 < 5000")
+@query("store_check_size", "SELECT doc_id FROM documents WHERE strlen(CAST(to_json({'doc_id': doc_id, 'text': text}) AS VARCHAR)) < 16777216")
 def store_check_size(spark, d):
-    docs = Tables(spark, d).documents.select("doc_id", F.repeat(F.lit("x"), F.col("n_chars").cast("int")).alias("t"))
-    return load.small_enough(docs, 5000).select("doc_id")
+    return load.small_enough(Tables(spark, d).documents.select("doc_id", "text")).select("doc_id")
+
+
+@query("store_none", "SELECT count(*) - count(*) AS stored FROM customer")
+def store_none(spark, d):
+    return spark.range(1).select(F.lit(load.store_none(_customers(spark, d))).cast("bigint").alias("stored"))
+
+
+@query("store_dispatch", "SELECT 'error' AS strategy, count(*) AS n FROM customer UNION ALL SELECT 'ignore', count(DISTINCT user_id) FROM events UNION ALL SELECT 'merge', count(DISTINCT user_id) FROM events")
+def store_dispatch(spark, d):
+    parts = [("error", load.store(_customers(spark, d), "error")), ("ignore", load.store(_events(spark, d), "ignore", position="pos")), ("merge", load.store(_events(spark, d), "merge", position="pos"))]
+    return tables.concatenated([df.agg(F.count("*").alias("n")).select(F.lit(n).alias("strategy"), "n") for n, df in parts])
 
 
 _EV = "SELECT user_id AS _id, event_id AS pos, event_type AS kind, value FROM events"
@@ -236,7 +278,7 @@ def sink_update_diff(spark, d):
     return load.apply_diff(old, new, new, old.filter("_id % 5 = 0"))
 
 
-for _name in ("sink_remove_ids", "g_sqlite_remove", "g_pg_remove", "g_es_hub_remove", "sink_resume_task", "g_id_cache"):
+for _name in ("sink_remove_ids", "g_sqlite_remove", "g_pg_remove", "g_es_hub_remove", "g_id_cache"):
     query(_name, f"SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey NOT IN ({_LISTED})")(lambda spark, d: load.remove_ids(_customers(spark, d), _listed(spark, d)).select("_id", "name"))
 
 
@@ -246,12 +288,17 @@ def sink_delete_docs(spark, d):
     return asked.agg(F.count_if(F.col("exists")).alias("deleted"), F.count_if(~F.col("exists")).alias("failed"))
 
 
+@query("sink_resume_task", _BOTH + "SELECT _id, name FROM o UNION ALL SELECT _id, name FROM n WHERE _id NOT IN (SELECT _id FROM o)")
+def sink_resume_task(spark, d):
+    return collections.resumed(_customers(spark, d), _newer(spark, d)).select("_id", "name")
+
+
 @query("g_es_delete", "SELECT c_custkey AS _id FROM customer WHERE c_custkey <> 7")
 def g_es_delete(spark, d):
-    return _customers(spark, d).filter("_id <> 7").select("_id")
+    return collections.delete_one(_customers(spark, d), 7).select("_id")
 
 
-@query("sink_build_index")
+@query("sink_build_index", _CUST)
 def sink_build_index(spark, d):
     source, target = Collection(spark, "source_customers"), Collection(spark, "index_customers")
     source.write(_customers(spark, d))
@@ -264,13 +311,12 @@ def sink_clean_field(spark, d):
     return load.clean_field(docs, "seg")
 
 
-@query("sink_index_task", "SELECT doc_id, count(*) OVER () AS kept FROM documents WHERE n_chars <= 512")
+@query("sink_index_task", "SELECT text AS _id, counted FROM (SELECT text, count(*) OVER () AS counted FROM documents) WHERE length(text) <= 512")
 def sink_index_task(spark, d):
-    docs = Tables(spark, d).documents.select("doc_id", "n_chars").filter("n_chars <= 512")
-    return docs.select("doc_id", docs.agg(F.count("*")).scalar().alias("kept"))
+    return collections.index_batch(Tables(spark, d).documents.select(F.col("text").alias("_id")))
 
 
-@query("sink_switch")
+@query("sink_switch", "SELECT * FROM nation")
 def sink_switch(spark, d):
     c = Collection(spark, "switched_nations")
     c.write(Tables(spark, d).nation.limit(0))
@@ -278,16 +324,18 @@ def sink_switch(spark, d):
     return spark.table("switched_nations")
 
 
-@query("sink_hub_update_ops", "SELECT user_id AS _id, array_to_string(list_sort(list_distinct(list(event_type) || ['added'])), ',') AS added, array_to_string(list_sort(list_filter(list_distinct(list(event_type)), lambda x: x <> 'view')), ',') AS pulled FROM events GROUP BY user_id")
+@query("sink_hub_update_ops", "SELECT user_id AS _id, 'seen' AS state, array_to_string(list_sort(list_distinct(list(event_type) || ['added'])), ',') AS added, array_to_string(list_sort(list_filter(list_distinct(list(event_type)), lambda x: x <> 'view')), ',') AS pulled FROM events GROUP BY user_id")
 def sink_hub_update_ops(spark, d):
-    docs = Tables(spark, d).events.groupBy(F.col("user_id").alias("_id")).agg(F.collect_set("event_type").alias("kinds"))
-    return docs.select("_id", F.array_join(F.array_sort(F.array_union("kinds", F.array(F.lit("added")))), ",").alias("added"), F.array_join(F.array_sort(F.array_remove("kinds", "view")), ",").alias("pulled"))
+    kinds = F.array_sort(F.collect_set("event_type"))
+    docs = Tables(spark, d).events.groupBy(F.col("user_id").alias("_id")).agg(kinds.alias("added"), kinds.alias("pulled"), F.max("value").alias("value"))
+    docs = collections.apply_operators(docs, {"$set": {"state": "seen"}, "$unset": {"value": 1}, "$addToSet": {"added": "added"}, "$pull": {"pulled": "view"}})
+    return docs.select("_id", "state", F.array_join(F.array_sort("added"), ",").alias("added"), F.array_join("pulled", ",").alias("pulled"))
 
 
 @query("export_ids", "SELECT DISTINCT CAST(k AS VARCHAR) AS _id FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer)")
 def export_ids(spark, d):
     t = Tables(spark, d)
-    return t.orders.select(F.col("o_custkey").cast("string").alias("_id")).unionByName(t.customer.select(F.col("c_custkey").cast("string").alias("_id"))).distinct().sort("_id")
+    return collections.united_ids(t.orders.select(F.col("o_custkey").alias("_id")), t.customer.select(F.col("c_custkey").alias("_id")))
 
 
 @query("serialize_json", """SELECT concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","none":null}') AS json FROM nation""")
@@ -295,34 +343,36 @@ def serialize_json(spark, d):
     return files.to_json_lines(Tables(spark, d).nation.select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")))
 
 
-@query("serialize_yaml")
+@query("serialize_yaml", "SELECT string_agg('- r_regionkey: ' || r_regionkey || chr(10) || '  r_name: ' || r_name || chr(10), '' ORDER BY r_regionkey) AS yaml FROM region")
 def serialize_yaml(spark, d):
     rows = [r.asDict() for r in Tables(spark, d).region.orderBy("r_regionkey").collect()]  # five rows
     return spark.createDataFrame([(files.to_yaml(rows),)], "yaml string")
 
 
-@query("serialize_msgpack")
+@query("serialize_msgpack", "SELECT '82AB' || hex('r_regionkey') || printf('%02X', r_regionkey) || 'A6' || hex('r_name') || printf('%02X', 160 + strlen(r_name)) || hex(r_name) AS packed FROM region")
 def serialize_msgpack(spark, d):
-    rows = [r.asDict() for r in Tables(spark, d).region.collect()]  # five rows
-    try:
-        import msgpack
-    except ImportError:
-        return spark.createDataFrame([(len(json.dumps(rows)), "json")], "bytes int, format string")
-    return spark.createDataFrame([(len(msgpack.packb(rows)), "msgpack")], "bytes int, format string")
+    return files.to_msgpack_rows(Tables(spark, d).region).select(F.hex("packed").alias("packed"))
 
 
-@query("reindex")
+@query("reindex", "SELECT * FROM nation")
 def reindex(spark, d):
     old, new = Collection(spark, "old_nations"), Collection(spark, "new_nations")
     old.write(Tables(spark, d).nation)
     return new.checked_copy(old)
 
 
-@query("store_merge")
+_KINDS = "SELECT _id, list(kind ORDER BY first_pos) AS kinds, count(*) AS n FROM (SELECT user_id AS _id, event_type AS kind, min(event_id) AS first_pos FROM events GROUP BY ALL) GROUP BY _id"
+
+
+def _json_list(before: str, after: str) -> str:
+    return f"""SELECT _id, '{before}' || CASE WHEN n = 1 THEN '"' || kinds[1] || '"' ELSE '["' || array_to_string(kinds, '","') || '"]' END || '{after}' AS doc FROM ({_KINDS})"""
+
+
+@query("store_merge", _json_list('{"x":{"kind":', '}}'))
 def store_merge(spark, d):
     from quillon.operators.merge import fold_documents
 
-    docs = _events(spark, d).select("_id", "pos", F.to_json(F.struct("_id", "kind", F.struct(F.round("value", 1).alias("v")).alias("x"))).alias("doc"))
+    docs = _events(spark, d).select("_id", "pos", F.to_json(F.struct(F.struct("kind").alias("x"))).alias("doc"))
     return fold_documents(docs, "_id", "pos")
 
 
@@ -334,47 +384,76 @@ def g_sqlite_insert(spark, d):
     return load.duplicated_ids(_events(spark, d))
 
 
-@query("g_pg_insert", "SELECT count(*) AS n FROM customer WHERE c_custkey IS NULL")
+@query("g_pg_insert", "SELECT count(*) AS n, count(*) FILTER (c_custkey IS NULL) AS lost FROM customer")
 def g_pg_insert(spark, d):
-    return _customers(spark, d).filter("_id IS NULL").agg(F.count("*").alias("n"))
+    docs = _customers(spark, d)
+    stored = collections.insert(docs.limit(0), docs)
+    return stored.agg(F.count("*").alias("n")).join(collections.without_id(docs).withColumnRenamed("n", "lost"))
+
+
+@query("g_sqlite_bulk", _BOTH + "SELECT _id, name FROM o UNION ALL SELECT _id, name FROM n WHERE _id > 1000000")
+def g_sqlite_bulk(spark, d):
+    return collections.write_many(_customers(spark, d), _newer(spark, d).filter("_id > 1000000")).select("_id", "name")
+
+
+@query("g_sqlite_count", "SELECT count(*) AS n FROM customer")
+def g_sqlite_count(spark, d):
+    return collections.count(_customers(spark, d))
+
+
+@query("g_pg_count", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0")
+def g_pg_count(spark, d):
+    return collections.count(_customers(spark, d), {"bal": {"$gt": 0}})
+
+
+@query("a_count", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def a_count(spark, d):
+    return collections.count(_customers(spark, d), {"seg": {"$in": ["BUILDING", "MACHINERY"]}})
 
 
-for _name in ("g_sqlite_count", "g_pg_count", "a_count", "a_build_stats"):
-    query(_name, "SELECT count(*) AS n FROM customer")(lambda spark, d: _customers(spark, d).agg(F.count("*").alias("n")))
+@query("a_build_stats", "SELECT count(*) AS total FROM customer")
+def a_build_stats(spark, d):
+    return collections.count(_customers(spark, d), name="total")
+
 
 for _name in ("g_sqlite_findone", "g_pg_findone", "g_es_get"):
-    query(_name, "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey = 7")(lambda spark, d: _customers(spark, d).filter("_id = 7").limit(1).select("_id", "name"))
+    query(_name, "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey = 7")(lambda spark, d: collections.find_one(_customers(spark, d), 7).select("_id", "name"))
 
 
 @query("g_es_exists", 'SELECT count(*) > 0 AS "exists" FROM customer WHERE c_custkey = 7')
 def g_es_exists(spark, d):
-    return _customers(spark, d).filter("_id = 7").limit(1).agg((F.count("*") > 0).alias("exists"))
+    return collections.exists(_customers(spark, d), 7)
 
 
 @query("g_es_ids", "SELECT c_custkey AS _id FROM customer")
 def g_es_ids(spark, d):
-    return _customers(spark, d).select("_id")
+    return collections.ids(_customers(spark, d))
 
 
 @query("g_es_backend_query", "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def g_es_backend_query(spark, d):
-    return _customers(spark, d).filter("seg = 'BUILDING'").select("_id", "name")
+    return collections.scroll(_customers(spark, d), {"seg": "BUILDING"}).select("_id", "name")
 
 
 @query("g_es_hub_update_many", "SELECT c_custkey AS _id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE c_name END AS name FROM customer")
 def g_es_hub_update_many(spark, d):
-    return _customers(spark, d).select("_id", F.when(F.col("seg") == "BUILDING", "x").otherwise(F.col("name")).alias("name"))
+    return collections.update_many(_customers(spark, d), {"seg": "BUILDING"}, {"name": "x"}).select("_id", "name")
+
+
+@query("g_shelve_update", "SELECT c_custkey AS _id, c_name AS name, CASE WHEN c_custkey = 7 THEN 'moved' ELSE c_mktsegment END AS seg FROM customer UNION ALL SELECT NULL, 'nobody', 'made'")
+def g_shelve_update(spark, d):
+    once = collections.update_many(_customers(spark, d).select("_id", "name", "seg"), {"_id": 7}, {"seg": "moved"}, upsert=True)
+    return collections.update_many(once, {"name": "nobody"}, {"seg": "made"}, upsert=True)
 
 
 @query("g_doc_size", "SELECT count(*) FILTER (strlen(text) < 2000) AS small, count(*) FILTER (strlen(text) >= 2000) AS large FROM documents")
 def g_doc_size(spark, d):
-    n = F.octet_length("text")
-    return Tables(spark, d).documents.agg(F.count_if(n < 2000).alias("small"), F.count_if(n >= 2000).alias("large"))
+    return collections.sizes(Tables(spark, d).documents, "text", 2000)
 
 
 @query("g_unique_ids", "SELECT count(*) AS n, count(DISTINCT user_id) AS ids FROM events")
 def g_unique_ids(spark, d):
-    return _events(spark, d).agg(F.count("*").alias("n"), F.count_distinct("_id").alias("ids"))
+    return collections.id_counts(_events(spark, d))
 
 
 for _name in ("g_sqlite_rename", "g_pg_rename", "g_es_alias"):
@@ -385,47 +464,49 @@ for _name in ("g_sqlite_rename", "g_pg_rename", "g_es_alias"):
         c.rename(f"{name}_after")
         return spark.table(f"{name}_after")
 
-    query(_name)(_rename)
+    query(_name, "SELECT * FROM region")(_rename)
 
 
-@query("g_shelve_find")
+@query("g_shelve_find", "SELECT c_custkey AS _id, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")
 def g_shelve_find(spark, d):
-    return _customers(spark, d).filter((F.col("seg") == "BUILDING") & (F.col("bal") > 9000))
+    return collections.find(_customers(spark, d), {"seg": "BUILDING", "bal": {"$gt": 9000}})
 
 
-@query("g_hub_backup")
+@query("g_hub_backup", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS value FROM region""")
 def g_hub_backup(spark, d):
-    c = Collection(spark, "backup_region")
-    c.write(Tables(spark, d).region)
-    return files.fingerprints(spark, c.versions[-1] + "/*.parquet")
+    path = _folder(spark)
+    files.to_json_lines(Tables(spark, d).region).write.text(path)
+    return spark.read.text(path)
 
 
-@query("g_hub_restore")
+@query("g_hub_restore", "SELECT * FROM region")
 def g_hub_restore(spark, d):
     c = Collection(spark, "restored_region")
     c.write(Tables(spark, d).region)
+    c.write(Tables(spark, d).region.limit(1))
     return c.read(0)
 
 
 @query("g_es_index_names", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_nationkey DESC) AS BIGINT) AS place FROM nation")
 def g_es_index_names(spark, d):
-    from pyspark.sql import Window
-
-    return Tables(spark, d).nation.select("n_name", big(F.row_number().over(Window.orderBy(F.desc("n_nationkey")))).alias("place"))
+    return catalogue.places(Tables(spark, d).nation, F.desc("n_nationkey")).select("n_name", "place")
 
 
-@query("g_es_update_mapping")
+@query("g_es_update_mapping", "SELECT r_regionkey, CAST(NULL AS VARCHAR) AS added FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
 def g_es_update_mapping(spark, d):
     t = Tables(spark, d)
-    return tables.concatenated([t.region, t.region.withColumn("added", F.lit(None).cast("string"))]).select("r_regionkey", "added")
+    return tables.concatenated([t.region, t.region.withColumn("added", F.col("r_name"))]).select("r_regionkey", "added")
 
 
-@query("g_mapping_es_index")
+@query("g_mapping_es_index", _BOTH + "SELECT _id, name FROM n WHERE _id NOT IN (SELECT _id FROM o)")
 def g_mapping_es_index(spark, d):
     return load.create_only(_customers(spark, d), _newer(spark, d)).select("_id", "name")
 
 
-@query("g_doc_iterator")
+_CHUNKS = "SELECT c_custkey AS _id, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS chunk FROM customer"
+
+
+@query("g_doc_iterator", _CHUNKS)
 def g_doc_iterator(spark, d):
     return tables.chunked(_customers(spark, d), ["_id"], 100).select("_id", "chunk")
 
@@ -462,4 +543,4 @@ def k_mongo_exec(spark, d):
 
 @query("k_sql_exec", "SELECT n_name FROM nation WHERE n_regionkey = 3")
 def k_sql_exec(spark, d):
-    return spark.sql("SELECT n_name FROM {t} WHERE n_regionkey = :r", args={"r": 3}, t=Tables(spark, d).nation)
+    return shaping.execute(spark, "SELECT n_name FROM {t} WHERE n_regionkey = :r", {"r": 3}, t=Tables(spark, d).nation)

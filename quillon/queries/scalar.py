@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import arrays as A
 from quillon.functions import scalars as S
+from quillon.functions import values as V
 from quillon.registry import Tables, big, query
 
 #: Strings of many kinds, from the customers: numbers, words, padded and signed ones.
@@ -109,21 +110,21 @@ def x_alwayslist(spark, d):
 
 @query("x_value_convert", "SELECT l_orderkey, array_to_string(list_sort(list(l_partkey * 2 + 1)), ',') AS doubled FROM lineitem GROUP BY l_orderkey")
 def x_value_convert(spark, d):
-    xs = F.transform(F.collect_list("l_partkey"), lambda x: x * 2 + 1)
+    xs = V.mapped(F.collect_list("l_partkey"), lambda x: x * 2 + 1)
     return Tables(spark, d).lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(xs), ",").alias("doubled"))
 
 
 @query("x_dict_convert", "SELECT n_regionkey, array_to_string(list_sort(list(lower(n_name) || '=' || CAST(n_nationkey * 10 AS VARCHAR))), ',') AS pairs FROM nation GROUP BY n_regionkey")
 def x_dict_convert(spark, d):
     m = F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))
-    m = F.transform_values(F.transform_keys(m, lambda k, v: F.lower(k)), lambda k, v: v * 10)
+    m = V.mapped_entries(m, F.lower, lambda v: v * 10)
     pairs = F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
     return Tables(spark, d).nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(pairs), ",").alias("pairs"))
 
 
 @query("x_md5", "SELECT doc_id, md5(text) AS md5 FROM documents")
 def x_md5(spark, d):
-    return Tables(spark, d).documents.select("doc_id", F.md5("text").alias("md5"))
+    return Tables(spark, d).documents.select("doc_id", S.digest(F.col("text")).alias("md5"))
 
 
 @query("x_newer", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') < strptime('19950101', '%Y%m%d') AS older FROM orders")
@@ -143,46 +144,56 @@ def x_json_serial(spark, d):
 
 @query("x_translate", "SELECT c_custkey, regexp_replace(regexp_replace(c_name, '^Customer', 'cust'), '#0*', ':') AS translated FROM customer")
 def x_translate(spark, d):
-    return Tables(spark, d).customer.select("c_custkey", F.regexp_replace(F.regexp_replace("c_name", "^Customer", "cust"), "#0*", ":").alias("translated"))
+    return Tables(spark, d).customer.select("c_custkey", V.translated(F.col("c_name"), [("^Customer", "cust"), ("#0*", ":")]).alias("translated"))
 
 
 @query("x_jmes_unique", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS suppliers FROM lineitem GROUP BY l_orderkey")
 def x_jmes_unique(spark, d):
-    return Tables(spark, d).lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("l_suppkey"))), ",").alias("suppliers"))
+    return Tables(spark, d).lineitem.groupBy("l_orderkey").agg(F.array_join(V.distinct(F.collect_list("l_suppkey")), ",").alias("suppliers"))
 
 
 @query("x_jmes_unique_count", "SELECT l_orderkey, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY l_orderkey")
 def x_jmes_unique_count(spark, d):
-    return Tables(spark, d).lineitem.groupBy("l_orderkey").agg(big(F.size(F.array_distinct(F.collect_list("l_suppkey")))).alias("suppliers"))
+    return Tables(spark, d).lineitem.groupBy("l_orderkey").agg(V.distinct_count(F.collect_list("l_suppkey")).alias("suppliers"))
 
 
-@query("x_timestamp")
+@query("x_timestamp", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS stamp FROM orders")
 def x_timestamp(spark, d):
-    return Tables(spark, d).region.select("r_regionkey", F.date_format(F.current_date(), "yyyyMMdd").alias("stamp"))
+    return Tables(spark, d).orders.select("o_orderkey", V.day_stamp(F.col("o_orderdate")).alias("stamp"))
 
 
-@query("x_timesofar")
+@query("x_timesofar", "WITH s AS (SELECT event_id, CAST(trunc(value * 100) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh:%dm:%ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm:%ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM s")
 def x_timesofar(spark, d):
     return Tables(spark, d).events.select("event_id", S.duration_text(F.col("value") * 100).alias("duration"))
 
 
-@query("x_safe_unicode")
+@query("x_safe_unicode", "SELECT doc_id, sha256(replace(text, chr(65533), '#')) AS hash FROM documents")
 def x_safe_unicode(spark, d):
-    masked = F.regexp_replace(F.decode(F.encode("text", "utf-8"), "utf-8"), "�", "#")
-    return Tables(spark, d).documents.select("doc_id", F.sha2(masked, 256).alias("hash"))
+    return Tables(spark, d).documents.select("doc_id", F.sha2(V.masked(F.col("text")), 256).alias("hash"))
 
 
-@query("x_file_newer")
+@query("x_file_newer", "SELECT 'region.parquet' AS file, true AS older FROM region LIMIT 1")
 def x_file_newer(spark, d):
-    files = Tables(spark, d).region.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed")).distinct()
-    return files.select("file", (F.col("changed") < F.current_timestamp()).alias("older_than_now"))
+    from quillon.sources import files
 
+    return files.older_than(Tables(spark, d).region, F.current_timestamp())
 
-@query("x_uid")
+
+@query("x_uid", "WITH h AS (SELECT event_id, sha256(user_id || '|' || event_type) AS h FROM events) SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uid FROM h")
 def x_uid(spark, d):
-    h = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256)
-    uid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return Tables(spark, d).events.select("event_id", uid.alias("uid"))
+    return Tables(spark, d).events.select("event_id", V.pseudonym(F.col("user_id"), F.col("event_type")).alias("uid"))
+
+
+# JSON values of all kinds, by part
+_JSON = "CASE p_partkey % 7 WHEN 0 THEN '12' WHEN 1 THEN '1.5' WHEN 2 THEN '\"text\"' WHEN 3 THEN '[1, 2]' WHEN 4 THEN 'true' WHEN 5 THEN '{\"a\": 1}' ELSE 'null' END"
+for _name, _test, _true in (("x_is_str", V.is_text, "2"), ("x_is_float", V.is_float, "1"), ("x_is_seq", V.is_sequence, "3"), ("x_is_scalar", V.is_scalar, "0, 1, 2, 4, 6")):
+    query(_name, f"SELECT p_partkey, p_partkey % 7 IN ({_true}) AS value FROM part")((lambda test: lambda spark, d: Tables(spark, d).part.select("p_partkey", test(F.expr(_JSON)).alias("value")))(_test))
+
+
+@query("x_safe_type", _RAW_CTE + f"SELECT c_custkey, CASE WHEN {_IS_FLOAT} THEN CAST(trim(s) AS DOUBLE) END AS value, CASE WHEN NOT {_IS_FLOAT} THEN s END AS kept FROM r")
+def x_safe_type(spark, d):
+    value, kept = V.converted(F.col("s"), "double")
+    return _raw(spark, d).select("c_custkey", value.alias("value"), kept.alias("kept"))
 
 
 # documents and arrays
@@ -270,12 +281,21 @@ def c_list_length(spark, d):
 
 @query("c_get_dotfield", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderpriority AS level FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def c_get_dotfield(spark, d):
-    return orders_as_documents(spark, d).select("_id", F.col("customer.priority.level").alias("level"))
+    docs = orders_as_documents(spark, d)
+    return docs.select("_id", A.get(docs.schema, "customer.priority.level").alias("level"))
 
 
-@query("c_nested_lookup", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, array_to_string(list(l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag), ',') AS flags {_ITEMS} GROUP BY o_orderkey")
+@query("c_nested_lookup", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, array_to_string(list(l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag), ',') AS flags, CAST(NULL AS VARCHAR) AS none {_ITEMS} GROUP BY o_orderkey")
 def c_nested_lookup(spark, d):
-    return orders_as_documents(spark, d).select("_id", F.array_join(F.col("items.flag"), ",").alias("flags"))
+    docs = orders_as_documents(spark, d)
+    return docs.select("_id", F.array_join(A.lookup(docs.schema, "items.flag.deeper"), ",").alias("flags"), A.lookup(docs.schema, "customer.absent").cast("string").alias("none"))
+
+
+@query("c_last_element", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, count(*) AS n, array_to_string(list(l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag), ',') AS flags {_ITEMS} GROUP BY o_orderkey")
+def c_last_element(spark, d):
+    docs = orders_as_documents(spark, d)
+    found = A.last_element(docs.schema, "items.flag")
+    return docs.select("_id", big(F.size(found)).alias("n"), F.array_join(F.transform(found, lambda x: x.flag), ",").alias("flags"))
 
 
 @query("c_list_trim", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, coalesce(array_to_string(list(l_partkey ORDER BY rn) FILTER (rn NOT IN (1, 3)), ','), '') AS parts FROM (SELECT o_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS rn {_ITEMS}) GROUP BY o_orderkey")
@@ -284,27 +304,30 @@ def c_list_trim(spark, d):
     return docs.select("_id", F.array_join(A.without_positions(F.transform("items", lambda x: x.part), [0, 2]), ",").alias("parts"))
 
 
-@query("c_traverse_keys")
+_KEYS = " UNION ALL ".join(f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, '{p}' AS path, CAST({x} AS VARCHAR) AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)" for p, x in (("status", "o_orderstatus"), ("price", "o_totalprice"), ("customer.key", "o_custkey"), ("customer.priority.level", "o_orderpriority"))) + "".join(f" UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'items.{p}', CAST({x} AS VARCHAR) {_ITEMS}" for p, x in (("line", "l_linenumber"), ("part", "l_partkey"), ("flag", "l_returnflag")))
+
+
+@query("c_traverse_keys", _KEYS)
 def c_traverse_keys(spark, d):
     docs = orders_as_documents(spark, d)
-    pair = lambda p: lambda v: F.struct(F.lit(p).alias("path"), v.cast("string").alias("value"))
-    pairs = [F.transform(A.values_at(docs.schema, p), pair(p)) for p, _, _ in A.leaves(docs.schema) if p != "_id"]
-    return docs.select("_id", F.explode(F.concat(*pairs)).alias("x")).select("_id", "x.path", "x.value")
+    pairs = A.key_values(docs.schema, exclude=("_id", "items.qty"))
+    return docs.select("_id", F.explode(pairs).alias("x")).select("_id", "x.path", "x.value")
 
 
-@query("c_value_convert_ie")
+@query("c_value_convert_ie", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, array_to_string(list(l_quantity * 2 ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag), ',') AS qty {_ITEMS} GROUP BY o_orderkey")
 def c_value_convert_ie(spark, d):
     docs = orders_as_documents(spark, d)
     docs = docs.select(*A.on_document(docs.schema, "items.qty", lambda x: x * 2))
     return docs.select("_id", F.array_join(F.transform("items", lambda x: x.qty), ",").alias("qty"))
 
 
-@query("c_dict_walk")
+@query("c_dict_walk", f'SELECT CAST(o_orderkey AS VARCHAR) AS "_ID", o_custkey AS "KEY", o_orderpriority AS "LEVEL", CAST(sum(l_partkey) AS BIGINT) AS "PARTS" {_ITEMS} GROUP BY o_orderkey, o_custkey, o_orderpriority')
 def c_dict_walk(spark, d):
     docs = orders_as_documents(spark, d)
-    return docs.select(*[F.col(c).alias(c.upper()) for c in docs.columns if c != "items"])
+    walked = docs.select(*A.renamed_document(docs.schema, str.upper))
+    return walked.select("_ID", "CUSTOMER.KEY", "CUSTOMER.PRIORITY.LEVEL", F.aggregate("ITEMS", F.lit(0).cast("bigint"), lambda a, x: a + x.PART).alias("PARTS"))
 
 
-@query("c_dict_traverse")
+@query("c_dict_traverse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k FROM events")
 def c_dict_traverse(spark, d):
-    return Tables(spark, d).events.select("event_id", F.transform_values(F.from_json("props", "map<string,bigint>"), lambda k, v: v + 1)["k"].alias("k"))
+    return Tables(spark, d).events.select("event_id", V.mapped_entries(F.from_json("props", "map<string,bigint>"), value=lambda v: v + 1)["k"].alias("k"))

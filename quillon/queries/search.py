@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillon.functions import arrays as A
 from quillon.functions import scalars as S
-from quillon.operators import facets
+from quillon.operators import catalogue, collections, facets
 from quillon.plans import query_language as Q
 from quillon.plans import shaping
 from quillon.queries.scalar import _ITEMS, orders_as_documents
@@ -71,24 +73,69 @@ def q_sql(spark, d):
     return docs.orderBy("c_custkey").offset(10).limit(50).select("c_custkey", "c_name")
 
 
-@query("q_build")
+@query("q_build", "SELECT o_orderkey AS _id, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def q_build(spark, d):
     docs, fields = _orders(spark, d)
     return Q.search(docs, Q.Request(q="o_orderstatus:P", sort=("-o_totalprice",), size=20), fields).select("_id", "o_totalprice")
 
 
-@query("q_autoscope")
+_TERMS = ["genes:1017", "o_orderstatus:F", "5-LOW", "x:y:z"]
+_PATTERNS = [(r"(?P<term>\d-\w+)", "o_orderpriority")]
+
+
+@query("q_autoscope", "SELECT * FROM (VALUES ('genes:1017', 'genes:1017', '_id'), ('o_orderstatus:F', 'F', 'o_orderstatus'), ('5-LOW', '5-LOW', 'o_orderpriority'), ('x:y:z', 'x:y:z', '_id')) v(q, term, scopes)")
 def q_autoscope(spark, d):
-    terms = ["genes:1017", "o_orderstatus:F", "5-LOW", "x:y:z"]
-    rows = [(t, *(lambda r: (r[0], ",".join(r[1])))(Q.autoscope(t, [Q.Pattern(r"(?P<term>\d-\w+)", ("o_orderpriority",))], {"o_orderstatus", "o_orderpriority"}, ("_id",)))) for t in terms]
+    known = {"o_orderstatus", "o_orderpriority"}
+    rows = [(t, *(lambda r: (r[0], ",".join(r[1])))(Q.autoscope(t, Q.patterns_of(_PATTERNS), known, ("_id",)))) for t in _TERMS]
     return spark.createDataFrame(rows, "q string, term string, scopes string")
 
 
-@query("q_user_template")
+@query("q_autoscope_patterns", r"SELECT * FROM (VALUES (0, '(?P<term>\d-\w+)', 'o_orderpriority'), (1, '[a-z]+', 'a,b'), (2, '(?P<scope>\w+):(?P<term>[^:]+)', '')) v(n, regex, scopes)")
+def q_autoscope_patterns(spark, d):
+    given = [(Q.DEFAULT_PATTERN.regex, ()), *_PATTERNS, ("[a-z]+", ["a", "b"])]
+    return spark.createDataFrame([(i, p.regex, ",".join(p.scopes)) for i, p in enumerate(Q.patterns_of(given))], "n int, regex string, scopes string")
+
+
+@query("q_dispatch", "SELECT 'scopes' AS way, o_orderkey AS _id FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'pattern', o_orderkey FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'string', o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
+def q_dispatch(spark, d):
+    docs, fields = _orders(spark, d)
+    plain, auto = Q.Planner(fields), Q.Planner(fields, autoscope=True, patterns=Q.patterns_of(_PATTERNS))
+    ways = {"scopes": plain.predicate("P", ("o_orderstatus",)), "pattern": auto.predicate("5-LOW"), "string": plain.predicate("o_orderstatus:F AND o_totalprice:{300000 TO *]")}
+    return reduce(lambda a, b: a.unionByName(b), [docs.filter(p).select(F.lit(w).alias("way"), "_id") for w, p in ways.items()])
+
+
+@query("u_string_hook", "SELECT o_orderkey AS _id FROM orders WHERE o_orderpriority LIKE '%HIGH'")
+def u_string_hook(spark, d):
+    docs, fields = _orders(spark, d)
+    planner = Q.Planner(fields, string_strategy=lambda q, f: F.col("o_orderpriority").endswith(q.upper()))
+    return _ids(docs.filter(planner.predicate("high")))
+
+
+@query("u_match_hook", "SELECT o_orderkey AS _id FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = 'P'")
+def u_match_hook(spark, d):
+    docs, fields = _orders(spark, d)
+    planner = Q.Planner(fields, match_strategy=lambda q, scopes, f: shaping.any_equal(q, scopes))
+    return _ids(docs.filter(planner.predicate("P", ("o_orderstatus", "o_orderpriority"))))
+
+
+@query("u_adjust_index", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def u_adjust_index(spark, d):
+    t = Tables(spark, d)
+    planner = Q.Planner(Q.Fields(t.nation.schema), table_of=lambda name, q: "region" if q.startswith("r:") else name)
+    first = lambda name: getattr(t, name).select(F.col(getattr(t, name).columns[1]).alias("name"))
+    return first(planner.table("nation", "x")).unionByName(first(planner.table("nation", "r:x")))
+
+
+for _name in ("g_facade_es", "g_es_exec_sync"):
+    query(_name, "SELECT o_orderkey AS _id, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice, o_orderkey LIMIT 15")(
+        lambda spark, d: Q.search(_orders(spark, d)[0], Q.Request(q="o_orderstatus:O", sort=("o_totalprice",), size=15), _orders(spark, d)[1]).select("_id", "o_totalprice")
+    )
+
+
+@query("q_user_template", r"SELECT p_partkey AS _id FROM part WHERE regexp_matches(lower(p_name), '\bsma') OR regexp_matches(lower(p_type), '\bsma')")
 def q_user_template(spark, d):
     docs, fields = _parts(spark, d)
-    template = "p_name:{{q}}* OR p_type:{{q}}*"
-    return _ids(docs.filter(Q.parse(template.replace("{{q}}", "sma"), fields)))
+    return _ids(docs.filter(Q.named_query({"prefix": "p_name:{{q}}* OR p_type:{{q}}*"}, "prefix", {"q": "sma"}, fields)))
 
 
 @query("f_wildcard_value", "SELECT p_partkey AS _id FROM part WHERE p_brand LIKE 'Brand#_3' OR p_type LIKE '%COPPER'")
@@ -126,26 +173,27 @@ def f_biggest_doc(spark, d):
 def f_archived_status(spark, d):
     t = Tables(spark, d)
     jobs = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderstatus").alias("jobs"))
-    docs = t.customer.join(jobs, "c_custkey", "left")
-    busy = F.coalesce(F.exists("jobs", lambda j: j.isin("P", "O")), F.lit(False))
-    return docs.filter(~busy).select("c_custkey")
+    return collections.find(t.customer.join(jobs, "c_custkey", "left"), {"jobs": {"$not": {"$in": ["P", "O"]}}}).select("c_custkey")
 
 
 @query("f_source_regex", "SELECT n_name FROM nation WHERE regexp_full_match(n_name, 'NATION_1.*|NATION_2')")
 def f_source_regex(spark, d):
-    return Tables(spark, d).nation.filter(F.col("n_name").rlike("^(?:NATION_1.*|NATION_2)$")).select("n_name")
+    return catalogue.matching_sources(Tables(spark, d).nation, "n_name", ["NATION_1.*", "NATION_2"]).select("n_name")
 
 
-@query("f_root_sources")
+@query("f_root_sources", "SELECT n_name FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_2')")
 def f_root_sources(spark, d):
     t = Tables(spark, d).nation
     return shaping.root_sources(t.select("n_name"), "n_name", ["!NATION_1", "!NATION_2"])
 
 
-@query("f_id_regex_skip", "SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^Customer#0*[0-4]') THEN c_name ELSE concat('n:', CAST(c_nationkey AS VARCHAR)) END AS _id FROM customer")
+@query("f_id_regex_skip", "SELECT CASE WHEN regexp_matches(c_name, '^Customer#0*[0-4]') THEN c_name ELSE CAST(n_regionkey AS VARCHAR) END AS _id, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def f_id_regex_skip(spark, d):
-    docs = Tables(spark, d).customer
-    return docs.select("c_custkey", F.when(F.col("c_name").rlike("^Customer#0*[0-4]"), F.col("c_name")).otherwise(F.concat(F.lit("n:"), F.col("c_nationkey").cast("string"))).alias("_id"))
+    from quillon.plans.keygraph import convert
+    from quillon.queries.building import _edges
+
+    docs = Tables(spark, d).customer.select(F.col("c_name").alias("_id"), "c_custkey", "c_nationkey")
+    return convert(docs, _edges(spark, d)[2:3], [("nation", "c_nationkey")], ["region"], skip_regex="^Customer#0*[0-4]").select("_id", "c_custkey")
 
 
 # shaping
@@ -171,12 +219,19 @@ def p_flatten(spark, d):
     return shaping.flattened(orders_as_documents(spark, d)).filter(F.col("path").isin("customer.priority.level", "items.flag"))
 
 
-@query("p_traverse")
+_WITH_ITEMS = "FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+_FLAT = " UNION ALL ".join(
+    [f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, '{p}' AS path, CAST({x} AS VARCHAR) AS value {_WITH_ITEMS}" for p, x in (("status", "o_orderstatus"), ("price", "o_totalprice"), ("customer.key", "o_custkey"), ("customer.priority.level", "o_orderpriority"))]
+    + [f"SELECT CAST(o_orderkey AS VARCHAR), 'items.{p}', array_to_string(list({x} ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag), '|') {_ITEMS} GROUP BY o_orderkey" for p, x in (("line", "l_linenumber"), ("part", "l_partkey"), ("qty", "l_quantity"), ("flag", "l_returnflag"))]
+)
+
+
+@query("p_traverse", _FLAT)
 def p_traverse(spark, d):
     return shaping.flattened(orders_as_documents(spark, d))
 
 
-@query("p_flatten_iter")
+@query("p_flatten_iter", _FLAT)
 def p_flatten_iter(spark, d):
     return shaping.flattened(orders_as_documents(spark, d)).orderBy("_id", F.desc("path"))
 
@@ -226,7 +281,7 @@ def p_jmespath(spark, d):
     return docs.select("_id", found.alias("xs")).filter(F.size("xs") > 0).select("_id", F.array_join("xs", ",").alias("parts"))
 
 
-@query("p_jmespath_obj")
+@query("p_jmespath_obj", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderpriority AS level, count(*) AS n {_ITEMS} GROUP BY o_orderkey, o_orderpriority")
 def p_jmespath_obj(spark, d):
     docs = orders_as_documents(spark, d)
     return docs.select("_id", shaping.jmespath(docs, "customer.priority.level").alias("level"), shaping.jmespath(docs, "length(items)").alias("n"))
@@ -238,7 +293,7 @@ def p_result(spark, d):
     return Q.multi_search(docs, ["customer#000000001", "Customer#000000007", "nobody"], ["c_name"], Q.Fields(docs.schema), key="c_custkey")
 
 
-@query("p_mapping")
+@query("p_mapping", "SELECT * FROM (VALUES ('_id', 'string', false), ('status', 'string', false), ('price', 'double', false), ('customer.key', 'bigint', false), ('customer.priority.level', 'string', false), ('items.line', 'int', true), ('items.part', 'bigint', true), ('items.qty', 'double', true), ('items.flag', 'string', true)) v(path, type, is_list)")
 def p_mapping(spark, d):
     return shaping.field_metadata(spark, orders_as_documents(spark, d).schema, prefix="")
 
@@ -271,7 +326,36 @@ def p_make_object(spark, d):
 
 @query("p_compose_dots", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_custkey AS \"customer.key\", o_orderpriority AS \"customer.priority.level\" FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def p_compose_dots(spark, d):
-    return orders_as_documents(spark, d).select("_id", *[F.col(p).alias(p) for p in ("customer.key", "customer.priority.level")])
+    return shaping.dotted(orders_as_documents(spark, d), ["customer.key", "customer.priority.level"])
+
+
+@query("p_hit", f"SELECT CAST(o_orderkey AS VARCHAR) AS _id, 'http://x' AS \"customer._license\", CAST(o_custkey AS VARCHAR) AS \"customer.key\", o_orderpriority AS \"customer.priority.level\", o_orderstatus AS status, '' AS missing, CAST(count(*) AS VARCHAR) AS n {_ITEMS} GROUP BY o_orderkey, o_custkey, o_orderpriority, o_orderstatus")
+def p_hit(spark, d):
+    docs = orders_as_documents(spark, d).withColumns({"_version": F.lit(3), "_score": F.lit(1.5)})
+    options = shaping.HitOptions(score=False, licences=(("customer", "http://x"),), allow_null=("missing",), always_list=("status",), jmespath=(("n", "length(items)"),), dotfield=True)
+    return shaping.format_hits(docs, options).drop("items.line", "items.part", "items.qty", "items.flag", "price")
+
+
+@query("u_hit_hook", "SELECT r_regionkey AS _id, lower(r_name) AS name, r_name AS r_name FROM region")
+def u_hit_hook(spark, d):
+    docs = Tables(spark, d).region.withColumnRenamed("r_regionkey", "_id")
+    return shaping.format_hits(docs, shaping.HitOptions(hook=lambda x: x.withColumn("name", F.lower("r_name")))).select("_id", "name", "r_name")
+
+
+@query("p_mongo_fmt", "SELECT count(*) OVER () AS total, 'gte' AS relation, n_name AS name FROM nation")
+def p_mongo_fmt(spark, d):
+    return shaping.envelope(Tables(spark, d).nation).select(F.col("total.value").alias("total"), "total.relation", F.col("hit.n_name").alias("name"))
+
+
+@query("p_sql_fmt", "SELECT count(*) OVER () AS total, r_regionkey AS key, r_name AS name FROM region")
+def p_sql_fmt(spark, d):
+    hits = shaping.rows_as_documents(["key", "name"], Tables(spark, d).region)
+    return shaping.envelope(hits).select(F.col("total.value").alias("total"), "hit.*")
+
+
+@query("c_format_include", "SELECT n_nationkey, n_name FROM nation")
+def c_format_include(spark, d):
+    return shaping.without(Tables(spark, d).nation, ["n_regionkey"])
 
 
 @query("p_listitems", "SELECT c_custkey, array_to_string([string_split(c_name, '#')[2], string_split(c_name, '#')[1]], ',') AS picked FROM customer")
@@ -312,29 +396,32 @@ def s_scroll(spark, d):
 
 @query("s_fetch_limit", "SELECT c_custkey FROM customer WHERE c_custkey IN (1, 5, 9, 99999999)")
 def s_fetch_limit(spark, d):
-    docs = Tables(spark, d).customer
-    return docs.filter(F.col("c_custkey").isin(1, 5, 9, 99999999)).limit(1001).select("c_custkey")
+    return collections.fetch(Tables(spark, d).customer, [1, 5, 9, 99999999], key="c_custkey").select("c_custkey")
 
 
-@query("s_search")
+@query("s_search", r"SELECT p_partkey AS _id, p_size FROM part WHERE regexp_matches(lower(p_name), '(^|\W)small ring(\W|$)') AND p_size >= 10 ORDER BY p_size, p_partkey LIMIT 30")
 def s_search(spark, d):
     docs, fields = _parts(spark, d)
     return Q.search(docs, Q.Request(q='p_name:"small ring"', filter="p_size:[10 TO *]", sort=("p_size",), size=30), fields).select("_id", "p_size")
 
 
-@query("s_random")
+@query("s_random", "SELECT least(count(*), 10) AS n, true AS known, true AS again FROM orders")
 def s_random(spark, d):
     docs, fields = _orders(spark, d)
-    return Q.search(docs, Q.Request(q="__any__", size=10, seed=3), fields).select("_id")
+    page = lambda seed: Q.search(docs, Q.Request(q="__any__", size=10, seed=seed), fields).select("_id")
+    met = page(3).withColumn("a", F.lit(True)).join(page(3).withColumn("b", F.lit(True)), "_id", "full_outer").join(docs.select("_id", F.lit(True).alias("there")), "_id", "left")
+    whole = lambda c: F.bool_and(F.coalesce(F.col(c), F.lit(False)))
+    return met.agg(F.count("*").alias("n"), whole("there").alias("known"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("again"))
 
 
-@query("s_score")
+@query("s_score", r"""WITH t AS (SELECT doc_id AS _id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents), w AS (SELECT unnest(['the', 'tion', 'worthless']) AS w),
+c AS (SELECT _id, len(ws) AS len, w, len(list_filter(ws, lambda x: x = w)) AS f FROM t, w), g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM t),
+df AS (SELECT w, count(*) FILTER (f > 0) AS df FROM c GROUP BY w)
+SELECT _id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM c JOIN df USING (w), g GROUP BY _id HAVING sum(f) > 0""")
 def s_score(spark, d):
-    return Q.bm25(Tables(spark, d).documents, "text", "the worthless tion", key="doc_id")
+    return Q.bm25(Tables(spark, d).documents, "text", "the worthless tion", key="doc_id").select("_id", F.round("score", 6).alias("score"))
 
 
 @query("s_listsort", "SELECT n_nationkey, n_name, CAST(row_number() OVER (ORDER BY n_name DESC) AS BIGINT) AS rank FROM nation")
 def s_listsort(spark, d):
-    from pyspark.sql import Window
-
-    return Tables(spark, d).nation.select("n_nationkey", "n_name", big(F.row_number().over(Window.orderBy(F.desc("n_name")))).alias("rank"))
+    return catalogue.places(Tables(spark, d).nation, F.desc("n_name"), "rank").select("n_nationkey", "n_name", "rank")

@@ -47,9 +47,8 @@ def test_query_agrees_with_sql(spark, duck, name):
     compare(spark, duck, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns is not None
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
 
 
 def test_entry(spark):
