@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections import Counter
@@ -18,33 +19,44 @@ from quillon.llm.boosting import Boosted, boost
 # The rules of the filter; a host and a path prefix, and what they decide.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# Words of the labelled URLs.
-BAD_WORDS = ("ads", "adult", "bet", "bets", "bonus", "buy", "casino", "cheap", "click", "coin", "crypto", "deal", "discount", "farm", "free", "gain", "hot", "loan", "lotto", "lucky", "meds", "money", "now", "offer", "pills", "poker", "prize", "promo", "sale", "seo", "slots", "spam", "track", "viagra", "vip", "win", "xxx", "x")
-SYLLABLES = ("an", "ar", "at", "ble", "da", "ed", "en", "er", "es", "ha", "he", "in", "ing", "is", "lo", "ly", "ma", "nd", "nt", "on", "or", "ou", "re", "ri", "sh", "st", "ta", "th", "the", "ti", "tion", "ve", "wh")
-SUFFIXES = ("com", "net", "org", "info", "biz", "top", "edu", "gov", "example.com", "example.net", "example.org", "co.uk", "de", "fr", "es")
-SUBDOMAINS = ("", "", "www.", "blog.", "m.", "news.", "docs.")
+# Words of the labelled URLs, of ordinary sites and of those that sell or trick.
+PLAIN_WORDS = """river garden school music paper stone window travel market health science history kitchen forest bridge
+letter summer winter coffee museum village harbour photo theatre library doctor engine farmer painter writer teacher
+planet ocean valley castle corner street silver golden little green north south daily weekly open public""".split()
+SALES_WORDS = """bonus cheap click crypto deals discount dating earn fast fortune gift instant jackpot loans lucky meds million
+money now offer pharma poker premium prize profit promo quick replica rich roulette sale sexy slim slots stream
+super trial viagra vip voucher win""".split()
+SUFFIXES = ("com", "net", "org", "info", "biz", "top", "edu", "gov", "io", "co.uk", "de", "fr", "es", "it")
+SUBDOMAINS = ("", "", "", "www.", "www.", "shop.", "en.")
+CONSONANTS, VOWELS = "bcdfghjklmnprstvw", "aeiou"
 
 #: Labelled URLs of either class that the seed list has.
 SEED_ROWS = 1500
 
 
 def seed_urls(rows: int = SEED_ROWS) -> list[tuple[str, int]]:
-    """(url, 1 if it is to be blocked): a labelled list made by rule from the words above."""
+    """(url, 1 if it is to be blocked): a list labelled by the rule that made it.
+
+    Ordinary hosts are a word or two, or made-up names; the others string sales words together with
+    hyphens and numbers, and their URLs have more parameters.
+    """
     rng = random.Random(11)
-    out = []
+    pick, out = rng.choice, []
     for _ in range(rows):
-        name = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4)))
-        if rng.random() < 0.08:
-            name += "-" + "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 3)))
-        bad = "-".join(rng.choice(BAD_WORDS) for _ in range(rng.choice((2, 2, 2, 3))))
-        if rng.random() < 0.25:
-            bad = bad.replace("-", "", 1) + str(rng.randint(1, 9999)) if rng.random() < 0.5 else bad + str(rng.randint(1, 99))
+        if rng.random() < 0.5:
+            name = "".join(pick(CONSONANTS) + pick(VOWELS) + pick(("", "", *"nrstl")) for _ in range(rng.randint(2, 4)))
+        else:
+            name = pick(("", "", "-")).join(pick(PLAIN_WORDS) for _ in range(pick((1, 2, 2))))
+        sales = [pick(SALES_WORDS) for _ in range(pick((2, 2, 2, 3)))]
+        if rng.random() < 0.2:
+            sales[pick((0, -1))] = pick(PLAIN_WORDS)
+        bad = "-".join(sales) + (str(rng.randint(1, 9999)) if rng.random() < 0.25 else "")
         for host, label in ((name, 0), (bad, 1)):
-            path = "/" + rng.choice(("en", "de", "fr", "es", "blog", "news", "p")) + "/" + str(rng.randint(1, 99999))
-            path += rng.choice(("", "", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"))
+            path = "/" + "/".join(pick(PLAIN_WORDS) for _ in range(rng.randint(0, 2)))
+            path += pick(("", "", f"/{rng.randint(1, 99999)}", f"-{rng.randint(1, 99)}.html", "?id=" + str(rng.randint(1, 999)), "?s=a&page=3", "#notes"))
             if label and rng.random() < 0.3:
-                path += ("&" if "?" in path else "?") + "&".join(f"{rng.choice('abcdefgh')}{i}={rng.randint(100, 10**8)}" for i in range(rng.randint(2, 6)))
-            out.append((f"{rng.choice(('http', 'https'))}://{rng.choice(SUBDOMAINS)}{host}.{rng.choice(SUFFIXES)}{path}", label))
+                path += ("&" if "?" in path else "?") + "&".join(f"{pick('abcdefgh')}{i}={rng.randint(100, 10**8)}" for i in range(rng.randint(2, 6)))
+            out.append((f"{pick(('http', 'https'))}://{pick(SUBDOMAINS)}{host}.{pick(SUFFIXES)}{path}", label))
     return out
 
 
@@ -99,8 +111,16 @@ class UrlModel:
 
 
 def fit(labelled: list[tuple[str, int]] | None = None) -> UrlModel:
-    """Fitted on labelled URLs: the caller's, or the seed list."""
-    rows = labelled or seed_urls()
+    """Fitted on labelled URLs: the caller's, or the seed list, once a process."""
+    return _fit(labelled) if labelled else _fit_seed()
+
+
+@functools.cache
+def _fit_seed() -> UrlModel:
+    return _fit(seed_urls())
+
+
+def _fit(rows: list[tuple[str, int]]) -> UrlModel:
     n, k = Counter(_suffix(u.partition("://")[2].partition("/")[0].lower()) for u, _ in rows), Counter()
     for u, y in rows:
         k[_suffix(u.partition("://")[2].partition("/")[0].lower())] += y
