@@ -23,25 +23,34 @@ def ingest(spark: SparkSession, folder: str, schema, apply: Callable[[DataFrame,
 
 
 class Upserter:
-    """Keeps a collection up to date, batch by batch; each batch is a new version of it.
+    """Keeps a collection up to date, batch by batch, in buckets by key; a batch rewrites the buckets it touches.
 
-    A batch that comes again after a failure writes its version anew, so it counts once.
+    A bucket's newest version is known by its path, so a batch that comes again after a failure
+    starts from what was there before it, and counts once.
     """
 
-    def __init__(self, spark: SparkSession, key: str, order: str, folder: str | None = None):
-        self.spark, self.key, self.order = spark, key, order
+    def __init__(self, spark: SparkSession, key: str, order: str, folder: str | None = None, buckets: int = 64):
+        self.spark, self.key, self.order, self.buckets = spark, key, order, buckets
         self.folder = folder or f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex[:8]}"
-        self.version = -1
+        self.paths: dict[int, str] = {}
+        self.before: dict[int, dict[int, str]] = {}
+        self.schema = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        held = dict(self.before.setdefault(number, self.paths))
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         new = keep_last(batch, self.key, self.order)
-        old = self.read() if self.version >= 0 else None
-        out = new if old is None else update_roots(old, new, self.key)
-        out.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        self.version = number
+        touched = sorted(r["_bucket"] for r in new.select(bucket.alias("_bucket")).distinct().collect())  # ``buckets`` rows
+        old = [held[b] for b in touched if b in held]
+        out = update_roots(self.spark.read.schema(self.schema).parquet(*old), new, self.key) if old else new
+        self.schema = self.schema or out.schema
+        path = f"{self.folder}/v{number}"
+        out.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+        self.paths = held | {b: f"{path}/_bucket={b}" for b in touched}
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+        """The collection as it is after the last batch."""
+        return self.spark.read.schema(self.schema).parquet(*[self.paths[b] for b in sorted(self.paths)])
 
 
 def pending(jobs: DataFrame, state: str) -> DataFrame:

@@ -251,3 +251,18 @@ def test_small_files_become_few(spark, tmp_path):
     spark.range(100).repartition(12).write.parquet(f"{tmp_path}/small")
     out = files.compacted(spark, f"{tmp_path}/small", f"{tmp_path}/large", 1 << 20)
     assert out.count() == 100 and len(out.inputFiles()) == 1
+
+
+def test_upserts_rewrite_the_buckets_they_touch(spark, tmp_path):
+    from quillon.streaming.ingest import Upserter
+
+    keeper = Upserter(spark, "k", "at", str(tmp_path), buckets=8)
+    first = spark.createDataFrame([(i, 0, f"a{i}") for i in range(200)], "k bigint, at bigint, v string")
+    second = spark.createDataFrame([(3, 1, "b"), (3, 2, "c"), (500, 1, "new")], "k bigint, at bigint, v string")
+    keeper(first, 0)
+    kept = dict(keeper.paths)
+    for _ in range(2):  # the second time as after a failure
+        keeper(second, 1)
+        rows = {r["k"]: r["v"] for r in keeper.read().collect()}
+        assert len(rows) == 201 and rows[3] == "c" and rows[500] == "new" and rows[4] == "a4"
+    assert sum(keeper.paths[b] != kept[b] for b in kept) <= 2
