@@ -22,6 +22,8 @@ MIN_DOCS, MIN_LIFT, MIN_CHI = 8, 2.5, 20.0
 #: Share of all tokens that each domain is to have.
 TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 STEPS, TOLERANCE = 40, 1e-7
+#: How much the rates' distance from 1 counts beside the missed targets.
+NEARNESS = 1e-6
 
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
 _MARK = r"[\p{Punct}]+"
@@ -113,44 +115,54 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, max
     return Classifier({d: n[d] / total for d in domains}, edges, bin_gain, gain)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
-    """Steps of projected gradient for min over rates >= 0 of the squared misses of the targets.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> list[float]:
+    """Projected gradient for min over rates >= 0 of the squared misses of the targets; returns u.
 
-    ``members`` has _n and p_<domain>. A rate starts at 1 and after each step is
-    max(0, rate - p . u): u is the gradient in the space of domains, scaled by the
-    second moments of the documents whose rates are not yet 0. Each step is one
-    aggregation of a few sums; the driver sees those sums alone.
+    ``members`` has _n and p_<domain>. The rates are max(0, 1 - p . u): the start, moved against the
+    gradients of all steps, whose sum in the space of domains is u, and projected. A step's
+    gradient is scaled by the second moments of the documents whose rates are not 0, and halved
+    until the objective falls; of the rates that miss the targets least, those nearest to 1 are
+    found (their distance counts with ``NEARNESS``). A step is one aggregation of a few sums, and its
+    expression is as long as the first one's; the driver sees those sums alone.
     """
-    names = [f"p_{d}" for d in domains]
-    steps: list[list[float]] = []
+    names, k = [f"p_{d}" for d in domains], len(domains)
     share = np.array([targets.get(d, 0.0) for d in domains])
-    total = None
-    for _ in range(STEPS):
-        rate = rate_column(names, steps)
-        some = F.when(rate > 0, F.col("_n")).otherwise(0)
-        sums = [F.sum(F.col("_n")).alias("total")]
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """Objective, gradient and second moments at u; None without any token."""
+        rate = rate_column(names, u.tolist())
+        kept = F.when(F.col("_rate") > 0, F.col("_n")).otherwise(0)
+        sums = [F.sum("_n").alias("total"), F.sum(F.col("_n") * F.col("_rate") * F.col("_rate")).alias("square")]
         sums += [F.sum(F.col("_n") * F.col("_rate") * F.col(p)).alias(f"e{i}") for i, p in enumerate(names)]
-        sums += [F.sum(some * F.col(p) * F.col(q)).alias(f"m{i}_{j}") for i, p in enumerate(names) for j, q in enumerate(names) if j >= i]
+        sums += [F.sum(kept * F.col(p) * F.col(q)).alias(f"m{i}_{j}") for i, p in enumerate(names) for j, q in enumerate(names) if j >= i]
         row = members.withColumn("_rate", rate).agg(*sums).first()
-        total = row["total"]
-        if not total:
-            break
-        miss = np.array([row[f"e{i}"] for i in range(len(names))]) / total - share
-        if np.abs(miss).max() < TOLERANCE:
+        if not row["total"]:
+            return None
+        miss = np.array([row[f"e{i}"] for i in range(k)]) / row["total"] - share
+        moments = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / row["total"]
+        return row["square"] / row["total"] / 2 + float(share @ u) + NEARNESS / 2 * float(u @ u), NEARNESS * u - miss, moments
+
+    u = np.zeros(k)
+    here = at(u)
+    for _ in range(STEPS if here else 0):
+        value, gradient, moments = here
+        if np.abs(gradient).max() < TOLERANCE:
             break
-        moments = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))]) / total
-        step = np.linalg.lstsq(moments, miss, rcond=1e-9)[0]
-        if not np.isfinite(step).all() or np.abs(step).max() < 1e-12:
+        step = np.linalg.solve(moments + NEARNESS * np.eye(k), -gradient)
+        slope, scale = float(gradient @ step), 1.0
+        while scale > 1e-6:
+            there = at(u + scale * step)
+            if there[0] <= value + 1e-4 * scale * slope + 1e-15:
+                break
+            scale /= 2
+        else:
             break
-        steps.append([float(x) for x in step])
-    return steps
+        u, here = u + scale * step, there
+    return u.tolist()
 
 
-def rate_column(names: list[str], steps: list[list[float]]) -> Column:
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(p) * x for p, x in zip(names, step, strict=True)), F.lit(0.0)))
-    return rate
+def rate_column(names: list[str], u: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(p) * x for p, x in zip(names, u, strict=True)), F.lit(0.0)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN, keep: list[str] | None = None) -> DataFrame:
@@ -161,7 +173,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     >= 0 can meet it. A null text has no tokens. Labels that are null, or whose document is
     absent, are left out, labels in conflict count as the first domain by name; without
     any label there is one domain, "all", and every rate is 1. Repeated rows are rated alike.
-    Columns of ``docs`` that are named like the new ones give way to them.
+    Columns of ``docs`` that are named like the new ones give way to them; empty tables give an
+    empty result.
     """
     targets = TARGETS if targets is None else targets
     known = fit_classifier(docs, labels, domain)
@@ -177,5 +190,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         return features.select(*back, F.col("_n").alias("n_tokens"), F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"))
     # written once: every step of the fit, and the result, read memberships instead of texts
     members = Table(known.posteriors(features).select(*[a for a, _ in names], "_n", *shares), "members").read()
-    steps = fit_rates(members.select("_n", *shares), domains, targets)
-    return members.select(*back, F.col("_n").alias("n_tokens"), *shares, rate_column(shares, steps).alias("rate"))
+    u = fit_rates(members.select("_n", *shares), domains, targets)
+    return members.select(*back, F.col("_n").alias("n_tokens"), *shares, rate_column(shares, u).alias("rate"))
