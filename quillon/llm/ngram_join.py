@@ -81,36 +81,56 @@ def _order_seeds(orders: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:, :1], seeds[:, 1:]
 
 
-def first_tokens(shingles: np.ndarray, orders: int) -> list[int]:
+def first_tokens(shingles: np.ndarray, orders: int) -> np.ndarray:
     """The set's first token in each random order."""
     flip, factor = _order_seeds(orders)
-    return ((shingles[None, :] ^ flip) * factor).min(axis=1).tolist()
+    return ((shingles[None, :] ^ flip) * factor).min(axis=1)
 
 
-def paths(shingles: np.ndarray, runs: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
-    """All paths of three steps that the set goes along, in all runs.
+def _orders_of(runs: int, similarity: float) -> int:
+    few, more = _branching(similarity)
+    return (few + (more > 0)) * runs + ORDERS
+
+
+def paths_of(first: np.ndarray, runs: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Set and steps of all paths of three steps that the sets go along, in all runs.
 
-    A node's children are chosen with tokens sampled by the node: the first ones in random
-    orders of all tokens, 1 / similarity on average. Two sets share a child of an order with the
-    probability of their Jaccard similarity. The roots have orders of their own.
+    ``first`` has a row for each set: its first token in each order. A node's children are chosen
+    with tokens sampled by the node: the first ones in random orders of all tokens, 1 / similarity
+    on average. Two sets share a child of an order with the probability of their Jaccard
+    similarity. The roots have orders of their own.
     """
     few, more = _branching(similarity)
     width = few + (more > 0)
-    base, bar, out = width * runs, int(more * (1 << 24)), []
-    first = first_tokens(shingles, base + ORDERS)
+    base, bar = width * runs, np.uint64(int(more * (1 << 24)))
+    u = np.uint64
+
+    def children(row: np.ndarray, node: np.ndarray, orders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The parent's place and the child, parent by parent."""
+        many = few + ((hashing.mix(node ^ u(0xA5A5)) & u(0xFFFFFF)) < bar)
+        at = np.repeat(np.arange(len(node)), many)
+        i = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        o = np.stack(orders, axis=1)[at, i]
+        return at, hashing.mix(node[at] ^ hashing.mix(first[row[at], o] + o.astype(np.uint64)))
+
+    def drawn(node: np.ndarray) -> list[np.ndarray]:
+        return [(u(base) + node // u(ORDERS**i) % u(ORDERS)).astype(np.int64) for i in range(width)]
+
+    run = np.tile(np.arange(runs), len(first))
+    row = np.repeat(np.arange(len(first)), runs)
+    roots = hashing.mix(np.arange(SEED, SEED + runs, dtype=np.uint64))[run]
+    at, a = children(row, roots, [i * runs + run for i in range(width)])
+    row = row[at]
+    at, b = children(row, a, drawn(a))
+    row, a = row[at], a[at]
+    at, c = children(row, b, drawn(b))
+    return row[at], np.stack([a[at], b[at], c], axis=1)
 
-    def children(node: int, orders: list[int]) -> list[int]:
-        many = few + (_mix1(node ^ 0xA5A5) & 0xFFFFFF < bar)
-        return [_mix1(node ^ _mix1(first[o] + o)) for o in orders[:many]]
 
-    def drawn(node: int) -> list[int]:
-        return [base + node // ORDERS**i % ORDERS for i in range(width)]
-
-    for r in range(runs):
-        for a in children(_mix1(SEED + r), [i * runs + r for i in range(width)]):
-            for b in children(a, drawn(a)):
-                out += [(a, b, c) for c in children(b, drawn(b))]
-    return out
+def paths(shingles: np.ndarray, runs: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """The paths of one set."""
+    _, steps = paths_of(first_tokens(shingles, _orders_of(runs, similarity))[None, :], runs, similarity)
+    return [tuple(x) for x in steps.tolist()]
 
 
 PATHS = "c1 long, c2 long, did long, k1 long, k2 long, paths binary"
@@ -120,15 +140,25 @@ LINKS = "c1 long, c2 long, links long, b1 long, b2 long"
 
 
 def _emit_paths(n: int, runs: int, similarity: float):
+    orders = _orders_of(runs, similarity)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, hashes, rows = batch.column("text").cast(pa.large_binary()), [], []
+            text, hashes, first, some = batch.column("text").cast(pa.large_binary()), [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(text[i].as_py(), n)
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                rows.append(np.array(paths(s, runs, similarity), np.uint64).tobytes() if len(s) else b"")
+                if len(s):
+                    some.append(i)
+                    first.append(first_tokens(s, orders))
+            packed = [b""] * batch.num_rows
+            if some:
+                row, steps = paths_of(np.stack(first), runs, similarity)
+                ends = np.searchsorted(row, np.arange(len(some) + 1))
+                for k, i in enumerate(some):
+                    packed[i] = steps[ends[k] : ends[k + 1]].tobytes()
             c = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), *(batch.column(x) for x in ("did", "k1", "k2")), pa.array(rows, pa.binary())], names=["c1", "c2", "did", "k1", "k2", "paths"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), *(batch.column(x) for x in ("did", "k1", "k2")), pa.array(packed, pa.binary())], names=["c1", "c2", "did", "k1", "k2", "paths"])
 
     return emit
 
