@@ -199,8 +199,22 @@ def _send_sets(n: int, block: int):
     return send
 
 
-def similar(sets: list[np.ndarray], threshold: float, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs x < y whose Jaccard similarity reaches the threshold."""
+def _blocks_of(size: np.ndarray, rows: int, tokens: int) -> np.ndarray:
+    """Where blocks of neighbouring sets start and end: of at most so many rows, and tokens unless one set has more."""
+    ends, cuts, at = np.cumsum(size), [0], 0
+    while at < len(size):
+        before = int(ends[at - 1]) if at else 0
+        at = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + tokens, "right"))))
+        cuts.append(at)
+    return np.array(cuts)
+
+
+def similar(sets: list[np.ndarray], threshold: float, block: int = 128, tokens: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs x < y whose Jaccard similarity reaches the threshold.
+
+    Blocks of sets are multiplied as matrices over the tokens of one of them; ``block`` and
+    ``tokens`` bound a matrix, whatever the sets' sizes.
+    """
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), size)
     _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -209,25 +223,26 @@ def similar(sets: list[np.ndarray], threshold: float, block: int = 128) -> Itera
     least = np.zeros(len(held), np.int64)
     least[held > 1] = np.arange((held > 1).sum())
     token = least[token]
-    starts = np.searchsorted(row, np.arange(0, len(sets) + block, block))
+    cuts = _blocks_of(np.bincount(row, minlength=len(sets)), block, tokens)
+    starts = np.searchsorted(row, cuts)
 
-    def dense(k: int, tokens: np.ndarray) -> np.ndarray:
+    def dense(k: int, known: np.ndarray) -> np.ndarray:
         lo, hi = starts[k], starts[k + 1]
-        at = np.searchsorted(tokens, token[lo:hi])
-        ok = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == token[lo:hi])
-        out = np.zeros((min(block, len(sets) - k * block), len(tokens)), np.float32)
-        out[row[lo:hi][ok] - k * block, at[ok]] = 1
+        at = np.searchsorted(known, token[lo:hi])
+        ok = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == token[lo:hi])
+        out = np.zeros((cuts[k + 1] - cuts[k], len(known)), np.float32)
+        out[row[lo:hi][ok] - cuts[k], at[ok]] = 1
         return out
 
-    for a in range(len(starts) - 1):
-        tokens = np.unique(token[starts[a] : starts[a + 1]])
-        if not len(tokens):
+    for a in range(len(cuts) - 1):
+        known = np.unique(token[starts[a] : starts[a + 1]])
+        if not len(known):
             continue
-        left = dense(a, tokens)
-        for b in range(a, len(starts) - 1):
-            both = (left @ dense(b, tokens).T).astype(np.int64) if b != a else (left @ left.T).astype(np.int64)
+        left = dense(a, known)
+        for b in range(a, len(cuts) - 1):
+            both = (left @ (left if b == a else dense(b, known)).T).astype(np.int64)
             x, y = np.nonzero(both)
-            x, y, inter = x + a * block, y + b * block, both[x, y]
+            x, y, inter = x + cuts[a], y + cuts[b], both[x, y]
             ok = (x < y) & (inter >= threshold * (size[x] + size[y] - inter) - 1e-9)
             if ok.any():
                 yield x[ok], y[ok]
