@@ -53,7 +53,11 @@ def ranges_of(df: DataFrame) -> int:
 
 def splitters(sample: DataFrame, columns: list[str], ranges: int) -> np.ndarray:
     """Sorted rows of ``columns``, all long, that part the sample into ranges of about one size."""
-    got = sample.select(*columns).orderBy(F.xxhash64(*columns)).limit(SAMPLED * ranges).collect()
+    held = Table(sample.select(*columns), "sample")
+    n = held.read().count()
+    share = max(1, n // (SAMPLED * ranges))  # about SAMPLED rows a range come to the driver
+    got = held.read().filter(F.pmod(F.xxhash64(*columns), F.lit(share)) == 0).collect()
+    held.drop()
     rows = np.array([tuple(r) for r in got], np.int64).reshape(-1, len(columns))
     rows = rows[np.lexsort(rows.T[::-1])]
     return rows[np.arange(1, ranges) * len(rows) // ranges] if len(rows) else rows

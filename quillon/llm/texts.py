@@ -44,10 +44,17 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return own.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), k1.alias("k1"), k2.alias("k2"))
 
 
-def few(docs: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` random rows, to choose splitters from; results do not depend on them."""
-    n = docs.count()
-    return docs if n <= rows else docs.sample(fraction=rows / n, seed=17)
+def few(docs: DataFrame, rows: int, text: str | None = None) -> DataFrame:
+    """About ``rows`` random rows, to choose splitters from; results do not depend on them.
+
+    With ``text`` longer texts are likelier to be there, so that what one of them repeats is seen.
+    """
+    if text is None:
+        n = docs.count()
+        return docs if n <= rows else docs.sample(fraction=rows / n, seed=17)
+    size = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    n, mean = docs.agg(F.count("*"), F.avg(size)).first()
+    return docs if n <= rows or not mean else docs.filter(F.rand(17) < size * (rows / n / mean))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
