@@ -1,4 +1,13 @@
-"""From raw documents to a training mix: five stages, each one of the operators."""
+"""From raw documents to a training mix: five stages, each one of the operators.
+
+Every stage takes all its predecessor kept. Null and empty texts are documents: they score as
+empty texts, have no line, link or benchmark item, and of those without words one stays. Rows
+that repeat an id or have none are documents by their texts; of rows that repeat wholly one is left
+by ``near_duplicates``. Of ties the smallest doc_id stays. Extra columns are carried along,
+whatever their names, but for those that ``mixing`` adds. Empty tables give empty ones.
+Line dedup comes before near-duplicates, as asked: later copies reach that stage without the
+lines that they share, so part of them is already gone or no longer near.
+"""
 
 from __future__ import annotations
 
@@ -54,8 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again as the next one's documents."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages, each written as Parquet and read again as the next one's documents.
+
+    A stage's table goes when the next one is written; the last one stays, the result reads it.
+    """
+    docs, held = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Table(stage(spark, docs, sf_dir), name).read()
+        after = Table(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            held.drop()
+        docs, held = after.read(), after
     return docs
