@@ -140,6 +140,29 @@ def _database(spark):
     return f"{folder.removeprefix('file:').replace('///', '/').replace('//', '/')}/{uuid.uuid4().hex[:8]}.sqlite"
 
 
+def _in_sqlite(spark, df, key="_id"):
+    """The path of an SQLite file whose table ``docs`` has the rows."""
+    path = _database(spark)
+    stores.write_sqlite(df, path, "docs", key=key)
+    return path
+
+
+_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+_TYPES = {"name": "name VARCHAR(60)", "seg": "seg VARCHAR(60)", "s_name": "s_name VARCHAR(60)", "document": "document VARCHAR(200)", "r_name": "r_name VARCHAR(60)"}
+
+
+def _in_jdbc(spark, df):
+    """The URL of an in-memory database whose table ``docs`` has the rows."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex[:8]};create=true"
+    stores.write_jdbc(df.coalesce(1), url, "docs", ", ".join(_TYPES[c] for c in df.columns if c in _TYPES), **_DERBY)
+    return url
+
+
+def _from_jdbc(spark, url, wanted=None, table="docs"):
+    return stores.scan_jdbc(spark, url, table, wanted, **_DERBY)
+
+
 @query("scan_sqlite", "SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE '%7' AND s_nationkey > 3 ORDER BY s_suppkey LIMIT 20 OFFSET 1")
 def scan_sqlite(spark, d):
     from quillon.functions.scalars import matches_glob
@@ -162,12 +185,8 @@ def scan_sqlite_v2(spark, d):
 
 @query("scan_pg", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
 def scan_pg(spark, d):
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex[:8]};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    rows = Tables(spark, d).supplier.select("s_suppkey", "s_name", F.to_json(F.struct("s_nationkey")).alias("document"))
-    stores.write_jdbc(rows, url, "docs", "s_name VARCHAR(60), document VARCHAR(200)", **driver)
-    names = lambda df: df.toDF(*[c.lower() for c in df.columns])
-    return collections.find_in_json(names(stores.scan_jdbc(spark, url, "docs", **driver)), "document", {"s_nationkey": 3}).select("s_suppkey", "s_name")
+    url = _in_jdbc(spark, Tables(spark, d).supplier.select("s_suppkey", "s_name", F.to_json(F.struct("s_nationkey")).alias("document")))
+    return collections.find_in_json(_from_jdbc(spark, url), "document", {"s_nationkey": 3}).select("s_suppkey", "s_name")
 
 
 @query("scan_mongo", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 500 OFFSET 100")
@@ -199,9 +218,15 @@ def _listed(spark, d):
     return Tables(spark, d).orders.filter("o_totalprice > 450000").select(F.col("o_custkey").alias("_id"))
 
 
-for _name in ("mget_ids", "verify_overlap", "mget_mongo", "g_es_backend_mget", "g_idx_mget", "g_sqlite_idsearch"):
+for _name in ("mget_ids", "verify_overlap", "mget_mongo", "g_es_backend_mget", "g_idx_mget"):
     query(_name, f"SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey IN ({_LISTED})")(lambda spark, d: load.only_ids(_customers(spark, d), _listed(spark, d)).select("_id", "name"))
 
+@query("g_sqlite_idsearch", f"SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey IN ({_LISTED})")
+def g_sqlite_idsearch(spark, d):
+    path = _in_sqlite(spark, _customers(spark, d).select("_id", "name"))
+    return load.only_ids(stores.scan_sqlite(spark, path, "docs"), _listed(spark, d))
+
+
 for _name in ("mexists_ids", "g_idx_mexists"):
     query(_name, f'SELECT k AS _id, EXISTS (SELECT 1 FROM customer WHERE c_custkey = k AND c_custkey % 2 = 0) AS "exists" FROM ({_LISTED})')(lambda spark, d: load.exists_flags(_listed(spark, d).distinct(), _customers(spark, d).filter("_id % 2 = 0")))
 
@@ -264,21 +289,62 @@ for _name, _dir in (("store_ignore_nobatch", "first"), ("g_unique_docs", "last")
     query(_name, f"SELECT _id, kind, pos FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY pos {'DESC' if _dir == 'last' else 'ASC'}) AS rn FROM ({_EV})) WHERE rn = 1")((lambda keep: lambda spark, d: keep(_events(spark, d), "_id", "pos").select("_id", "kind", "pos"))(load.keep_last if _dir == "last" else load.keep_first))
 
 _REPLACED = _BOTH + "SELECT coalesce(n._id, o._id) AS _id, CASE WHEN n._id IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN n._id IS NOT NULL THEN n.bal ELSE o.bal END AS bal, CASE WHEN n._id IS NOT NULL THEN n.seg ELSE o.seg END AS seg FROM o FULL JOIN n ON o._id = n._id"
-for _name in ("store_upsert", "sink_index_bulk", "sink_pg_replace", "g_sqlite_save", "g_sqlite_replace", "g_es_hub_replace"):
+def _replaced_in_sqlite(spark, d):
+    path = _in_sqlite(spark, _customers(spark, d))
+    stores.write_sqlite(_newer(spark, d), path, "docs", key="_id", replace=True)
+    return stores.scan_sqlite(spark, path, "docs")
+
+
+def _replaced_in_jdbc(spark, d):
+    old = _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).drop("seg")))
+    return _from_jdbc(spark, _in_jdbc(spark, load.upsert(old, _newer(spark, d).drop("seg"))))
+
+
+for _name in ("g_sqlite_save", "g_sqlite_replace"):
+    query(_name, _REPLACED)(_replaced_in_sqlite)
+query("sink_pg_replace", f"SELECT _id, name, bal FROM ({_REPLACED})")(_replaced_in_jdbc)
+for _name in ("store_upsert", "sink_index_bulk", "g_es_hub_replace"):
     query(_name, _REPLACED)(lambda spark, d: load.upsert(_customers(spark, d), _newer(spark, d)))
 
 _SET = _BOTH + "SELECT coalesce(o._id, n._id) AS _id, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal, coalesce(n.seg, o.seg) AS seg FROM o {} JOIN n ON o._id = n._id"
-for _name, _how in (("sink_update", "LEFT"), ("sink_update_docs", "FULL"), ("sink_merge_task", "FULL"), ("g_mem_update", "LEFT"), ("g_es_update", "FULL"), ("sink_sqlite_update", "FULL"), ("sink_pg_update", "LEFT")):
+for _name, _how in (("sink_update", "LEFT"), ("sink_update_docs", "FULL"), ("sink_merge_task", "FULL"), ("g_mem_update", "LEFT"), ("g_es_update", "FULL")):
     query(_name, _SET.format(_how))((lambda insert: lambda spark, d: load.update_roots(_customers(spark, d), _newer(spark, d), insert=insert))(_how == "FULL"))
 
 
+@query("sink_sqlite_update", _SET.format("FULL"))
+def sink_sqlite_update(spark, d):
+    path = _in_sqlite(spark, _customers(spark, d))
+    stores.write_sqlite(load.update_roots(stores.scan_sqlite(spark, path, "docs"), _newer(spark, d)), path, "updated", key="_id")
+    return stores.scan_sqlite(spark, path, "updated")
+
+
+@query("sink_pg_update", _SET.format("LEFT"))
+def sink_pg_update(spark, d):
+    old = _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d)))
+    return _from_jdbc(spark, _in_jdbc(spark, load.update_roots(old, _newer(spark, d), insert=False)))
+
+
 @query("sink_update_diff", _BOTH + "SELECT o._id, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal, coalesce(n.seg, o.seg) AS seg FROM o LEFT JOIN n ON o._id = n._id WHERE o._id % 5 <> 0 UNION ALL SELECT * FROM n WHERE _id NOT IN (SELECT _id FROM o)")
 def sink_update_diff(spark, d):
     old, new = _customers(spark, d), _newer(spark, d)
     return load.apply_diff(old, new, new, old.filter("_id % 5 = 0"))
 
 
-for _name in ("sink_remove_ids", "g_sqlite_remove", "g_pg_remove", "g_es_hub_remove", "g_id_cache"):
+@query("g_sqlite_remove", f"SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey NOT IN ({_LISTED})")
+def g_sqlite_remove(spark, d):
+    path = _in_sqlite(spark, _customers(spark, d).select("_id", "name"))
+    stores.delete_rows(path, "docs", "_id", _listed(spark, d).distinct())
+    return stores.scan_sqlite(spark, path, "docs")
+
+
+@query("g_pg_remove", "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def g_pg_remove(spark, d):
+    url = _in_jdbc(spark, _customers(spark, d))
+    stores.run_jdbc(spark, url, """DELETE FROM docs WHERE "seg" = 'BUILDING'""")
+    return _from_jdbc(spark, url).select("_id", "name")
+
+
+for _name in ("sink_remove_ids", "g_es_hub_remove", "g_id_cache"):
     query(_name, f"SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey NOT IN ({_LISTED})")(lambda spark, d: load.remove_ids(_customers(spark, d), _listed(spark, d)).select("_id", "name"))
 
 
@@ -398,12 +464,12 @@ def g_sqlite_bulk(spark, d):
 
 @query("g_sqlite_count", "SELECT count(*) AS n FROM customer")
 def g_sqlite_count(spark, d):
-    return collections.count(_customers(spark, d))
+    return collections.count(stores.scan_sqlite(spark, _in_sqlite(spark, _customers(spark, d).select("_id", "name")), "docs"))
 
 
 @query("g_pg_count", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0")
 def g_pg_count(spark, d):
-    return collections.count(_customers(spark, d), {"bal": {"$gt": 0}})
+    return collections.count(_from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).select("_id", "bal"))), {"bal": {"$gt": 0}})
 
 
 @query("a_count", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -416,8 +482,22 @@ def a_build_stats(spark, d):
     return collections.count(_customers(spark, d), name="total")
 
 
-for _name in ("g_sqlite_findone", "g_pg_findone", "g_es_get"):
-    query(_name, "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey = 7")(lambda spark, d: collections.find_one(_customers(spark, d), 7).select("_id", "name"))
+_SEVENTH = "SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey = 7"
+
+
+@query("g_sqlite_findone", _SEVENTH)
+def g_sqlite_findone(spark, d):
+    return stores.scan_sqlite(spark, _in_sqlite(spark, _customers(spark, d).select("_id", "name")), "docs", {"_id": 7}).limit(1)
+
+
+@query("g_pg_findone", _SEVENTH)
+def g_pg_findone(spark, d):
+    return _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).select("_id", "name")), {"_id": 7}).limit(1)
+
+
+@query("g_es_get", _SEVENTH)
+def g_es_get(spark, d):
+    return collections.find_one(_customers(spark, d), 7).select("_id", "name")
 
 
 @query("g_es_exists", 'SELECT count(*) > 0 AS "exists" FROM customer WHERE c_custkey = 7')
@@ -456,15 +536,26 @@ def g_unique_ids(spark, d):
     return collections.id_counts(_events(spark, d))
 
 
-for _name in ("g_sqlite_rename", "g_pg_rename", "g_es_alias"):
+@query("g_sqlite_rename", "SELECT r_regionkey, r_name FROM region")
+def g_sqlite_rename(spark, d):
+    path = _in_sqlite(spark, Tables(spark, d).region.select(big("r_regionkey").alias("r_regionkey"), "r_name"), "r_regionkey")
+    stores.rename_table(path, "docs", "regions")
+    return stores.scan_sqlite(spark, path, "regions").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
 
-    def _rename(spark, d, name=_name):
-        c = Collection(spark, f"{name}_before")
-        c.write(Tables(spark, d).region)
-        c.rename(f"{name}_after")
-        return spark.table(f"{name}_after")
+@query("g_pg_rename", "SELECT * FROM region")
+def g_pg_rename(spark, d):
+    url = _in_jdbc(spark, Tables(spark, d).region)
+    stores.run_jdbc(spark, url, "RENAME TABLE docs TO regions")
+    return _from_jdbc(spark, url, table="regions")
 
-    query(_name, "SELECT * FROM region")(_rename)
+
+@query("g_es_alias", "SELECT * FROM region")
+def g_es_alias(spark, d):
+    c = Collection(spark, "alias_before")
+    c.write(Tables(spark, d).region)
+    c.rename("alias_after")
+    return spark.table("alias_after")
 
 
 @query("g_shelve_find", "SELECT c_custkey AS _id, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")

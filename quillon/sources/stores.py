@@ -125,6 +125,29 @@ def write_sqlite(df: DataFrame, path: str, table: str, key: str | None = None, r
     return n
 
 
+def delete_rows(path: str, table: str, key: str, ids: DataFrame) -> int:
+    """Removes the rows of listed ids (the first column) from a table of an SQLite file."""
+    n = 0
+    with sqlite3.connect(path) as db:
+        for row in ids.toLocalIterator():
+            n += db.execute(f"DELETE FROM {quoted(table)} WHERE {quoted(key)} = ?", [row[0]]).rowcount
+    return n
+
+
+def rename_table(path: str, table: str, name: str) -> None:
+    with sqlite3.connect(path) as db:
+        db.execute(f"ALTER TABLE {quoted(table)} RENAME TO {quoted(name)}")
+
+
+def run_jdbc(spark: SparkSession, url: str, sql: str) -> int:
+    """A statement that returns no rows, on the driver's connection; the number of rows it changed."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        return connection.createStatement().executeUpdate(sql)
+    finally:
+        connection.close()
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, wanted: dict | None = None, **options: str) -> DataFrame:
     """A table of a database; equalities, and what is filtered later, reach it as predicates."""
     out = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -140,8 +163,9 @@ def json_query(table: str, wanted: dict, document: str = "document") -> str:
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, types: str, mode: str = "append", **options: str) -> None:
-    """Rows into a table of a database; ``types`` are its column types."""
-    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, createTableColumnTypes=types, batchsize=str(BATCH), **options).save()
+    """Rows into a table of a database; ``types`` are types of its columns, where not Spark's own."""
+    made = {"createTableColumnTypes": types} if types else {}
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(BATCH), **made, **options).save()
 
 
 def scan_connector(spark: SparkSession, connector: str, **options: str) -> DataFrame:
