@@ -59,7 +59,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class WordCodes(dict):
     """64 bits of XXH3 for each word; a memo of bounded size."""
 
-    SIZE = 1 << 19
+    SIZE = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.SIZE:

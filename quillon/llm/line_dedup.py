@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import ordering
-from quillon.llm.texts import NO_ID, few, keyed, with_keys
+from quillon.llm.texts import NO_ID, few, keyed, parts, with_keys
 
 #: Code points that a key needs to count; rows that splitters are sampled from.
 MIN_KEY, SAMPLE_ROWS = 10, 3000
@@ -89,7 +89,7 @@ def _make_bitmaps(with_hash: bool):
 def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """k1, k2 and the line numbers that go, for rows that lose lines."""
     keys, ties = ["h1", "h2"], ["did", "k1", "k2", "line"]
-    sample = keyed(few(docs, SAMPLE_ROWS), doc_id, text)
+    sample = keyed(few(docs, SAMPLE_ROWS, text), doc_id, text)
     lines = ordering.emitted(keyed(docs, doc_id, text), _emit_lines(min_key), LINES, keys, ties, sample)
     marked, _ = ordering.equal_groups(lines, keys, ["did", "k1", "k2"], [2], "lines")
     first = (F.col("did") == F.col("h2_did")) & ((F.col("did") != NO_ID) | ((F.col("k1") == F.col("h2_k1")) & (F.col("k2") == F.col("h2_k2"))))
@@ -117,7 +117,7 @@ def line_dedup(docs: DataFrame, min_key: int = MIN_KEY, doc_id: str = "doc_id",
 
 def _keep_text(at: int, width: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, b.schema.names[at])):
             dropped, values = batch.column(width), batch.column(at).to_pylist()
             for i, value in enumerate(values):
                 if dropped[i].is_valid and value:

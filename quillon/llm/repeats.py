@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import hashing, ordering
 from quillon.llm.storage import Table, tidy
-from quillon.llm.texts import buffers, few, keyed
+from quillon.llm.texts import buffers, few, keyed, parts
 
 #: Units that are hashed at once; it bounds the memory of a step, not its input.
 CHUNK = 1 << 19
@@ -180,7 +180,7 @@ def _runs_of(units: Units, length: int, gram: int) -> Iterator[tuple[np.ndarray,
 
 def _emit_runs(unit: str, length: int, gram: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "text")):
             units = UNITS[unit](*buffers(batch.column("text")))
             k1, k2 = ordering.numbers(batch, "k1"), ordering.numbers(batch, "k2")
             for row, s0, size, ah, r1, r2 in _runs_of(units, length, gram):
@@ -278,7 +278,7 @@ def _cut(unit: str, length: int, gram: int):
     schema = _arrow(CUT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "payload")):
             k1, k2, lo, is_open = (ordering.numbers(batch, x) for x in ("k1", "k2", "lo", "open"))
             units = UNITS[unit](*buffers(batch.column("payload")))
             for row, s0, size, ah, r1, r2 in _runs_of(units, length, gram):
@@ -294,7 +294,7 @@ def _emit_windows(unit: str, length: int):
     schema = _arrow(WINDOWS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "payload")):
             ah, k1, k2, lo, is_open = (ordering.numbers(batch, x) for x in ("ah", "k1", "k2", "lo", "open"))
             units = UNITS[unit](*buffers(batch.column("payload")))
             for row, s0 in windows_of(units, length):
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, matcher:
     spark = docs.sparkSession
     base = keyed(docs, doc_id, text)
     keys, ties = ["ah", "r1", "r2"], ["k1", "sp"]
-    runs = ordering.emitted(base, _emit_runs(unit, length, gram), RUNS, keys, ties, keyed(few(docs, SAMPLE_ROWS), doc_id, text))
+    runs = ordering.emitted(base, _emit_runs(unit, length, gram), RUNS, keys, ties, keyed(few(docs, SAMPLE_ROWS, text), doc_id, text))
     shared, tables = ordering.equal_groups(runs, keys, ["k1"], [1, 3], "runs")
     # 1: repeats as a whole; 2: that too, and stands for its content in a group with others; 3: open
     kind = F.when(F.col("n1") == F.col("n3"), 1).when(F.col("n3") == 1, 3).when(F.col("k1") == F.col("h3_k1"), 2).otherwise(1)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.cluster import shared_folder
+from quillon.cluster import shared_folder, small_batches
 
 
 class Table:
@@ -16,7 +16,8 @@ class Table:
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with small_batches(self.spark):
+            df.write.parquet(self.path)
         tidy(self.spark)
 
     def read(self) -> DataFrame:
@@ -28,6 +29,10 @@ class Table:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files whose plans are no longer referenced."""
+    """Let Spark remove shuffle files whose plans are no longer referenced.
+
+    Its cleaner acts on what the collector of the driver has found dead, which without a hint
+    comes too late for the disk of a run of many steps. It takes some hundredths of a second.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()

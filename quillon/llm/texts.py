@@ -7,6 +7,8 @@ that is there several times. ``did`` orders rows: the doc_id, or the largest lon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,3 +68,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if column.null_count:
         ends = np.where(column.is_null().to_numpy(zero_copy_only=False), starts, ends)
     return np.frombuffer(data or b"", np.uint8), starts, ends
+
+
+def parts(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of a column, so that what is made of them stays small."""
+    _, starts, ends = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
