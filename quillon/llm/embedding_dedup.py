@@ -36,7 +36,7 @@ RECALL, TRIALS, MAX_SETS = 0.9999, 4000, 24
 #: Vectors of a shard's block; a larger shard is searched block pair by block pair.
 BLOCK = 1024
 #: Neighbours kept by pruning, candidates for them, long-range neighbours, and the search's beam steps.
-DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 16, 40, 4, 12, 1.2
+DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 16, 40, 4, 4, 1.2
 #: The search goes on from vectors within this multiple of the threshold's angle.
 REACH = 1.25
 #: Vectors that are held against all others, and the recall that has to be seen there.
@@ -245,18 +245,20 @@ def robust_pruned_lists(unit: np.ndarray) -> np.ndarray:
         some = np.argpartition(away, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(away, axis=1)[:, :k]
         some = np.take_along_axis(some, np.argsort(np.take_along_axis(away, some, 1), axis=1, kind="stable"), 1)
         near[lo : lo + 256], distance[lo : lo + 256] = some, np.take_along_axis(away, some, 1)
-    alive = np.ones(near.shape, bool)
+    alive, at = np.ones(near.shape, bool), np.arange(m)
+    between = np.zeros((m, k, k), np.float32)  # distances of a vector's candidates from each other
+    for lo in range(0, m, 256):
+        held = unit[near[lo : lo + 256]].astype(np.float32)
+        between[lo : lo + 256] = np.sqrt(np.maximum(0.0, 2 - 2 * (held @ held.transpose(0, 2, 1))))
+    between[:, np.arange(k), np.arange(k)] = 0
     for r in range(min(DEGREE, k)):
-        some = np.flatnonzero(alive.any(1))
-        if not len(some):
+        some = alive.any(1)
+        if not some.any():
             break
-        first = alive[some].argmax(1)
-        p = near[some, first]
-        picked[some, r] = p
-        between = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("id,ikd->ik", unit[p], unit[near[some]])))
-        between[near[some] == p[:, None]] = 0
-        alive[some] &= ALPHA * between > distance[some]
-        alive[some, first] = False
+        first = alive.argmax(1)
+        picked[some, r] = near[some, first[some]]
+        alive &= ALPHA * between[at, first] > distance
+        alive[at, first] = False
     return picked
 
 
@@ -312,7 +314,8 @@ def range_search(unit: np.ndarray, links: list[np.ndarray], threshold: float, be
     """Which vectors each one finds within the threshold, in a graph of lists and their reverse.
 
     Greedy steps from the medoid and the vector's own place, then the range expands from all that
-    lies within ``reach`` times the threshold's angle. Cosines are computed for what is met alone.
+    lies within ``reach`` times the threshold's angle. Cosines are computed for what is met alone,
+    in single precision, and in double precision where they come near the threshold.
     """
     m = len(unit)
     rng = np.random.default_rng(seed)
@@ -326,24 +329,24 @@ def range_search(unit: np.ndarray, links: list[np.ndarray], threshold: float, be
     edge_of, edge_to = np.nonzero(graph)
     first = np.searchsorted(edge_of, np.arange(m + 1))
     wide = math.cos(min(math.pi, reach * math.acos(min(1.0, max(-1.0, threshold)))))
-    rows = np.arange(m)
-    cosine = np.full((m, m), -3.0)  # of what has been met
+    rows, short = np.arange(m), unit.astype(np.float32)
+    cosine = np.full((m, m), -3.0, np.float32)  # of what has been met
 
     def meet(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Looks at the neighbours of x for the queries q; returns the new pairs as places in the matrix."""
         size = first[x + 1] - first[x]
         to = edge_to[np.repeat(first[x] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        flat = np.unique(np.repeat(q, size) * m + to)
-        flat = flat[cosine.ravel()[flat] == -3.0]
-        for lo in range(0, len(flat), 1 << 16):
-            part = flat[lo : lo + (1 << 16)]
-            cosine.ravel()[part] = np.einsum("id,id->i", unit[part // m], unit[part % m])
+        flat = np.repeat(q, size) * m + to
+        flat = np.unique(flat[cosine.ravel()[flat] == -3.0])
+        for lo in range(0, len(flat), 1 << 15):
+            part = flat[lo : lo + (1 << 15)]
+            cosine.ravel()[part] = np.einsum("id,id->i", short[part // m], short[part % m])
         return flat
 
     medoid = int((unit @ unit.sum(0)).argmax())
-    cosine[:, medoid] = unit @ unit[medoid]
-    cosine[rows, rows] = np.einsum("id,id->i", unit, unit)
-    waiting = np.full((m, m), -3.0)
+    cosine[:, medoid] = short @ short[medoid]
+    cosine[rows, rows] = 1.0
+    waiting = np.full((m, m), -3.0, np.float32)
     waiting[rows, rows] = cosine[rows, rows]
     waiting[:, medoid] = cosine[:, medoid]
     done = np.zeros((m, m), bool)
@@ -363,7 +366,11 @@ def range_search(unit: np.ndarray, links: list[np.ndarray], threshold: float, be
         for lo in range(0, len(q), 1 << 16):
             done[q[lo : lo + (1 << 16)], x[lo : lo + (1 << 16)]] = True
             meet(q[lo : lo + (1 << 16)], x[lo : lo + (1 << 16)])
-    found = cosine >= threshold
+    found = np.zeros((m, m), bool)
+    q, x = np.nonzero(cosine >= threshold - 1e-4)
+    for lo in range(0, len(q), 1 << 15):
+        i, j = q[lo : lo + (1 << 15)], x[lo : lo + (1 << 15)]
+        found[i, j] = np.einsum("id,id->i", unit[i], unit[j]) >= threshold
     found |= found.T
     np.fill_diagonal(found, False)
     return found
