@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.cluster import ship
 from quillon.llm import hashing
+from quillon.llm.storage import Table
+from quillon.llm.texts import parts
 
 #: Bytes in a gram; edits allowed for a byte of a probe; bytes in a probe, and from one to the next.
 GRAM, EDIT_RATE, PROBE, STRIDE = 10, 0.08, 160, 80
@@ -18,6 +20,8 @@ GRAM, EDIT_RATE, PROBE, STRIDE = 10, 0.08, 160, 80
 EXCERPT, EXCERPT_STRIDE = 80, 8
 #: Benchmark text that is sent to the executors at once; a larger benchmark comes in blocks.
 BLOCK_BYTES = 4 << 20
+#: Blocks that are searched in one pass over the texts; after it the marks are written out.
+BLOCKS_A_PASS = 4
 #: Document text that is looked at in one go; longer texts overlap from piece to piece.
 CHUNK = 1 << 20
 _BITS = 22
@@ -196,7 +200,7 @@ def _mark(items: list[tuple[int | None, bytes]]):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cache:
             cache.append(Index(items, LONG + SHORT))
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "_text")):
             at = {n: i for i, n in enumerate(batch.schema.names)}
             found = _found_items(cache[0], batch.column(at["_text"]).to_pylist())
             before = batch.column(at["item_ids"]).to_pylist()
@@ -225,7 +229,13 @@ def with_items(docs: DataFrame, benchmark: DataFrame, columns: list, block_bytes
     """``columns`` of docs, and ``item_ids``: the benchmark items found in each text."""
     ship(docs.sparkSession)
     own = docs.select(*columns, F.col("text").cast("string").alias("_text"), F.array().cast("array<bigint>").alias("item_ids"))
-    for block in _blocks(benchmark, block_bytes):  # one pass over the texts, and no shuffle, for all blocks
+    held = None
+    for n, block in enumerate(_blocks(benchmark, block_bytes)):  # no shuffle; the driver holds one pass's blocks
+        if n and n % BLOCKS_A_PASS == 0:
+            after = Table(own, "marks")
+            if held is not None:
+                held.drop()
+            own, held = after.read(), after
         own = own.mapInArrow(_mark(block), own.schema)
     return own.drop("_text")
 
@@ -241,7 +251,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     diagonals that differ by no more than 2 e, so only regions are aligned whose band, of
     bands that overlap by half, has that many. Null and empty texts, and items under
     ``GRAM`` bytes, match nothing; repeated rows are judged alike; a repeated or null
-    item_id is listed once.
+    item_id is listed once. An empty benchmark marks nothing, empty documents give an empty
+    result; other columns are not looked at, whatever their names.
     """
     marked = with_items(docs, benchmark, [F.col("doc_id").cast("long").alias("doc_id")])
     return marked.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")

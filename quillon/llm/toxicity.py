@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.cluster import ship
 from quillon.llm.storage import Table
+from quillon.llm.texts import parts
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the smallest hashes.
 MAX_ROWS_A_CLASS = 5000
@@ -41,9 +42,11 @@ IDENTITY_GROUPS = (
     ("musulmanes", "cristianos", "judíos"),
     ("muslime", "christen", "juden"),
 )
-SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, term in enumerate(group)}
+#: Each term's partners: all others of its group.
+PARTNERS = {term: tuple(t for t in group if t != term) for group in IDENTITY_GROUPS for term in group}
 
 _WORD = re.compile(r"\w+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -55,10 +58,24 @@ def features_of(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
+def swaps_of(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """The words of each sentence that has an identity term, and those with the term swapped for each of its partners."""
+    out = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = set(_WORD.findall(sentence))
+        for term in sorted(words & PARTNERS.keys()):
+            out += [(words, words - {term} | {other}) for other in PARTNERS[term]]
+    return out
+
+
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = ["\n".join(sorted(words_of(t))) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column("toxic")], names=["words", "toxic"])
+    """The words of each text, and those of its sentences' swaps, before and after."""
+    join = lambda words: " ".join(sorted(words))
+    for batch in (p for b in batches for p in parts(b, "text")):
+        texts = batch.column("text").to_pylist()
+        swaps = [swaps_of(t) for t in texts]
+        sides = [pa.array([[join(s[k]) for s in x] for x in swaps], pa.list_(pa.string())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([join(words_of(t)) for t in texts], pa.string()), *sides, batch.column("toxic")], names=["words", "before", "after", "toxic"])
 
 
 def held_out_column(doc_id: str = "doc_id") -> F.Column:
@@ -79,14 +96,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
         picked = some if picked is None else picked.unionByName(some)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = text.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 2 * limit rows at most
-    return met.mapInArrow(_word_lists, "words string, toxic int")
+    return met.mapInArrow(_word_lists, "words string, before array<string>, after array<string>, toxic int")
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, k = Counter(), Counter()
         for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = features_of(set(words.split("\n")) - {""})
+            found = features_of(set(words.split()))
             n.update(found)
             if toxic:
                 k.update(found)
@@ -95,16 +112,16 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _known_features(at: dict[str, int]):
-    """Numbers of the features that each row holds, as it is and with identity terms swapped."""
+    """Numbers of the features that each row holds, and of its swaps."""
 
-    def pack(words: set[str]) -> bytes:
-        return np.array(sorted(at[f] for f in features_of(words) if f in at), np.int32).tobytes()
+    def pack(words: str) -> bytes:
+        return np.array(sorted(at[f] for f in features_of(set(words.split())) if f in at), np.int32).tobytes()
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set(x.split("\n")) - {""} for x in batch.column("words").to_pylist()]
-            swapped = [None if SWAP.keys().isdisjoint(w) else pack({SWAP.get(x, x) for x in w}) for w in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([pack(w) for w in sets], pa.binary()), pa.array(swapped, pa.binary())], names=["toxic", "own", "swapped"])
+            own = pa.array([pack(w) for w in batch.column("words").to_pylist()], pa.binary())
+            sides = [pa.array([[pack(w) for w in x] for x in batch.column(c).to_pylist()], pa.list_(pa.binary())) for c in ("before", "after")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), own, *sides], names=["toxic", "own", "before", "after"])
 
     return known
 
@@ -122,23 +139,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _solve(y: np.ndarray, own: list[bytes], swapped: list[bytes | None], d: int, swap_penalty: float) -> tuple[np.ndarray, float]:
-    """Logistic regression whose loss also has the squared score change under identity swaps."""
+def _solve(y: np.ndarray, own: list[bytes], before: list[bytes], after: list[bytes], d: int, swap_penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression whose loss also has the mean squared change of a sentence's score under identity swaps."""
 
-    def matrix(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        size = [len(x or b"") // 4 for x in rows]
-        return np.repeat(np.arange(len(rows)), size), np.frombuffer(b"".join(x or b"" for x in rows), np.int32)
+    def matrix(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows]), np.frombuffer(b"".join(rows), np.int32)
 
-    n, base, has = len(y), y.mean(), sum(s is not None for s in swapped)
-    ri, ci = matrix(own)
-    (a_r, a_c), (b_r, b_c) = matrix([o if s is not None else None for o, s in zip(own, swapped, strict=True)]), matrix(swapped)
+    n, base, has = len(y), y.mean(), len(before)
+    (ri, ci), (a_r, a_c), (b_r, b_c) = matrix(own), matrix(before), matrix(after)
     w, b, m, v = np.zeros(d), math.log(base / (1 - base)), np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, STEPS + 1):  # Adam, over all rows at once
         z = b + np.bincount(ri, w[ci], n)
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.bincount(ci, err[ri], d) + RIDGE * w
         if has:
-            change = (np.bincount(a_r, w[a_c], n) - np.bincount(b_r, w[b_c], n)) * (2 * swap_penalty / has)
+            change = (np.bincount(a_r, w[a_c], has) - np.bincount(b_r, w[b_c], has)) * (2 * swap_penalty / has)
             grad += np.bincount(a_c, change[a_r], d) - np.bincount(b_c, change[b_r], d)
         g = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -148,7 +163,11 @@ def _solve(y: np.ndarray, own: list[bytes], swapped: list[bytes | None], d: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS_A_CLASS, swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Features are chosen by counts over all training rows; the driver gets the chosen ones alone."""
+    """Features are chosen by counts over all training rows; the driver gets the chosen ones alone.
+
+    A null text is an empty one; labels that are null, or without a document, are left out; labels in
+    conflict count as toxic; without rows of both classes every text has one score.
+    """
     ship(docs.sparkSession)
     table = Table(_training_rows(docs, labels, limit), "toxicity")
     rows = table.read()
@@ -161,19 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS_A_CLASS, swap_
     z = F.abs(F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
     chosen = counts.withColumn("z", z).filter((F.col("n") >= MIN_DOCS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     names = [r.feature for r in chosen.collect()]
-    names += sorted(SWAP.keys() - set(names))
+    names += sorted(PARTNERS.keys() - set(names))
     at = {f: i for i, f in enumerate(names)}
-    got = rows.mapInArrow(_known_features(at), "toxic int, own binary, swapped binary").collect()
-    got.sort(key=lambda r: (r.toxic, bytes(r.own), bytes(r.swapped or b"")))  # so that sums do not depend on tasks
+    got = rows.mapInArrow(_known_features(at), "toxic int, own binary, before array<binary>, after array<binary>").collect()  # 2 * limit rows at most
     table.drop()
-    swapped = [None if r.swapped is None else bytes(r.swapped) for r in got]
-    w, b = _solve(np.array([r.toxic for r in got], float), [bytes(r.own) for r in got], swapped, len(at), swap_penalty)
+    got.sort(key=lambda r: (r.toxic, bytes(r.own)))  # so that sums do not depend on tasks
+    pairs = sorted((bytes(x), bytes(y)) for r in got for x, y in zip(r.before, r.after, strict=True))
+    w, b = _solve(np.array([r.toxic for r in got], float), [bytes(r.own) for r in got], [x for x, _ in pairs], [y for _, y in pairs], len(at), swap_penalty)
     return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, b)
 
 
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "_toxic_text")):
             at = batch.schema.get_field_index("_toxic_text")
             scores = pa.array([model.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             rest = [i for i in range(batch.num_columns) if i != at]
@@ -194,10 +213,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _keep_clean(model: Model):
+def _keep_clean(model: Model, at: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
+        for batch in (p for b in batches for p in parts(b, b.schema.names[at])):
+            good = [model.score(t) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return keep
@@ -206,4 +225,5 @@ def _keep_clean(model: Model):
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all its columns, without the rows whose score is 0.5 or more."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_keep_clean(model), docs.schema)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(_keep_clean(model, docs.columns.index("text")), plain.schema).toDF(*docs.columns)

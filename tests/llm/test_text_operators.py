@@ -309,7 +309,7 @@ def test_recall_of_paths_of_three_steps(similarity, common, own):
     assert found >= 1485 - 12  # 0.99 within three standard deviations
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8)))
     items = [" ".join(word() for _ in range(n)) for n in (12, 20, 45, 60)] + ["tiny", None, ""]
@@ -321,8 +321,10 @@ def test_decontamination(spark):
     got = {r["doc_id"]: r["item_ids"] for r in decontamination.find_contamination(_docs(spark, texts), bench).collect()}
     assert got == {0: [], 1: [10], 2: [11, None], 3: [12], 4: [13], 5: [], 6: [], 7: [13], 8: []}
     assert sorted(r["doc_id"] for r in decontamination.without_contaminated(_docs(spark, texts), bench).collect()) == [0, 5, 6, 8]
-    small = decontamination.with_items(_docs(spark, texts), bench, ["doc_id"], block_bytes=50)
-    assert {r["doc_id"]: r["item_ids"] for r in small.collect()} == got
+    for blocks in (4, 1):  # several passes
+        monkeypatch.setattr(decontamination, "BLOCKS_A_PASS", blocks)
+        small = decontamination.with_items(_docs(spark, texts), bench, ["doc_id"], block_bytes=50)
+        assert {r["doc_id"]: r["item_ids"] for r in small.collect()} == got
 
 
 def _edit_distance_within(probe: bytes, text: bytes) -> int:
@@ -425,6 +427,13 @@ def test_identity_terms_that_go_with_labels_lose_their_weight(spark):
     assert gap(fair) <= gap(plain) and fair.score("the men idiot") >= 0.5
 
 
+def test_sentences_are_swapped_for_every_partner():
+    got = toxicity.swaps_of("The women met. Nothing here!\nA gay man, too")
+    women = {"the", "women", "met"}
+    assert got[:3] == [(women, {"the", other, "met"}) for other in ("men", "girls", "boys")]
+    assert len(got) == 3 + 4 + 3 and all(len(a ^ b) == 2 for a, b in got) and toxicity.swaps_of(None) == []
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     good, poor = ["lorem", "ipsum", "dolor", "sit", "amet"], ["x9", "q7", "##", "zz", "buy"]
@@ -449,11 +458,9 @@ def test_rates_are_the_least_squares_solution(spark):
     n, p = rng.integers(1, 50, 200), rng.dirichlet([0.3, 0.3, 0.3], 200)
     members = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "_n long, p_a double, p_b double, p_c double")
     targets = {"a": 0.9, "b": 0.1, "c": 0.0}
-    steps = mixing.fit_rates(members, ["a", "b", "c"], targets)
-    rate = np.ones(200)
-    for s in steps:
-        rate = np.maximum(0, rate - p @ np.array(s))
-    held = members.withColumn("r", mixing.rate_column(["p_a", "p_b", "p_c"], steps)).agg(F.sum(F.col("r") * F.col("_n") * F.col("p_a"))).first()[0]
+    u = mixing.fit_rates(members, ["a", "b", "c"], targets)
+    rate = np.maximum(0, 1 - p @ np.array(u))
+    held = members.withColumn("r", mixing.rate_column(["p_a", "p_b", "p_c"], u)).agg(F.sum(F.col("r") * F.col("_n") * F.col("p_a"))).first()[0]
     assert abs(held - (rate * n * p[:, 0]).sum()) < 1e-6
     slow = np.ones(200)
     for _ in range(30_000):  # plain projected gradient, for comparison
@@ -461,3 +468,18 @@ def test_rates_are_the_least_squares_solution(spark):
         slow = np.maximum(0, slow - 0.3 * p @ miss)
     loss = lambda r: float((((r * n) @ p / n.sum() - np.array([0.9, 0.1, 0.0])) ** 2).sum())
     assert (rate >= 0).all() and loss(rate) <= loss(slow) + 1e-6
+    met = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.5, "b": 0.3, "c": 0.2})  # targets that can be met
+    rate = np.maximum(0, 1 - p @ np.array(met))
+    assert np.abs((rate * n) @ p / n.sum() - np.array([0.5, 0.3, 0.2])).max() < 1e-5
+
+
+def test_similar_sets_in_blocks_of_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 400, n)) for n in (3, 40, 40, 200, 1)]
+    sets = [np.unique(np.append(base[i % 5], rng.integers(0, 400, i % 3))).astype(np.uint64) for i in range(60)]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    for block, tokens in ((128, 1 << 15), (7, 1 << 15), (128, 90), (1, 1)):
+        got = [(x, y) for xs, ys in ngram_join.similar(sets, 0.8, block, tokens) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
