@@ -44,8 +44,8 @@ CHUNK = 1 << 19
 SPAN = 1 << 12
 #: Rows of an anchor's group that one task compares; larger groups are cut, with the same result.
 WHOLE = 384
-#: Bytes of units that are compared at once.
-HELD = 1 << 21
+#: Bytes of units that are compared at once; a byte takes some hundred of memory.
+HELD = 1 << 19
 #: Rows that splitters are sampled from.
 SAMPLE_ROWS = 3000
 
@@ -374,8 +374,8 @@ def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, matcher:
     ordering.drop(tables)
 
     sent = step.read().filter("kind = 2").select("ah", "k1", "k2", F.col("s0").alias("lo"), "open", "n", "payload")
-    stretches = _open_stretches(sent, unit, length, gram, matcher)
-    stretches = stretches.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    found = Table(_open_stretches(sent, unit, length, gram, matcher), "stretches")
+    stretches = found.read().groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     waiting = step.read().filter("kind = 1").select("doc_id", "text", "cover", "k1", "k2")
     ended = waiting.join(stretches, ["k1", "k2"], "left").select("doc_id", "text", "cover", "found")
     done = step.read().filter("kind = 0").select(*[c.split()[0] for c in DONE.split(", ")])
