@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import ordering
-from quillon.llm.texts import NO_ID, few, keyed, parts, with_keys
+from quillon.llm.texts import NO_ID, few, keyed, with_keys
 
 #: Code points that a key needs to count; rows that splitters are sampled from.
 MIN_KEY, SAMPLE_ROWS = 10, 3000
@@ -115,24 +115,16 @@ def line_dedup(docs: DataFrame, min_key: int = MIN_KEY, doc_id: str = "doc_id",
     return out if with_hash else out.drop("kept_sha256")
 
 
-def _keep_text(at: int, width: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in parts(b, b.schema.names[at])):
-            dropped, values = batch.column(width), batch.column(at).to_pylist()
-            for i, value in enumerate(values):
-                if dropped[i].is_valid and value:
-                    gone = set(dropped[i].as_py())
-                    values[i] = "\n".join(x for j, x in enumerate(value.split("\n")) if j not in gone)
-            arrays = [pa.array(values, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:width])
-
-    return keep
-
-
 def without_repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
-    """``docs``, all its columns, with the lines gone that ``line_dedup`` drops."""
+    """``docs``, all its columns, with the lines gone that ``line_dedup`` drops.
+
+    The rest of a text is put together by built-in functions: whole rows do not go through Python.
+    """
     own, width = with_keys(docs), len(docs.columns)
-    plain = own.columns[:width]
-    met = own.join(dropped_lines(docs, min_key), ["k1", "k2"], "left").select(*plain, "dropped")
-    kept = met.mapInArrow(_keep_text(docs.columns.index("text"), width), met.select(*plain).schema)
-    return kept.toDF(*docs.columns)
+    met = own.join(dropped_lines(docs, min_key), ["k1", "k2"], "left")
+    name = f"_c{docs.columns.index('text')}"
+    lines = F.split(name, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), "dropped")
+    rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")
+    text = F.when(F.col("dropped").isNotNull(), rest).otherwise(F.col(name)).cast(docs.schema["text"].dataType)
+    return met.select(*[text.alias(name) if c == name else F.col(c) for c in own.columns[:width]]).toDF(*docs.columns)

@@ -213,17 +213,17 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _keep_clean(model: Model, at: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in parts(b, b.schema.names[at])):
-            good = [model.score(t) < 0.5 for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+def _score_column(model: Model):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) for i in range(0, len(texts), 500) for t in texts.slice(i, 500).to_pylist()], pa.float64())
 
-    return keep
+    return score
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all its columns, without the rows whose score is 0.5 or more."""
     ship(docs.sparkSession)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(_keep_clean(model, docs.columns.index("text")), plain.schema).toDF(*docs.columns)
+    text = F.col(f"_c{docs.columns.index('text')}").cast("string")  # the only column that Python gets
+    return plain.filter(_score_column(model)(text) < 0.5).toDF(*docs.columns)
