@@ -146,6 +146,9 @@ class Index:
                 if key in found:
                     continue
                 at, size = int(start[rows[0]]), int(m[rows[0]])
+                # the lemma's grams are different ones of the probe, at different places of the text
+                if min(len(np.unique(off[rows])), len(np.unique(pos[rows]))) < self.need[size]:
+                    continue
                 probe, e = self.texts[key[0]][at : at + size], int(self.edits[size])
                 # where the probe's own start would be
                 a = max(int(starts[key[1]]), int(diagonal[rows].min()) + at - e)
@@ -249,7 +252,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     budget of some stretch of the text; so is any ``EXCERPT`` bytes copied word for word. By the
     q-gram lemma such a stretch shares at least m + 1 - q (e + 1) q-grams with the probe on
     diagonals that differ by no more than 2 e, so only regions are aligned whose band, of
-    bands that overlap by half, has that many. Null and empty texts, and items under
+    bands that overlap by half, has that many different ones at different places. Null and empty texts, and items under
     ``GRAM`` bytes, match nothing; repeated rows are judged alike; a repeated or null
     item_id is listed once. An empty benchmark marks nothing, empty documents give an empty
     result; other columns are not looked at, whatever their names.
