@@ -132,12 +132,12 @@ def uncompress_all(spark, d):
     return plain.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-def _database(spark):
-    """The path of a new SQLite file in the shared folder."""
+def _database(spark, kind="sqlite"):
+    """The path of a new SQLite file or Derby database in the shared folder."""
     folder = shared_folder(spark)
     if not folder.startswith(("file:", "/")):
-        raise ValueError("SQLite files need a shared folder that is mounted")
-    return f"{folder.removeprefix('file:').replace('///', '/').replace('//', '/')}/{uuid.uuid4().hex[:8]}.sqlite"
+        raise ValueError("SQLite files and Derby databases need a shared folder that is mounted")
+    return f"{folder.removeprefix('file:').replace('///', '/').replace('//', '/')}/{uuid.uuid4().hex[:8]}.{kind}"
 
 
 def _in_sqlite(spark, df, key="_id"):
@@ -147,7 +147,7 @@ def _in_sqlite(spark, df, key="_id"):
     return path
 
 
-_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+_DERBY = {"driver": stores.DERBY}
 _TYPES = {"name": "name VARCHAR(60)", "seg": "seg VARCHAR(60)", "s_name": "s_name VARCHAR(60)", "document": "document VARCHAR(200)", "r_name": "r_name VARCHAR(60)"}
 
 
@@ -159,6 +159,14 @@ def _in_jdbc(spark, df):
     return url
 
 
+def _in_derby(spark, df, *changes):
+    """The URL of a Derby database whose table ``docs`` had the rows before the statements."""
+    url = stores.create_derby(df, _database(spark, "derby"), "docs")
+    for sql in changes:
+        stores.run_jdbc(spark, url, sql)
+    return stores.publish_derby(spark, url)
+
+
 def _from_jdbc(spark, url, wanted=None, table="docs"):
     return stores.scan_jdbc(spark, url, table, wanted, **_DERBY)
 
@@ -469,7 +477,7 @@ def g_sqlite_count(spark, d):
 
 @query("g_pg_count", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0")
 def g_pg_count(spark, d):
-    return collections.count(_from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).select("_id", "bal"))), {"bal": {"$gt": 0}})
+    return collections.count(_from_jdbc(spark, _in_derby(spark, _customers(spark, d).select("_id", "bal"))), {"bal": {"$gt": 0}})
 
 
 @query("a_count", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")

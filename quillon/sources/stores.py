@@ -3,15 +3,20 @@
 SQLite comes as a Python data source, read in ranges of rows with simple filters sent to the
 database; its file has to lie where all executors see it. JDBC needs the database's driver on
 the class path. Other stores (MongoDB, Elasticsearch) are read with their own Spark connectors,
-by ``scan_connector``, where those are installed.
+by ``scan_connector``, where those are installed. Derby has no server here: the driver alone fills and
+changes a database of its own, and executors read what it published.
 """
 
 from __future__ import annotations
 
 import json
+import shutil
 import sqlite3
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,6 +173,51 @@ def write_jdbc(df: DataFrame, url: str, table: str, types: str, mode: str = "app
     df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(BATCH), **made, **options).save()
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+_DERBY_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "boolean": "BOOLEAN", "double": "DOUBLE", "float": "REAL", "date": "DATE", "string": "VARCHAR(32672)"}
+
+
+def create_derby(df: DataFrame, path: str, table: str) -> str:
+    """The URL of a new Derby database in the folder ``path`` whose table has the rows.
+
+    An embedded database is open in one process at a time, so it is the driver that fills it: executors
+    write files beside it, on a file system that the driver has mounted, and the database imports them one
+    by one. Texts are up to 32,672 characters, numbers finite; others are an error.
+    """
+    spark, lines = df.sparkSession, f"{path}-lines"
+    quote = F.lit('"')
+    fields = [F.concat(quote, F.replace(c, quote, F.lit('""')), quote) if t == "string" else F.col(c).cast("string") for c, t in df.dtypes]
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    spark._jvm.java.lang.Class.forName(DERBY)
+    url = f"jdbc:derby:{path}"
+    columns = ", ".join(f"{quoted(c)} {_DERBY_TYPES[t]}" for c, t in df.dtypes)
+    try:
+        df.select(F.concat_ws(",", *(F.coalesce(f, F.lit("")) for f in fields)).alias("value")).write.text(f"file://{lines}")
+        run_jdbc(spark, f"{url};create=true", "CALL SYSCS_UTIL.SYSCS_SET_DATABASE_PROPERTY('derby.storage.pageSize', '4096')")  # else 32 KB for long texts, a thousand pages in memory
+        run_jdbc(spark, url, f"CREATE TABLE {table} ({columns})")
+        for part in sorted(Path(lines).glob("part-*")):
+            if part.stat().st_size:
+                run_jdbc(spark, url, f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, {literal(table.upper())}, {literal(part)}, ',', '\"', 'UTF-8', 0)")
+    finally:
+        shutil.rmtree(lines, ignore_errors=True)
+    return url
+
+
+def publish_derby(spark: SparkSession, url: str) -> str:
+    """Closes a database of ``create_derby`` for good; the URL of a copy that any number of processes read at once."""
+    path = Path(url.removeprefix("jdbc:derby:"))
+    try:
+        spark._jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # a database says so when it has shut down
+            raise
+    with zipfile.ZipFile(f"{path}.jar", "w") as archive:  # stored, not deflated: pages are read from their places
+        for file in sorted(x for x in path.rglob("*") if x.is_file() and x.relative_to(path).parts[0] != "tmp"):
+            archive.write(file, f"db/{file.relative_to(path)}")
+    shutil.rmtree(path)
+    return f"jdbc:derby:jar:({path}.jar)db"
+
+
 def scan_connector(spark: SparkSession, connector: str, **options: str) -> DataFrame:
     """A store by its Spark connector, such as ``mongodb`` or ``es``."""
     return spark.read.format(connector).options(**options).load()

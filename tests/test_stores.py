@@ -6,6 +6,7 @@ import datetime as dt
 import sqlite3
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -91,6 +92,22 @@ def test_sqlite(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_derby(spark, tmp_path):
+    texts = [None, "", " ", " a ", 'a"b', '"', "a,b", "x\ny", "x\r\ny\r", "\n", "\\n", "'", "NULL", "\t", "x\x00y", "ü€😀", "y" * 32672]
+    df = spark.createDataFrame([(i, t, None if i % 3 else i / 7, None if i % 4 else i) for i, t in enumerate(texts)] + [(-(2**63), "low", 1e300, -(2**31)), (None, None, None, None)], "_id bigint, name string, x double, n int")
+    url = stores.create_derby(df, str(tmp_path / "a.derby"), "docs")
+    assert stores.run_jdbc(spark, url, """DELETE FROM docs WHERE "name" = 'low'""") == 1
+    url = stores.publish_derby(spark, url)
+    assert [x.name for x in tmp_path.iterdir()] == ["a.derby.jar"]
+    back = stores.scan_jdbc(spark, url, "docs", driver=stores.DERBY)
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.filter("name IS NULL OR name <> 'low'").collect()), key=str)
+    assert stores.scan_jdbc(spark, url, "docs", {"_id": 7}, driver=stores.DERBY).first()["name"] == texts[7]
+    with pytest.raises(Py4JJavaError, match="read-only"):
+        stores.run_jdbc(spark, url, "DELETE FROM docs")
+    with pytest.raises(Py4JJavaError, match="outside the range"):
+        stores.create_derby(df.select(F.lit(float("nan")).alias("x")), str(tmp_path / "b.derby"), "docs")
+
+
 def test_sql_of_json_documents():
     assert stores.json_query("t", {"name": "o'hara", "n": 3}) == """SELECT * FROM "t" WHERE "document" ->> 'name' = 'o''hara' AND "document" ->> 'n' = '3'"""
 
