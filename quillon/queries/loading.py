@@ -500,7 +500,7 @@ def g_sqlite_findone(spark, d):
 
 @query("g_pg_findone", _SEVENTH)
 def g_pg_findone(spark, d):
-    return _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).select("_id", "name")), {"_id": 7}).limit(1)
+    return _from_jdbc(spark, _in_derby(spark, _customers(spark, d).select("_id", "name")), {"_id": 7}).limit(1)
 
 
 @query("g_es_get", _SEVENTH)
