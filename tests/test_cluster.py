@@ -12,7 +12,7 @@ from test_oracles import DATA, compare, duck  # noqa: F401
 from quillon.registry import ORACLES
 
 ROOT = Path(__file__).resolve().parent.parent
-NAMES = ["g_pg_count", "g_pg_findone"]
+NAMES = ["g_pg_count", "g_pg_findone", "g_pg_remove"]
 RUN = """
 import sys
 from pyspark.sql import SparkSession
@@ -49,3 +49,16 @@ def test_query_agrees_with_sql_on_a_cluster(spark, duck, written, name):  # noqa
     folder, said = written
     assert (folder / name / "_SUCCESS").exists(), said
     compare(spark, duck, lambda s, d: s.read.parquet(f"{folder}/{name}"), ORACLES[name])
+
+
+def test_removal_tells_nulls_and_blanks_apart(spark, tmp_path):
+    import duckdb
+
+    from quillon.registry import QUERIES
+
+    rows = [(1, "a", 1, 0.5, "BUILDING"), (2, "b", 1, 0.5, "BUILDING "), (3, "c", 1, 0.5, None), (4, None, 1, None, "building"), (5, "", None, 0.5, "")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = QUERIES["g_pg_remove"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(connection.sql(ORACLES["g_pg_remove"]).fetchall())
