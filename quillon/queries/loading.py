@@ -552,8 +552,7 @@ def g_sqlite_rename(spark, d):
 
 @query("g_pg_rename", "SELECT * FROM region")
 def g_pg_rename(spark, d):
-    url = _in_jdbc(spark, Tables(spark, d).region)
-    stores.run_jdbc(spark, url, "RENAME TABLE docs TO regions")
+    url = _in_derby(spark, Tables(spark, d).region, "RENAME TABLE docs TO regions")
     return _from_jdbc(spark, url, table="regions")
 
 
