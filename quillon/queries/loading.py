@@ -193,7 +193,7 @@ def scan_sqlite_v2(spark, d):
 
 @query("scan_pg", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
 def scan_pg(spark, d):
-    url = _in_jdbc(spark, Tables(spark, d).supplier.select("s_suppkey", "s_name", F.to_json(F.struct("s_nationkey")).alias("document")))
+    url = _in_derby(spark, Tables(spark, d).supplier.select("s_suppkey", "s_name", F.to_json(F.struct("s_nationkey")).alias("document")))
     return collections.find_in_json(_from_jdbc(spark, url), "document", {"s_nationkey": 3}).select("s_suppkey", "s_name")
 
 
