@@ -304,8 +304,8 @@ def _replaced_in_sqlite(spark, d):
 
 
 def _replaced_in_jdbc(spark, d):
-    old = _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d).drop("seg")))
-    return _from_jdbc(spark, _in_jdbc(spark, load.upsert(old, _newer(spark, d).drop("seg"))))
+    old = _from_jdbc(spark, _in_derby(spark, _customers(spark, d).drop("seg")))
+    return _from_jdbc(spark, _in_derby(spark, load.upsert(old, _newer(spark, d).drop("seg"))))
 
 
 for _name in ("g_sqlite_save", "g_sqlite_replace"):
