@@ -148,15 +148,6 @@ def _in_sqlite(spark, df, key="_id"):
 
 
 _DERBY = {"driver": stores.DERBY}
-_TYPES = {"name": "name VARCHAR(60)", "seg": "seg VARCHAR(60)", "s_name": "s_name VARCHAR(60)", "document": "document VARCHAR(200)", "r_name": "r_name VARCHAR(60)"}
-
-
-def _in_jdbc(spark, df):
-    """The URL of an in-memory database whose table ``docs`` has the rows."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url = f"jdbc:derby:memory:d{uuid.uuid4().hex[:8]};create=true"
-    stores.write_jdbc(df.coalesce(1), url, "docs", ", ".join(_TYPES[c] for c in df.columns if c in _TYPES), **_DERBY)
-    return url
 
 
 def _in_derby(spark, df, *changes):
@@ -328,8 +319,8 @@ def sink_sqlite_update(spark, d):
 
 @query("sink_pg_update", _SET.format("LEFT"))
 def sink_pg_update(spark, d):
-    old = _from_jdbc(spark, _in_jdbc(spark, _customers(spark, d)))
-    return _from_jdbc(spark, _in_jdbc(spark, load.update_roots(old, _newer(spark, d), insert=False)))
+    old = _from_jdbc(spark, _in_derby(spark, _customers(spark, d)))
+    return _from_jdbc(spark, _in_derby(spark, load.update_roots(old, _newer(spark, d), insert=False)))
 
 
 @query("sink_update_diff", _BOTH + "SELECT o._id, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal, coalesce(n.seg, o.seg) AS seg FROM o LEFT JOIN n ON o._id = n._id WHERE o._id % 5 <> 0 UNION ALL SELECT * FROM n WHERE _id NOT IN (SELECT _id FROM o)")

@@ -12,7 +12,7 @@ from test_oracles import DATA, compare, duck  # noqa: F401
 from quillon.registry import ORACLES
 
 ROOT = Path(__file__).resolve().parent.parent
-NAMES = ["g_pg_count", "g_pg_findone", "g_pg_remove", "g_pg_rename", "scan_pg", "sink_pg_replace"]
+NAMES = ["g_pg_count", "g_pg_findone", "g_pg_remove", "g_pg_rename", "scan_pg", "sink_pg_replace", "sink_pg_update"]
 RUN = """
 import sys
 from pyspark.sql import SparkSession

@@ -92,6 +92,16 @@ def test_sqlite(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:written;create=true"
+    df = spark.createDataFrame([(i, f"n{i % 7}") for i in range(2500)], "id bigint, name string")
+    stores.write_jdbc(df, url, "t", "name VARCHAR(60)", driver=stores.DERBY)
+    stores.write_jdbc(df.filter("id < 3"), url, "t", "", driver=stores.DERBY)
+    assert stores.scan_jdbc(spark, url, "t", driver=stores.DERBY).count() == 2503
+    assert stores.run_jdbc(spark, url, "DELETE FROM t WHERE \"id\" >= 10") == 2490
+    assert [r["id"] for r in stores.scan_jdbc(spark, url, "t", {"name": "n3"}, driver=stores.DERBY).collect()] == [3]
+
+
 def test_derby(spark, tmp_path):
     texts = [None, "", " ", " a ", 'a"b', '"', "a,b", "x\ny", "x\r\ny\r", "\n", "\\n", "'", "NULL", "\t", "x\x00y", "ü€😀", "y" * 32672]
     df = spark.createDataFrame([(i, t, None if i % 3 else i / 7, None if i % 4 else i) for i, t in enumerate(texts)] + [(-(2**63), "low", 1e300, -(2**31)), (None, None, None, None)], "_id bigint, name string, x double, n int")
